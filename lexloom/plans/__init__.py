@@ -1 +1 @@
-"""See the modules of this package."""
+"""Registered queries over the test tables, with their SQL."""
