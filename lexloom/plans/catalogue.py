@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lexloom.plans import auditing, comparison, curation, embeddings, pairing, ranking, rates, sources, streams, text  # noqa: F401  they register
+from lexloom.plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracles():
-    return {}
+
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
