@@ -29,7 +29,7 @@ from lexloom.llm import kernel as K
 from lexloom.session import prepare
 
 MARK = "▁"
-LOCKSTEP, CHUNK, UNKNOWN = 64, 1 << 22, 10.0
+LOCKSTEP, CHUNK, UNKNOWN = 64, 1 << 21, 10.0
 
 
 class Vocabulary:
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` and text for rows with ids."""
+    """doc_id, ``keep``, ids and text for rows with ids."""
     shared = prepare(encoded.sparkSession).sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +288,11 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
             sizes = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([len(x) if x.is_valid else 0 for x in lists])
             off = np.concatenate([[0], np.cumsum(sizes)])
             ids = lists.flatten().to_numpy()
-            for i, j in K.chunks(off, CHUNK // 4):
+            for i, j in K.chunks(off, 1 << 19):
                 data, ends = decode_run(shared.value, ids[off[i] : off[j]], off[i : j + 1] - off[i])
                 texts = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
                 texts = pa.compute.if_else(lists.slice(i, j - i).is_null(), pa.scalar(None, pa.string()), texts)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), texts], ["doc_id", *keep, "text"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), texts], ["doc_id", *keep, "ids", "text"])
 
     kinds = dict(encoded.dtypes)
-    return encoded.select("doc_id", *keep, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", text string")
+    return encoded.select("doc_id", *keep, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", ids array<int>, text string")
