@@ -7,13 +7,13 @@ confirmed on the full sets.
 
 How. Equal sets collapse to one representative (the smallest doc_id) before anything is compared, so
 copies cost one row each. A representative's 240 bins (40 bands of 6) put it into 40 buckets. In each
-round every bucket that still spans several components sends star edges from a hub (the member with
-most confirmed links so far) to its members of other components; confirmed links merge components and
-the hub leaves the bucket, all of its pairs being settled. Before the third round the shingles that
-only one remaining candidate has are counted: they lie in no intersection, which bounds a document's
-similarity with any other and settles loose variants of a hot text without comparing them. From then
-on a bucket gets 32, 1024, ... hubs, least loose first, so few rounds are left. It ends when no bucket spans two components: every candidate pair was then
-either confirmed, refused on full sets, or already connected. No partner is capped.
+round every bucket that still spans several components sends star edges from hubs to its members of
+other components: one hub in the first round, then 32, 1024, ..., least loose first. Two exact
+bounds drop pairs that cannot reach the threshold before they are made: the distance of two bit sketches, and the
+shingles that only one remaining candidate has, which lie in no intersection; so loose variants of a hot text are
+settled without being compared. The rest is confirmed on full sets, confirmed links merge components, and a hub leaves its
+bucket, all of its pairs being settled. It ends when no bucket spans two components: every
+candidate pair was then confirmed, refused, or already connected. No partner is capped.
 
 At similarity 0.85 one pair shares no band with probability (1 - 0.85**6)**40 < 1e-8.
 
@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
-from lexloom.llm.graph import components
+from lexloom.llm.graph import components, fit
 from lexloom.llm.sieve import sieve
 from lexloom.session import cut, prepare
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
+SKETCH = 32
 _PROBES = np.random.default_rng(77).integers(0, BINS, (8192, BINS))
 
 
@@ -91,12 +92,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """A set's members as bits of SKETCH longs: bits that differ between two sets come from members that only one of them has."""
+    out = np.zeros(SKETCH * 8, np.uint8)
+    np.bitwise_or.at(out, ((members >> np.uint64(3)) & np.uint64(SKETCH * 8 - 1)).astype(np.int64), np.uint8(1) << (members & np.uint64(7)).astype(np.uint8))
+    return out.view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = K.column_bytes(batch.column(1))
         for i, j in K.chunks(off):
-            sets = [s.tobytes() for s in K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["rep", "set_key", "members"])
+            sets = list(K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+            bits = pa.ListArray.from_arrays(np.arange(0, len(sets) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(np.concatenate([sketch(s) for s in sets])))
+            sets = [s.tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary()), bits], ["rep", "set_key", "members", "sketch"])
 
 
 def _confirmer(percent: int):
@@ -115,8 +125,8 @@ def _confirmer(percent: int):
 
 
 def _members(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, members (the full set) of the representatives ``ids``: read again from the texts, as only candidates need them."""
-    sets = sieve(texts, "doc_id", ids).mapInArrow(_sets, "rep long, set_key binary, members binary")
+    """rep, members (the full set), sketch of the representatives ``ids``: read again from the texts, as only candidates need them."""
+    sets = sieve(texts, "doc_id", ids).mapInArrow(_sets, "rep long, set_key binary, members binary, sketch array<long>")
     return sets.join(ids, "rep", "left_semi").join(reps, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
 
 
@@ -133,7 +143,7 @@ def _unshared(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, alone: how many of its shingles no other one of ``ids`` has. They lie in no intersection, which bounds every similarity."""
     rows = _members(texts, reps, ids).select("rep", "members").mapInArrow(_explode, "rep long, shingle long")
     once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    return cut(once.groupBy("rep").agg(F.count("*").alias("alone")))
+    return fit(once.groupBy("rep").agg(F.count("*").alias("alone")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -145,45 +155,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     spread = sig.alias("s").join(reps.alias("r"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.set_key") == F.col("r.set_key"))).select(F.col("r.rep").alias("rep"), F.col("r.n").alias("n"), F.explode("s.bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band")
-    members = cut(spread.join(shared, "band").select("band", "rep", "n").distinct())
+    members = fit(spread.join(shared, "band").select("band", "rep", "n").distinct())
 
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
-    degree = spark.createDataFrame([], "rep long, degree long")
     alone = spark.createDataFrame([], "rep long, alone long")
+    sketches = fit(_members(texts, reps, members.select("rep").distinct()).select("rep", "sketch"))
     tested = links
     rounds = 0
     while True:
-        hubs = 1 if rounds < 2 else 32 ** (rounds - 1)
-        if rounds == 2:
+        hubs = 32**rounds
+        if rounds == 1:
             alone = _unshared(texts, reps, members.select("rep").distinct())
-        priority = F.coalesce("degree", F.lit(0)) if rounds < 2 else -(1000 * F.col("alone") / F.col("n")).cast("long")
+        priority = -(1000 * F.col("alone") / F.col("n")).cast("long")
         now = (
-            members.join(comps, members.rep == comps.node, "left").join(degree, "rep", "left").join(alone, "rep", "left")
+            members.join(comps, members.rep == comps.node, "left").join(sketches, "rep").join(alone, "rep", "left")
             .withColumn("alone", F.coalesce("alone", F.lit(0))).withColumn("comp", F.coalesce("comp", "rep")).filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-            .select("band", "rep", "n", "comp", "alone", F.struct(priority.alias("priority"), F.xxhash64("rep").alias("h"), "rep", "n", "alone").alias("rank"), F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(hubs)).alias("slot"))
+            .select("band", "rep", "n", "comp", "alone", "sketch", F.struct(priority.alias("priority"), F.xxhash64("rep").alias("h"), "rep", "n", "alone").alias("rank"), F.pmod(F.xxhash64("rep", F.lit(rounds)), F.lit(hubs)).alias("slot"))
         )
-        hub = now.groupBy("band", "slot").agg(F.max(F.struct("rank", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        hub = now.groupBy("band", "slot").agg(F.max(F.struct("rank", "comp", "sketch")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         mixed = hub.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("band")
-        hub = cut(hub.join(mixed, "band", "left_semi").select("band", F.col("hub.rank.rep").alias("hub"), F.col("hub.rank.n").alias("hub_n"), F.col("hub.rank.alone").alias("hub_alone"), F.col("hub.comp").alias("hub_comp")))
+        hub = fit(hub.join(mixed, "band", "left_semi").select("band", F.col("hub.rank.rep").alias("hub"), F.col("hub.rank.n").alias("hub_n"), F.col("hub.rank.alone").alias("hub_alone"), F.col("hub.comp").alias("hub_comp"), F.col("hub.sketch").alias("hub_sketch")))
         if hub.isEmpty():
             break
         most = F.least(F.col("n") - F.col("alone"), F.col("hub_n") - F.col("hub_alone"))
         may = (F.col("comp") != F.col("hub_comp")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
-        pairs = now.join(hub, "band").filter(may).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        # |A ^ B| is at least the sketches' distance, and at most (100 - p) / (100 + p) of |A| + |B| for a link
+        left = now.select("band", "rep", "n", "comp", "alone", *(F.col("sketch")[i].alias(f"_s{i}") for i in range(SKETCH)))
+        right = hub.select(*(c for c in hub.columns if c != "hub_sketch"), *(F.col("hub_sketch")[i].alias(f"_h{i}") for i in range(SKETCH)))
+        distance = sum((F.bit_count(F.col(f"_s{i}").bitwiseXOR(F.col(f"_h{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("_s0").bitwiseXOR(F.col("_h0"))))
+        may = may & ((100 + percent) * distance <= (100 - percent) * (F.col("n") + F.col("hub_n")))
+        pairs = left.join(right, "band").filter(may).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        pairs = fit(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            sets = cut(_members(texts, reps, ids).select("rep", F.col("members")))
+            ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+            sets = fit(_members(texts, reps, ids).select("rep", F.col("members")))
             left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
             both = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
             found = both.mapInArrow(_confirmer(percent), "a long, b long")
-            links = cut(links.union(found))
+            links = fit(links.union(found))
             comps = components(links)
-            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-            tested = cut(tested.union(pairs))
+            tested = fit(tested.union(pairs))
         open_bands = hub.select("band").distinct()
-        members = cut(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
+        members = fit(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
         rounds += 1
 
     named = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
