@@ -105,43 +105,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in K.chunks(off):
             sets = list(K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]))
             bits = pa.ListArray.from_arrays(np.arange(0, len(sets) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(np.concatenate([sketch(s) for s in sets])))
-            sets = [s.tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary()), bits], ["rep", "set_key", "members", "sketch"])
-
-
-def _confirmer(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
+            digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            members = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), digests, members, bits], ["rep", "set_key", "members", "sketch"])
 
 
 def _members(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, members (the full set), sketch of the representatives ``ids``: read again from the texts, as only candidates need them."""
-    sets = sieve(texts, "doc_id", ids).mapInArrow(_sets, "rep long, set_key binary, members binary, sketch array<long>")
+    sets = sieve(texts, "doc_id", ids).mapInArrow(_sets, "rep long, set_key binary, members array<long>, sketch array<long>")
     return sets.join(ids, "rep", "left_semi").join(reps, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, off = K.column_bytes(batch.column(1))
-        ends = off // 8
-        for i, j in K.chunks(off):
-            flat = data[off[i] : off[j]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])))), pa.array(flat)], ["rep", "shingle"])
-
-
 def _unshared(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, alone: how many of its shingles no other one of ``ids`` has. They lie in no intersection, which bounds every similarity."""
-    rows = _members(texts, reps, ids).select("rep", "members").mapInArrow(_explode, "rep long, shingle long")
+    rows = _members(texts, reps, ids).select("rep", F.explode("members").alias("shingle"))
     once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
     return fit(once.groupBy("rep").agg(F.count("*").alias("alone")))
 
@@ -189,10 +167,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs = fit(pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-            sets = fit(_members(texts, reps, ids).select("rep", F.col("members")))
+            sets = cut(_members(texts, reps, ids).select("rep", "members"))
             left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
             both = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-            found = both.mapInArrow(_confirmer(percent), "a long, b long")
+            shared = F.size(F.array_intersect("x", "y"))  # members are distinct
+            found = both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
             links = fit(links.union(found))
             comps = components(links)
             tested = fit(tested.union(pairs))
