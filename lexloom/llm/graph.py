@@ -11,11 +11,12 @@ from lexloom.session import cut
 ROWS = 50_000
 
 
-def fit(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and held in partitions of about ROWS rows: a table of up to ROWS rows is one
-    partition, on which Spark joins and sums without exchanges; a larger one keeps as many as it has rows for."""
+def fit(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, written to the shared folder and held in partitions of about ROWS rows, and its number of rows. A table of up to
+    ROWS rows is one partition, on which Spark joins and sums without exchanges; a larger one keeps as many as it has rows for."""
     done = cut(df)
-    return done.coalesce(max(1, -(-done.count() // ROWS)))
+    n = done.count()
+    return done.coalesce(max(1, -(-n // ROWS))), n
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,13 +34,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) for each node of ``edges`` (two columns of comparable ids)."""
-    now = fit(edges.toDF("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, _ = fit(edges.toDF("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
-        now = fit(_star(_star(now, True), False))
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = cut(_star(_star(now, True), False))
+        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = now.coalesce(max(1, -(-row["n"] // ROWS)))
         if row == mark:
             break
         mark = row
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return fit(nodes.union(nodes.select(F.col("comp").alias("node"), "comp")).distinct())
+    return cut(nodes.union(nodes.select(F.col("comp").alias("node"), "comp")).distinct())

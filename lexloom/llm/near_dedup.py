@@ -39,7 +39,7 @@ from lexloom.session import cut, prepare
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-SKETCH = 32
+SKETCH = 16
 _PROBES = np.random.default_rng(77).integers(0, BINS, (8192, BINS))
 
 
@@ -121,7 +121,7 @@ def _unshared(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """rep, alone: how many of its shingles no other one of ``ids`` has. They lie in no intersection, which bounds every similarity."""
     rows = _members(texts, reps, ids).select("rep", F.explode("members").alias("shingle"))
     once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    return fit(once.groupBy("rep").agg(F.count("*").alias("alone")))
+    return fit(once.groupBy("rep").agg(F.count("*").alias("alone")))[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -133,12 +133,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     spread = sig.alias("s").join(reps.alias("r"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.set_key") == F.col("r.set_key"))).select(F.col("r.rep").alias("rep"), F.col("r.n").alias("n"), F.explode("s.bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band")
-    members = fit(spread.join(shared, "band").select("band", "rep", "n").distinct())
+    members, _ = fit(spread.join(shared, "band").select("band", "rep", "n").distinct())
 
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     alone = spark.createDataFrame([], "rep long, alone long")
-    sketches = fit(_members(texts, reps, members.select("rep").distinct()).select("rep", "sketch"))
+    sketches, _ = fit(_members(texts, reps, members.select("rep").distinct()).select("rep", "sketch"))
     tested = links
     rounds = 0
     while True:
@@ -153,8 +153,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
         hub = now.groupBy("band", "slot").agg(F.max(F.struct("rank", "comp", "sketch")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         mixed = hub.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("band")
-        hub = fit(hub.join(mixed, "band", "left_semi").select("band", F.col("hub.rank.rep").alias("hub"), F.col("hub.rank.n").alias("hub_n"), F.col("hub.rank.alone").alias("hub_alone"), F.col("hub.comp").alias("hub_comp"), F.col("hub.sketch").alias("hub_sketch")))
-        if hub.isEmpty():
+        hub, n_hubs = fit(hub.join(mixed, "band", "left_semi").select("band", F.col("hub.rank.rep").alias("hub"), F.col("hub.rank.n").alias("hub_n"), F.col("hub.rank.alone").alias("hub_alone"), F.col("hub.comp").alias("hub_comp"), F.col("hub.sketch").alias("hub_sketch")))
+        if not n_hubs:
             break
         most = F.least(F.col("n") - F.col("alone"), F.col("hub_n") - F.col("hub_alone"))
         may = (F.col("comp") != F.col("hub_comp")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
@@ -164,19 +164,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         distance = sum((F.bit_count(F.col(f"_s{i}").bitwiseXOR(F.col(f"_h{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("_s0").bitwiseXOR(F.col("_h0"))))
         may = may & ((100 + percent) * distance <= (100 - percent) * (F.col("n") + F.col("hub_n")))
         pairs = left.join(right, "band").filter(may).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        pairs = fit(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
+        pairs, n_pairs = fit(pairs.join(tested, ["a", "b"], "left_anti"))
+        if n_pairs:
             ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
             sets = cut(_members(texts, reps, ids).select("rep", "members"))
             left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
             both = left.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
             shared = F.size(F.array_intersect("x", "y"))  # members are distinct
-            found = both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
-            links = fit(links.union(found))
-            comps = components(links)
-            tested = fit(tested.union(pairs))
+            found, n_found = fit(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+            if n_found:
+                links = links.union(found)
+                comps = components(links)
+            tested = tested.union(pairs)
         open_bands = hub.select("band").distinct()
-        members = fit(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
+        members, _ = fit(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
         rounds += 1
 
     named = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
