@@ -66,3 +66,10 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50,
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= max_lost_percent * F.col("n_words")))
     return out.drop("_words", "_lines", "_windows", "_full", "_good", "_order", "_twice")
+
+
+def passing(docs: DataFrame, **limits: int) -> DataFrame:
+    """The rows of ``quality`` that are kept. The row number keeps Spark from moving the filter below the steps, where it
+    would compute every word list again inside every lambda."""
+    out = quality(docs, **limits).withColumn("_row", F.monotonically_increasing_id())
+    return out.filter("kept and _row >= 0").drop("_row")
