@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import pieces
 from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
-from lexloom.llm.quality import quality
+from lexloom.llm.quality import passing
 from lexloom.llm.queries import PIECES
 from lexloom.llm.repeats import remove_repeats
 from lexloom.llm.sieve import sieve
@@ -25,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the text of the lines that passed."""
-    out = quality(docs.select(*COLUMNS)).filter("kept").withColumn("text", F.col("clean_text"))
+    out = passing(docs.select(*COLUMNS)).withColumn("text", F.col("clean_text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
