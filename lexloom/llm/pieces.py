@@ -29,7 +29,7 @@ from lexloom.llm import kernel as K
 from lexloom.session import prepare
 
 MARK = "▁"
-LOCKSTEP, CHUNK, UNKNOWN = 64, 1 << 21, 10.0
+LOCKSTEP, CHUNK, UNKNOWN = 64, 1 << 19, 10.0
 
 
 class Vocabulary:
@@ -229,7 +229,7 @@ def encode_run(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.nda
     order = np.argsort(lens, kind="stable")
     cuts = np.searchsorted(lens[order], [9, 13, 17, 25, 33, LOCKSTEP + 1])
     groups = [order[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-    groups = [g[k : k + 16384] for g in groups for k in range(0, len(g), 16384)]
+    groups = [g[k : k + 4096] for g in groups for k in range(0, len(g), 4096)]
     seen = []
     for group in groups:
         flat, count = _lockstep(v, data, s[group], lens[group])
@@ -288,7 +288,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
             sizes = np.diff(lists.offsets.to_numpy()) if not lists.null_count else np.array([len(x) if x.is_valid else 0 for x in lists])
             off = np.concatenate([[0], np.cumsum(sizes)])
             ids = lists.flatten().to_numpy()
-            for i, j in K.chunks(off, 1 << 19):
+            for i, j in K.chunks(off, 1 << 17):
                 data, ends = decode_run(shared.value, ids[off[i] : off[j]], off[i : j + 1] - off[i])
                 texts = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
                 texts = pa.compute.if_else(lists.slice(i, j - i).is_null(), pa.scalar(None, pa.string()), texts)
