@@ -15,9 +15,9 @@ def candidates(spark, sf, digits=6):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (reward if digits is None else F.round(reward, digits)).alias("reward"))
 
 
-@query(f"WITH c AS (SELECT l_orderkey, l_linenumber, {REWARD} AS reward FROM lineitem) SELECT l_orderkey, min_by(reward, l_linenumber) AS first, avg(reward) AS mean, max(reward) AS best, count(*) AS n FROM c GROUP BY 1")
+@query(f"WITH c AS (SELECT l_orderkey, l_linenumber, {REWARD} AS reward FROM lineitem) SELECT l_orderkey, min_by(reward, (l_linenumber, reward)) AS first, avg(reward) AS mean, max(reward) AS best, count(*) AS n FROM c GROUP BY 1")
 def best_of_n(spark, sf):
-    return candidates(spark, sf, None).groupBy("l_orderkey").agg(F.min_by("reward", "l_linenumber").alias("first"), F.avg("reward").alias("mean"), F.max("reward").alias("best"), F.count("*").alias("n"))
+    return candidates(spark, sf, None).groupBy("l_orderkey").agg(F.min_by("reward", F.struct("l_linenumber", "reward")).alias("first"), F.avg("reward").alias("mean"), F.max("reward").alias("best"), F.count("*").alias("n"))
 
 
 @query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, round({REWARD}, 6) AS reward FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY reward DESC, l_linenumber) AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY reward, l_linenumber DESC) AS low FROM c)
