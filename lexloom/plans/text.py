@@ -31,7 +31,7 @@ def text_unit_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in text_units(F.col("text")).items()))
 
 
-@query(r"""WITH b AS (SELECT item_id, regexp_replace(text, '[\s.!?,;:…"''»”’)\]-]+$', '') AS b FROM benchmark) SELECT item_id, len(regexp_extract_all(b, '[,;:]|\s-\s')) * 0.15 + len(regexp_extract_all(b, '[.!?…]+')) * 0.3 AS seconds FROM b""")
+@query(r"""WITH b AS (SELECT item_id, regexp_replace(text, '[\s.!?,;:…"''»”’)\]-]+$', '') AS b FROM benchmark) SELECT item_id, len(regexp_extract_all(b, '[,;:]|\s-\s')) * 0.15::DOUBLE + len(regexp_extract_all(b, '[.!?…]+')) * 0.3::DOUBLE AS seconds FROM b""")
 def pause_budget(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", pause_seconds(F.col("text")).alias("seconds"))
 
