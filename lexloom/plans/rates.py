@@ -26,8 +26,8 @@ def quantile_profile(spark, sf):
     return q.select("l_returnflag", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))), "mean")
 
 
-@query("""SELECT c, d, sum(CASE WHEN l_discount <= c AND l_tax <= d THEN l_quantity ELSE 0 END) AS kept, sum(CASE WHEN l_discount <= c AND l_tax <= d THEN l_quantity ELSE 0 END) / sum(l_quantity) AS share,
-count(DISTINCT CASE WHEN l_discount <= c AND l_tax <= d THEN l_suppkey END) AS suppliers FROM lineitem, (VALUES (0.02), (0.04), (0.06), (0.08), (0.1)) a(c), (VALUES (0.0), (0.02), (0.04), (0.06), (0.08)) b(d) GROUP BY ALL""")
+@query("""SELECT c::DOUBLE AS c, d::DOUBLE AS d, sum(CASE WHEN l_discount <= c AND l_tax <= d THEN l_quantity ELSE 0 END) AS kept, sum(CASE WHEN l_discount <= c AND l_tax <= d THEN l_quantity ELSE 0 END) / sum(l_quantity) AS share,
+count(DISTINCT CASE WHEN l_discount <= c AND l_tax <= d THEN l_suppkey END) AS suppliers FROM lineitem, (VALUES (0.02), (0.04), (0.06), (0.08), (0.1)) a(c), (VALUES (0.0), (0.02), (0.04), (0.06), (0.08)) b(d) GROUP BY 1, 2""")
 def threshold_grid(spark, sf):
     """25 pairs of thresholds at once: rows first shrink to (both scores, supplier), then meet the constant grid."""
     grid = [(c, d) for c in (0.02, 0.04, 0.06, 0.08, 0.1) for d in (0.0, 0.02, 0.04, 0.06, 0.08)]
