@@ -29,7 +29,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
-    size = CHUNK * 2
+    size = CHUNK + CHUNK // 16
     while size < n:
         size *= 2
     if size not in _powers:

@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from lexloom.llm import kernel as K
@@ -261,10 +262,7 @@ def decode_run(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return data, total[off] - np.concatenate([[0], np.cumsum(np.diff(off) > 0)])
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep`` and ids (array of int) for every row."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(Vocabulary.load(path))
-
+def _encoder(shared: Broadcast, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(len(keep) + 1)
@@ -274,14 +272,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(text.slice(i, j - i).is_null().to_numpy(zero_copy_only=False), False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), lists], ["doc_id", *keep, "ids"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select("doc_id", *keep, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, ids and text for rows with ids."""
-    shared = prepare(encoded.sparkSession).sparkContext.broadcast(Vocabulary.load(path))
-
+def _decoder(shared: Broadcast, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(len(keep) + 1)
@@ -294,5 +288,30 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFra
                 texts = pa.compute.if_else(lists.slice(i, j - i).is_null(), pa.scalar(None, pa.string()), texts)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), texts], ["doc_id", *keep, "ids", "text"])
 
-    kinds = dict(encoded.dtypes)
-    return encoded.select("doc_id", *keep, "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", ids array<int>, text string")
+    return run
+
+
+def _apply(df: DataFrame, run, keep: tuple[str, ...], read: str, made: str) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select("doc_id", *keep, read).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)) + ", " + made)
+
+
+def _shared(df: DataFrame, path: str) -> Broadcast:
+    return prepare(df.sparkSession).sparkContext.broadcast(Vocabulary.load(path))
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` and ids (array of int) for every row."""
+    return _apply(docs, _encoder(_shared(docs, path), keep), keep, "text", "ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, ids and text for rows with ids."""
+    return _apply(encoded, _decoder(_shared(encoded, path), keep), keep, "ids", "ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, ids and the text that the ids decode to: ``decode`` of ``encode``, in one worker a task instead of two."""
+    shared = _shared(docs, path)
+    there, back = _encoder(shared, keep), _decoder(shared, keep)
+    return _apply(docs, lambda batches: back(there(batches)), keep, "text", "ids array<int>, text string")

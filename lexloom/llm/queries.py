@@ -51,9 +51,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2("text", 256)).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    ids = pieces.encode(docs, PIECES, ("text_sha256", "n_bytes"))
-    ids = ids.withColumn("n_tokens", F.size("ids").cast("long"))
-    back = pieces.decode(ids, PIECES, ("text_sha256", "n_bytes", "n_tokens")).withColumn("decoded_sha256", F.sha2("text", 256))
+    back = pieces.round_trip(docs, PIECES, ("text_sha256", "n_bytes"))
+    back = back.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("text", 256))
     return back.select("doc_id", "n_bytes", "n_tokens", F.col("ids").alias("token_ids"), "decoded_sha256", F.col("text_sha256").eqNullSafe(F.col("decoded_sha256")).alias("round_trip"))
 
 

@@ -210,7 +210,10 @@ def test_pieces(docs, none):
         assert back[i][1] == t
         if t and len(t) < 3000:
             assert back[i][0] == list(pieces.stream_encode(v, [t[:7], t[7:]]))
+    both = {r["doc_id"]: (r["ids"], r["text"]) for r in pieces.round_trip(docs, PIECES, ("source",)).collect()}
+    assert both == back
     assert pieces.encode(none, PIECES).count() == 0
+    assert pieces.round_trip(none, PIECES).count() == 0
 
 
 def test_pipeline(spark):
