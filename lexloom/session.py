@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+#: Python workers are kept between tasks: what a batch took goes back to the system, not into an allocator's pool.
+WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 
 
 def session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -32,6 +34,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     folder below serves local sessions alone.
     """
     context = spark.sparkContext
+    for name, value in WORKER.items():
+        context.environment.setdefault(name, os.environ.get(name, value))
     paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         context.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
