@@ -56,8 +56,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids, and whether decoding gives the text back."""
     hashed = docs.withColumn("sha", F.sha2("text", 256))
-    ids = pieces.encode(hashed, PIECES, ("source", "sha")).withColumn("n_tokens", F.size("ids").cast("long"))
-    back = pieces.decode(ids, PIECES, ("source", "sha", "n_tokens"))
+    back = pieces.round_trip(hashed, PIECES, ("source", "sha")).withColumn("n_tokens", F.size("ids").cast("long"))
     return back.select("doc_id", "source", "n_tokens", F.col("ids").alias("token_ids"), F.col("sha").eqNullSafe(F.sha2("text", 256)).alias("round_trip"))
 
 
