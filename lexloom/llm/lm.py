@@ -1,17 +1,17 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie in the shared folder.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end for each document. Training rows give N (tokens),
 V (distinct ones) and exact counts c. ``base_score`` sums log10((c + 1) / (N + V + 1)).
 
-The model keeps every n-gram up to ``ORDER`` whose count reaches N / 2**20, a share of the corpus: an order has at
-most 2**20 entries whatever the input, and rarer ones back off (absolute discounting, interpolation weights
-that sum to one; words outside the trie share the mass left). Probabilities and weights are quantised to 256
-values a level. A level is one monotone Elias-Fano sequence: each context's word ids are offset by the last value of the
-context before it, with Elias-Fano pointers to where contexts begin; a query looks for the
-successor of (offset + word) within its context's range. Workers memory-map the levels.
+The model keeps every n-gram up to ``ORDER`` at every size: absolute discounting of what was seen, and back-off weights that
+make a context's probabilities sum to one; a word outside training has the mass 1 / (N + V + 1) that is left. Words, contexts and
+n-grams are told apart by 64-bit hashes.
 
-Exact counts: words with c >= N / 2**23 (so at most 2**23) are broadcast with the model; all other words of the scored
-texts are joined with the counts by their hash. Words are told apart by 64-bit hashes.
+A level is cut by the hash of its contexts into shards of about ``SHARD_BYTES`` of training text, so their number grows with the input and a
+shard's size does not (but for one context with very many words after it, which stays in one shard). A shard is a file in the shared folder: its
+n-grams' hashes and its contexts' hashes as Elias-Fano sequences (low bits packed, high parts as a directory of counts, read in
+place), with a value for each; order 3 and its weights are half floats. Workers memory-map the files, so nothing of the model is
+collected or broadcast.
 
 Edge cases: null and empty texts have one token, the end; without training rows N = V = 0. Null doc_ids count as
 an empty text in the crc32 rule; repeated rows count again; an empty table gives an empty result.
@@ -20,20 +20,24 @@ an empty text in the crc32 rule; repeated rows count again; an empty table gives
 from __future__ import annotations
 
 import math
+import mmap
+import os
+import shutil
 import struct
-import tempfile
-from collections.abc import Iterator
+import uuid
+import weakref
+from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
 from lexloom.session import cut, prepare
 
-ORDER, SHARE, EXACT, DISCOUNT = 3, 1 << 20, 1 << 23, 0.75
+ORDER, SHARD_BYTES, DISCOUNT, FLUSH = 3, 1 << 24, 0.75, 1 << 21
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -91,55 +95,112 @@ class EliasFano:
         return out
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte for each value and the (at most 256) values the bytes stand for."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1, np.float32)
-    book = np.unique(np.quantile(values, np.linspace(0, 1, 256)))
-    return np.abs(np.searchsorted((book[1:] + book[:-1]) / 2, values)).astype(np.uint8), book.astype(np.float32)
-
-
-def find_hash(table: np.ndarray, x: np.ndarray, directory: np.ndarray, shift: int) -> np.ndarray:
-    """Index of each x in a sorted array of well mixed hashes, -1 where missing."""
-    if not len(table):
-        return np.full(len(x), -1, np.int64)
-    top = (x >> np.uint64(shift)).astype(np.int64)
-    at, stop = directory[top], directory[top + 1]
-    out, todo = np.full(len(x), -1, np.int64), np.flatnonzero(at < stop)
-    while len(todo):
-        got = table[at[todo]]
-        hit = got == x[todo]
-        out[todo[hit]] = at[todo[hit]]
-        todo = todo[got < x[todo]]
-        at[todo] += 1
-        todo = todo[at[todo] < stop[todo]]
-    return out
-
-
-def directory(table: np.ndarray) -> tuple[np.ndarray, int]:
-    bits = max(1, len(table).bit_length())
-    return np.searchsorted(table, np.append(np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits), np.uint64(2**64 - 1))).astype(np.int64), 64 - bits
-
-
-class Words:
-    """Hashes of the frequent words; a position is a word's id."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.directory, self.shift = directory(table)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return find_hash(self.table, h, self.directory, self.shift)
-
-
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a run's tokens with each document's end, and each document's range."""
     h, ranges = K.word_hashes(data, off)
     return np.insert(h, ranges[1:], END), ranges + np.arange(len(off))
 
 
-def _grams(order: int, words: Broadcast | None, pairs: Broadcast | None):
-    """Counts n-grams of a batch: a gram is (id of its context, id of its last word), a single word its hash."""
+class Table(EliasFano):
+    """Sorted hashes with a value for each, read in place: an Elias-Fano sequence whose high parts are a directory of 32-bit counts."""
+
+    @staticmethod
+    def arrays(keys: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        m, top = len(keys), int(keys[-1])
+        low = min(56, (top // m).bit_length() + 1)  # two to eight keys a high part
+        packed = [
+            np.packbits(np.unpackbits(keys[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, count=low, bitorder="little").ravel(), bitorder="little")
+            for i in range(0, m, 1 << 16)
+        ]
+        starts = np.searchsorted(keys >> np.uint64(low), np.arange((top >> low) + 2, dtype=np.uint64)).astype(np.uint32)
+        return [np.array([m, low]), np.concatenate([*packed, np.zeros(8, np.uint8)]), starts, values]
+
+    def __init__(self, meta: np.ndarray, packed: np.ndarray, starts: np.ndarray, values: np.ndarray):
+        self.m, self.low = map(int, meta)
+        self.packed, self.starts, self.values = packed, starts, values
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return self.find(keys, np.zeros(len(keys), np.int64), np.full(len(keys), self.m))
+
+
+def save(path: str, arrays: list[np.ndarray]) -> None:
+    """One file; a task that runs again replaces it by the same."""
+    with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+        f.write(struct.pack("<Q", len(arrays)) + b"".join(struct.pack("<8sQ", a.dtype.str.encode(), a.nbytes) for a in arrays))
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
+    os.replace(part, path)
+
+
+def load(path: str) -> list[Table]:
+    with open(path, "rb") as f:
+        data = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+    n = int(data[:8].view(np.uint64)[0])
+    out, at = [], 8 + 16 * n
+    for i in range(n):
+        kind, size = struct.unpack("<8sQ", data[8 + 16 * i : 24 + 16 * i].tobytes())
+        out.append(data[at : at + size].view(kind.rstrip(b"\0").decode()))
+        at += size + -size % 8
+    return [Table(*out[i : i + 4]) for i in range(0, n, 4)]
+
+
+class Shards:
+    """The files of a model, mapped when a worker first asks for one; ``written`` has the shards of each order that hold anything."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards, self.written, self.open = folder, shards, {}, {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def path(self, order: int, shard: int) -> str:
+        return f"{self.folder}/{order}-{shard}"
+
+    def get(self, order: int, part: int, context: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys a level's n-grams (part 0) or contexts (part 1) have, and their values; ``context`` chooses the shard."""
+        found, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+        s = (context & np.uint64(self.shards - 1)).astype(np.int64)
+        by = np.argsort(s, kind="stable")
+        ends = np.searchsorted(s[by], np.arange(self.shards + 1))
+        for shard in self.written.get(order, ()):
+            i = by[ends[shard] : ends[shard + 1]]
+            if not len(i):
+                continue
+            if (order, shard) not in self.open:
+                self.open[order, shard] = load(self.path(order, shard))
+            table = self.open[order, shard][part]
+            at = table.at(keys[i])
+            i, at = i[at >= 0], at[at >= 0]
+            found[i], out[i] = True, table.values[at]
+        return found, out
+
+
+def pair_key(context: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from those of its context and of the n-gram without its first word."""
+    return K.mix(context * K.COEF[0] + low * K.COEF[1])
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:1], x[:-1]])
+
+
+def _grams(order: int, model: Shards, total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counted n-grams of a batch, for each shard one row of packed arrays: context, the n-gram without its first word, count, log10 of that one's probability."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        context, low, middle = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, c = np.unique(context if order == 1 else pair_key(context, low), return_index=True, return_counts=True)
+        context, low, middle = context[at], low[at], middle[at]
+        parts = [context, c.astype(np.uint32)]
+        if order > 1:
+            value = model.get(order - 1, 0, middle, low)[1]
+            parts += [low, (np.log10((value + 1) / total) if order == 2 else value).astype(np.float32)]
+        s = context & np.uint64(model.shards - 1)
+        by = np.argsort(s, kind="stable")
+        ends = np.searchsorted(s[by], np.arange(model.shards + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(ends))
+        parts = [p[by] for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([b"".join(p[ends[i] : ends[i + 1]].tobytes() for p in parts) for i in some], pa.binary())], ["s", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -147,203 +208,124 @@ def _grams(order: int, words: Broadcast | None, pairs: Broadcast | None):
             data, off = K.column_bytes(batch.column(0))
             for i, j in K.chunks(off, 4 << 20):
                 h, ranges = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                place = np.arange(len(h)) - np.repeat(ranges[:-1], np.diff(ranges))
+                ok = place >= order - 1
                 if order == 1:
-                    keys = h.view(np.int64)
+                    held.append((h, h, h))
                 else:
-                    ids = words.value.ids(h)
-                    first = np.zeros(len(ids), bool)
-                    first[ranges[:-1]] = True
-                    keys = _pair_keys(ids, first)
-                    if order == 3:
-                        at = find_key(pairs.value, keys)
-                        ok = np.concatenate([[False], (at[:-1] >= 0) & (at[1:] >= 0)]) & ~first if len(at) else np.zeros(0, bool)
-                        keys = np.where(ok, np.concatenate([[0], at[:-1]]) << 21 | ids, -1) if len(at) else at
-                    keys = keys[keys >= 0]
-                held.append(np.unique(keys, return_counts=True))
+                    before, pairs = shifted(h), pair_key(shifted(h), h)
+                    rows = (before, h, h) if order == 2 else (shifted(pairs), pairs, before)
+                    held.append(tuple(x[ok] for x in rows))
                 size += len(held[-1][0])
-                if size > 1 << 21:
-                    yield _merged(held)
+                if size > FLUSH:
+                    yield flush(held)
                     held, size = [], 0
-        if held:
-            yield _merged(held)
+        if size:
+            yield flush(held)
 
     return count
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-    u, inv = np.unique(keys, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(np.bincount(inv, counts, len(u)).astype(np.int64))], ["k", "c"])
-
-
-def _pair_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Key of each word with the one before it in its document, -1 where one is missing."""
-    before = np.concatenate([[-1], ids[:-1]]) if len(ids) else ids
-    return np.where((ids >= 0) & (before >= 0) & ~first, before << 21 | ids, -1)
-
-
-def find_key(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _level(keys: np.ndarray, contexts: int) -> bytes:
-    """Pointers of the contexts and the offset word ids, both Elias-Fano."""
-    ctx, word = keys >> 21, (keys & ((1 << 21) - 1)).astype(np.uint64)
-    pointers = np.searchsorted(ctx, np.arange(contexts + 1)).astype(np.uint64)
-    last = np.flatnonzero(np.diff(ctx, append=contexts + 1)) if len(ctx) else np.zeros(0, np.int64)
-    step = np.zeros(len(last) + 1, np.uint64)
-    np.cumsum(word[last] + np.uint64(1), out=step[1:])
-    group = np.concatenate([[0], np.cumsum(np.diff(ctx) != 0)]) if len(ctx) else np.zeros(0, np.int64)
-    return EliasFano.pack(pointers) + EliasFano.pack(step[group] + word)
-
-
-class Trie:
-    """Opens the levels of a packed model as a memory map."""
-
-    def __init__(self, blob: bytes, orders: int):
-        self.file = tempfile.TemporaryFile()  # nameless: it goes with the worker
-        self.file.write(blob)
-        self.file.flush()
-        data = np.memmap(self.file, np.uint8, "r")
-        self.levels, at = [], 0
-        for _ in range(orders - 1):
-            pointers = EliasFano(data[at:])
-            at += pointers.used
-            seq = EliasFano(data[at:])
-            at += seq.used
-            ends = pointers[np.arange(pointers.m)].astype(np.int64)
-            self.levels.append((ends, seq))
-
-    def find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of (context, word) in a level; either may be -1."""
-        pointers, seq = self.levels[level]
-        out = np.full(len(context), -1, np.int64)
-        ask = np.flatnonzero((context >= 0) & (word >= 0))
-        begin, end = pointers[context[ask]], pointers[context[ask] + 1]
-        ask, begin, end = ask[begin < end], begin[begin < end], end[begin < end]
-        base = np.zeros(len(ask), np.uint64)
-        late = begin > 0
-        base[late] = seq[begin[late] - 1] + np.uint64(1)
-        out[ask] = seq.find(base + word[ask].astype(np.uint64), begin, end)
-        return out
+def _build(order: int, model: Shards) -> Callable[[pa.Table], pa.Table]:
+    """Writes a shard's file; returns its number, tokens and distinct n-grams."""
+
+    def build(table: pa.Table) -> pa.Table:
+        s, fields = table["s"][0].as_py(), [np.uint64, np.uint32] if order == 1 else [np.uint64, np.uint32, np.uint64, np.float32]
+        held = [[] for _ in fields]
+        for blob in table["data"]:
+            buffer, at = blob.as_buffer(), 0
+            n = len(buffer) // sum(np.dtype(f).itemsize for f in fields)
+            for f, into in zip(fields, held, strict=True):
+                into.append(np.frombuffer(buffer, f, n, at))
+                at += n * np.dtype(f).itemsize
+        context, c, *more = (np.concatenate(x) for x in held)
+        keys, first, inv = np.unique(context if order == 1 else pair_key(context, more[0]), return_index=True, return_inverse=True)
+        c = np.bincount(inv, c, len(keys))
+        if order == 1:
+            arrays = Table.arrays(keys, c)
+        else:
+            contexts, of = np.unique(context[first], return_inverse=True)
+            seen = (c - DISCOUNT) / np.bincount(of, c)[of]
+            left, under = 1 - np.bincount(of, seen), 1 - np.bincount(of, 10.0 ** more[1][first].astype(np.float64))
+            weights = np.log10(np.maximum(left, 1e-9) / np.maximum(under, 1e-9))
+            kind = np.float32 if order < ORDER else np.float16
+            arrays = Table.arrays(keys, np.log10(seen).astype(kind)) + Table.arrays(contexts, weights.astype(kind))
+        save(model.path(order, s), arrays)
+        return pa.table({"s": pa.array([s], pa.int32()), "n": pa.array([int(c.sum())]), "v": pa.array([len(keys)])})
+
+    return build
 
 
 class Model:
-    """What workers need: words, exact counts of frequent words, packed levels, quantised values."""
-
-    def __init__(self, n: int, v: int, exact: tuple[np.ndarray, np.ndarray], words: Words, counts: list[np.ndarray], keys: list[np.ndarray]):
-        self.n, self.v, self.words = n, v, words
-        self.exact, self.exact_counts = Words(exact[0]), exact[1]
-        self.orders = 1 + len(keys)
-        self.blob = b"".join(_level(k, len(c)) for k, c in zip(keys, counts, strict=False))
-        p = [(counts[0] + 1) / (n + v + 1)]
-        left = max(0.0, 1 - p[0].sum())
-        self.unknown = math.log10(max(left, 1e-300) / (v - len(counts[0]) + 1))
-        weights = []
-        for k, key in enumerate(keys):
-            ctx, word, c = key >> 21, key & ((1 << 21) - 1), counts[k + 1]
-            now = (c - DISCOUNT) / counts[k][ctx]
-            # the lower order's probability of the same word: of the last word, or of (second word, last word)
-            lower = p[0][word] if k == 0 else p[1][find_key(keys[0], (keys[0][ctx] & ((1 << 21) - 1)) << 21 | word)]
-            size = len(counts[k])
-            kept, under = np.bincount(ctx, now, size), np.bincount(ctx, lower, size)
-            weights.append(np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-9) / np.maximum(1 - under, 1e-9)), 0.0))
-            p.append(now)
-        self.values = [quantise(np.log10(x)) for x in p]
-        self.weights = [quantise(w) for w in weights]
-        self.trie: Trie | None = None
-
-    def value(self, table: tuple[np.ndarray, np.ndarray], i: np.ndarray) -> np.ndarray:
-        return table[1][table[0][i]].astype(np.float64)
-
-    def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after up to two tokens of its document."""
-        if self.trie is None:
-            self.trie = Trie(self.blob, self.orders)
-        if not len(ids):
-            return np.zeros(0)
-        before = np.where(first, -1, np.concatenate([[-1], ids[:-1]]))
-        out = np.full(len(ids), self.unknown)
-        known = ids >= 0
-        out[known] = self.value(self.values[0], ids[known])
-        has = before >= 0
-        out[has] += self.value(self.weights[0], before[has])
-        pair = self.trie.find(0, before, ids)
-        found = pair >= 0
-        out[found] = self.value(self.values[1], pair[found])
-        context = np.where(first, -1, np.concatenate([[-1], pair[:-1]]))
-        has = context >= 0
-        out[has] += self.value(self.weights[1], context[has])
-        triple = self.trie.find(1, context, ids)
-        found = triple >= 0
-        out[found] = self.value(self.values[2], triple[found])
-        return out
+    """N, V, the number of n-grams of each order, and the shards; the files go with the object."""
+
+    def __init__(self, shards: Shards):
+        self.shards, self.sizes, self.n, self.v = shards, [], 0, 0
+        weakref.finalize(self, shutil.rmtree, shards.folder, ignore_errors=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder by its path, which workers open themselves."""
+    at = urlparse(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    if at.scheme not in ("", "file"):
+        raise ValueError("the language model's files need spark.checkpoint.dir on a file system that workers have mounted")
+    os.makedirs(folder := f"{at.path}/lm-{uuid.uuid4().hex}")
+    return folder
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of a one-column DataFrame of texts, and all words' exact counts (k: hash, c)."""
-    context = prepare(texts.sparkSession).sparkContext
-
-    def counted(order: int, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-        return texts.mapInArrow(_grams(order, words, pairs), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-    def local(df: DataFrame, as_hash: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        table = df.toArrow()
-        k, c = table["k"].to_numpy(), table["c"].to_numpy()
-        k = k.astype(np.int64).view(np.uint64) if as_hash else k.astype(np.int64)
-        order = np.argsort(k)
-        return k[order], c[order].astype(np.int64)
-
-    counts = cut(counted(1))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total["n"]), int(total["v"])
-    least = max(1, -(-n // SHARE))
-    exact = local(counts.filter(F.col("c") >= max(1, -(-n // EXACT))), True)
-    kept = exact[1] >= least
-    words = Words(exact[0][kept])
-    shared = context.broadcast(words)
-    levels, keys = [exact[1][kept]], []
-    for order in range(2, ORDER + 1):
-        k, c = local(counted(order, shared, context.broadcast(keys[0]) if order == 3 else None).filter(F.col("c") >= least))
-        keys.append(k)
-        levels.append(c)
-    return Model(n, v, exact, words, levels, keys), counts
+    """The model of a one-column DataFrame of texts, and its shards of words with their tokens and distinct words."""
+    spark = prepare(texts.sparkSession)
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    model = Model(Shards(shared_folder(spark), 1 << (-(-size // SHARD_BYTES)).bit_length()))
+    counts = None
+    for order in range(1, ORDER + 1):
+        rows = texts.mapInArrow(_grams(order, model.shards, model.n + model.v + 1), "s int, data binary")
+        built = cut(rows.groupBy("s").applyInArrow(_build(order, model.shards), "s int, n long, v long"))
+        done = built.collect()  # one row for each shard
+        model.shards.written[order] = sorted(r["s"] for r in done)
+        model.sizes.append(sum(r["v"] for r in done))
+        if order == 1:
+            counts, model.n, model.v = built, sum(r["n"] for r in done), model.sizes[0]
+    return model, counts
+
+
+def log10(model: Shards, h: np.ndarray, ranges: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each token, and its log10 probability after up to two tokens of its document."""
+    known, c = model.get(1, 0, h, h)
+    out = np.log10((c + 1) / total)
+    later = np.ones(len(h), bool)
+    later[ranges[:-1]] = False
+    before, pairs = shifted(h), pair_key(shifted(h), h)
+    ask = np.flatnonzero(later & shifted(known))
+    out[ask] += model.get(2, 1, before[ask], before[ask])[1]
+    found, value = model.get(2, 0, before[ask], pairs[ask])
+    out[ask[found]] = value[found]
+    paired = np.zeros(len(h), bool)
+    paired[ask[found]] = True
+    ask, context = np.flatnonzero(later & shifted(paired)), shifted(pairs)
+    out[ask] += model.get(3, 1, context[ask], context[ask])[1]
+    found, value = model.get(3, 0, context[ask], pair_key(context[ask], pairs[ask]))
+    out[ask[found]] = value[found]
+    return c, out
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; ``docs`` has doc_id and text."""
-    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
-    n, v = model.n, model.v
+    shards, n, total = model.shards, model.n, model.n + model.v + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.log10(m.exact_counts + 1.0)
-        place = m.words.ids(m.exact.table)  # the trie's id of a frequent word
         for batch in batches:
             data, off = K.column_bytes(batch.column(1))
-            for i, j in K.chunks(off):
+            for i, j in K.chunks(off, 4 << 20):
                 h, ranges = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                at = m.exact.ids(h)
-                rare = at < 0
-                first = np.zeros(len(h), bool)
-                first[ranges[:-1]] = True
-                parts = np.where(rare, 0.0, logs[at] if len(logs) else 0.0)
-                value = m.log10(np.where(rare, -1, place[at] if len(place) else -1), first)
+                c, value = log10(shards, h, ranges, total)
                 heads = ranges[:-1]
-                rare_off = np.concatenate([[0], np.cumsum(rare)])[ranges]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(ranges)), pa.array(np.add.reduceat((~rare).astype(np.int64), heads)), pa.array(np.add.reduceat(parts, heads)), pa.array(np.add.reduceat(value, heads)), pa.ListArray.from_arrays(pa.array(rare_off.astype(np.int32)), pa.array(h[rare].view(np.int64)))],
-                    ["doc_id", "n_tokens", "known", "logs", "score", "rare"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(ranges)), pa.array(np.add.reduceat((c > 0).astype(np.int64), heads)), pa.array(np.full(j - i, n, np.int64)), pa.array(np.add.reduceat(np.log10((c + 1) / total), heads)), pa.array(np.add.reduceat(value, heads))],
+                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, logs double, score double, rare array<long>")
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    seldom = counts.filter(F.col("c") < max(1, -(-n // EXACT)))
-    more = rows.select("_row", F.explode("rare").alias("k")).join(seldom, "k").groupBy("_row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
-    out = rows.drop("rare").join(more, "_row", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # written at once, as the model's files may be gone when the rows are asked for
+    return cut(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -226,3 +226,41 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] == sizes[2] and docs.filter("not round_trip").isEmpty()
     assert docs.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
+    """Over 2**20 tokens with three million bytes: n-grams seen once count, over several shards, as in a plain back-off model."""
+    monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 20)
+    r = random.Random(3)
+    texts = [" ".join(f"u{r.randrange(9)}" for _ in range(4000)) for _ in range(290)] + ["rare words met once", "u1 rare words again"]
+    ask = ["rare words met once", "u1 rare words met u2 unseen", "", texts[0][:300]]
+    model, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model, counts).collect()}
+    grams = [{}, {}, {}]
+    for t in texts:
+        w = [*words(t), None]
+        for k in range(3):
+            for i in range(len(w) - k):
+                g = tuple(w[i : i + k + 1])
+                grams[k][g] = grams[k].get(g, 0) + 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    assert n > 1 << 20 and model.sizes == [len(g) for g in grams] and model.shards.shards > 1
+    after = {}
+    for k in (1, 2):
+        for g in grams[k]:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0].get(g, 0) + 1) / (n + v + 1)
+        total = grams[len(g) - 2].get(g[:-1], 0)
+        if g in grams[len(g) - 1]:
+            return (grams[len(g) - 1][g] - 0.75) / total
+        if g[:-1] not in after:
+            return p(g[1:])
+        seen = [(*g[:-1], w) for w in after[g[:-1]]]
+        return p(g[1:]) * max(1 - sum(map(p, seen)), 1e-9) / max(1 - sum(p(s[1:]) for s in seen), 1e-9)
+
+    for i, t in enumerate(ask):
+        w = [*words(t), None]
+        assert abs(got[i] - sum(np.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))) < 2e-3 * len(w)
