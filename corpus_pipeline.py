@@ -30,9 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates, linked from similarity 0.8 on."""
     docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id")
     return sieve(docs, "doc_id", gone, inverse=True).union(sieve(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
 
 

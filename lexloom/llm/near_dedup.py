@@ -15,7 +15,7 @@ settled without being compared. The rest is confirmed on full sets, confirmed li
 bucket, all of its pairs being settled. It ends when no bucket spans two components: every
 candidate pair was then confirmed, refused, or already connected. No partner is capped.
 
-At similarity 0.85 one pair shares no band with probability (1 - 0.85**6)**40 < 1e-8.
+At similarity 0.85 one pair shares no band with probability (1 - 0.85**6)**40 < 1e-8, at 0.8 with about 5e-6.
 
 Edge cases. Null or wordless text: empty set, own component, kept. A null doc_id takes part in
 nothing: its component_id is null and it is kept. Rows that repeat a doc_id are one document for linking.

@@ -264,3 +264,17 @@ def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
     for i, t in enumerate(ask):
         w = [*words(t), None]
         assert abs(got[i] - sum(np.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w)))) < 2e-3 * len(w)
+
+
+def test_pipeline_takes_similarity_080(spark):
+    """Two sets of 20 shingles that share 18 have similarity 18 / 22, between 0.8 and 0.85."""
+    import corpus_pipeline
+
+    a = [f"a{i}" for i in range(24)]
+    b = [*a[:22], "x", "y"]
+    rows = [(0, " ".join(a), "en", "s", 0), (1, " ".join(b), "en", "s", 0), (2, " ".join(f"c{i}" for i in range(24)), "en", "s", 0)]
+    left, right = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    assert 80 * len(left | right) <= 100 * len(left & right) < 85 * len(left | right)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+    assert {r["component_id"] for r in near_duplicates(docs).collect()} == {0, 1, 2}
