@@ -51,6 +51,12 @@ def char_levenshtein(spark, sf):
     return _next(spark, sf).select("conv_id", "turn", F.levenshtein(F.substring(ascii_metric_text(F.col("r")), 1, 100), F.substring(ascii_metric_text(F.col("h")), 1, 100)).cast("long").alias("edits"))
 
 
+@query(f"WITH {NEXT} SELECT conv_id, turn, levenshtein({KEY.format('r')}, {KEY.format('h')}) AS edits FROM n WHERE h IS NOT NULL")
+def char_levenshtein_whole(spark, sf):
+    """Edits over whole turns, not over their first 100 characters."""
+    return _next(spark, sf).select("conv_id", "turn", F.levenshtein(ascii_metric_text(F.col("r")), ascii_metric_text(F.col("h"))).cast("long").alias("edits"))
+
+
 @query()
 def cer_wer(spark, sf):
     """Corpus rates of each conversation's turn against the next: word and character edits over the reference."""
