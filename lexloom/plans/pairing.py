@@ -107,3 +107,10 @@ def store_coverage(spark, sf):
     """(uid, tempo) pairs that a side store lacks."""
     wanted = table(spark, sf, "documents").filter("doc_id < 50").select("doc_id", F.explode(F.array(*map(F.lit, (900, 1000, 1100)))).alias("tempo"))
     return wanted.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, t.tempo FROM documents d, (VALUES (900), (1000), (1100)) t(tempo) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def store_coverage_whole(spark, sf):
+    """(uid, tempo) pairs that a side store lacks, of every document."""
+    wanted = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (900, 1000, 1100)))).alias("tempo"))
+    return wanted.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
