@@ -35,6 +35,13 @@ def missing_partitions(spark, sf):
     return spark.range(40).withColumnRenamed("id", "missing").join(seen, "missing", "left_anti")
 
 
+@query("SELECT i AS missing FROM (SELECT unnest(range(0, max(n_chars) // 100 + 1)) AS i FROM documents) WHERE i NOT IN (SELECT n_chars // 100 FROM documents WHERE n_chars IS NOT NULL)")
+def missing_partitions_whole(spark, sf):
+    """Partitions of 100 characters, up to the longest document's, that no document of the table is in."""
+    seen = table(spark, sf, "documents").select(F.expr("n_chars div 100").alias("missing")).distinct()
+    return seen.agg(F.max("missing").alias("last")).select(F.explode(F.expr("sequence(0L, last)")).alias("missing")).join(seen, "missing", "left_anti")
+
+
 @query("SELECT doc_id FROM documents WHERE n_chars > 2000 INTERSECT SELECT doc_id FROM labels")
 def intersect_keys(spark, sf):
     return table(spark, sf, "documents").filter("n_chars > 2000").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))

@@ -34,3 +34,8 @@ def test_char_levenshtein_whole(rows):
 def test_store_coverage_whole(rows):
     got = rows("store_coverage_whole", documents=([(3,), (50,), (7000,)], "doc_id long"), labels=([(3,), (50,)], "doc_id long"))
     assert got == [(7000, tempo) for tempo in (900, 1000, 1100)]
+
+
+def test_missing_partitions_whole(rows):
+    sizes = [(0, 5), (3, 150), (31, 390), (900, 799), (901, None)]
+    assert rows("missing_partitions_whole", documents=(sizes, "doc_id long, n_chars long")) == [(2,), (4,), (5,), (6,)]
