@@ -195,7 +195,7 @@ def speaker_cap(spark, sf):
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id < 700 ORDER BY doc_id LIMIT 300")
 def limit_evaluated(spark, sf):
-    return docs(spark, sf).filter("doc_id < 700").orderBy("doc_id").limit(300).select("doc_id", "source", "n_chars")
+    return docs(spark, sf).orderBy("doc_id").limit(300).select("doc_id", "source", "n_chars")
 
 
 @query("SELECT source, count(*) AS n, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY 1")

@@ -39,3 +39,8 @@ def test_store_coverage_whole(rows):
 def test_missing_partitions_whole(rows):
     sizes = [(0, 5), (3, 150), (31, 390), (900, 799), (901, None)]
     assert rows("missing_partitions_whole", documents=(sizes, "doc_id long, n_chars long")) == [(2,), (4,), (5,), (6,)]
+
+
+def test_limit_evaluated_sparse_ids(rows):
+    data = [(i * 10, "s", 1) for i in range(400)]
+    assert rows("limit_evaluated", documents=(data, "doc_id long, source string, n_chars long")) == [(i * 10, "s", 1) for i in range(300)]
