@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Linked documents start dealt round over the shards; then each round
 joins every group's cells (group, shard, rows) with the shards' free quotas and moves rows towards the
-shard where most of their neighbours are, as far as its quota reaches, so cut edges only become fewer. A group
-larger than a shard stays cut, because counts may differ by one at most. Documents without
+shard where most of their neighbours are, as far as its quota reaches, so cut edges only become fewer, until nothing moves. On a tie the cell in the lowest free shard stays and
+those in full or higher shards move to it. A group larger than a shard stays cut, because counts may differ by one at most. Documents without
 links then fill every shard up to its count exactly. ``slot`` numbers a shard's rows from 0.
 
 Propagation works on cells, at most ``shards`` rows for a group however many copies it has, and all ranks
@@ -25,7 +25,7 @@ from lexloom.llm.ranks import running
 from lexloom.session import cut
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 12) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for every row of ``docs`` (doc_id and text are read)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,13 +48,13 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 12) -> DataFrame:
     dealt = running(linked, [], bucket, ["h", "doc_id"], F.lit(1), "_r")
     cells = cut(dealt.groupBy("g", F.pmod("_r", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("c")))
     room = spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(n // shards) + (F.col("id") < n % shards).cast("long")).alias("room"))
-    for _ in range(rounds):
+    while True:  # ends, as every move makes a group's sum of squared cells larger
         load = cells.groupBy("shard").agg(F.sum("c").alias("load"))
         free = room.join(load, "shard", "left").select("shard", (F.col("room") - F.coalesce("load", F.lit(0))).alias("free"))
         now = cells.join(F.broadcast(free), "shard")  # one row for each shard
         best = F.max(F.when(F.col("free") > 0, F.struct("c", (-F.col("shard")).alias("s"), "free"))).over(Window.partitionBy("g"))
         now = now.withColumn("best", best).withColumn("to", -F.col("best.s"))
-        wants = now.filter((F.col("to") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & (F.col("to") < F.col("shard")))))
+        wants = now.filter((F.col("to") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & ((F.col("to") < F.col("shard")) | (F.col("free") <= 0)))))
         wants = wants.select("g", "shard", "c", "to", F.col("best.free").alias("quota"))
         asked = running(wants, ["to"], F.pmod(F.xxhash64("g"), F.lit(many)), ["g", "shard"], F.col("c"), "_before")
         moves = cut(asked.withColumn("c", F.least("c", F.col("quota") - F.col("_before"))).filter("c > 0").select("g", "shard", "to", "c"))

@@ -278,3 +278,15 @@ def test_pipeline_takes_similarity_080(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
     assert {r["component_id"] for r in near_duplicates(docs).collect()} == {0, 1, 2}
+
+
+def test_shards_join_pairs_while_there_is_room(spark):
+    """A hot group fills low shards; a pair stays cut only between shards that linked rows fill."""
+    texts = ["hot"] * 240 + [f"pair {i // 2}" for i in range(240)] + [f"alone {i}" for i in range(240)]
+    rows = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    full = {s: sum(r["linked"] for r in rows if r["shard"] == s) == 30 for s in range(24)}
+    pairs = {}
+    for r in rows:
+        if texts[r["doc_id"]].startswith("pair"):
+            pairs.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert [p for p in pairs.values() if len(p) > 1 and not all(full[s] for s in p)] == []
