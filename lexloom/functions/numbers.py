@@ -1,0 +1,190 @@
+"""Numbers, dates and clock times in Turkish words: one scan finds numeric runs, a small reader speaks each of them.
+
+A run is a chain of integers and the marks between them (``1.250,50``, ``3-4``, ``9.-10.``). The reader gives every mark
+a meaning (thousands, decimals, clock, range, or none), then reads the integers, the last one with the case ending or
+the ordinal stop that follows the run.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+# Number words, scales, months, letters.
+ONES = ("", "bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz")
+TENS = ("", "on", "yirmi", "otuz", "kırk", "elli", "altmış", "yetmiş", "seksen", "doksan")
+SCALES = ("", "bin", "milyon", "milyar", "trilyon", "katrilyon")
+MONTHS = ("ocak", "şubat", "mart", "nisan", "mayıs", "haziran", "temmuz", "ağustos", "eylül", "ekim", "kasım", "aralık")
+LETTERS = "a-zA-ZçğıöşüâîûÇĞİÖŞÜÂÎÛ"
+SMALL = "a-zçğıöşü"
+VOICELESS = "çfhkpsşt"
+ROUND = {"a": "ı", "ı": "ı", "e": "i", "i": "i", "o": "u", "u": "u", "ö": "ü", "ü": "ü"}
+
+RUN = re.compile(r"(?P<before>%\s?)?(?P<run>\d+(?:(?:\.\s?[-–]\s?|\s?[-–]\s?|[.,:])\d+)*)(?P<after>\s?%)?")
+CASE = re.compile(rf"['’](?P<ending>[{LETTERS}]+)")
+NTH = re.compile("[iıuü]?nc[iıuü]")
+STOP = re.compile(rf"\.(?=\s+[{SMALL}])")
+SPOKEN = re.compile(
+    r"\b(?P<day>\d{1,2})[./-](?P<month>\d{1,2})[./-](?P<year>\d{4})\b"
+    r"|(?P<hour_word>\b(?i:saat)\s+)?(?<![\d.,:])(?P<hour>\d{1,2})(?P<mark>[.:])(?P<minute>\d{2})(?!\d)"
+    r"|(?P<minus>(?<!\w)(?<!\d\.)-(?=\d))"
+)
+
+
+@lru_cache(1 << 16)
+def cardinal(n: int) -> str:
+    """An integer in words: groups of three digits with their scale, "bin" alone for one thousand."""
+    if n <= 0:
+        return "sıfır" if n == 0 else f"eksi {cardinal(-n)}"
+    spoken: list[str] = []
+    digits = str(n)
+    digits = digits.zfill(-(-len(digits) // 3) * 3)
+    for at in range(0, len(digits), 3):
+        h, t, o = map(int, digits[at : at + 3])
+        scale = len(digits) // 3 - at // 3 - 1
+        if (h, t, o) == (0, 0, 0):
+            continue
+        if not (scale == 1 and (h, t, o) == (0, 0, 1)):
+            spoken += [ONES[h]] * (h > 1) + ["yüz"] * (h > 0) + [TENS[t], ONES[o]]
+        spoken.append(SCALES[scale])
+    return " ".join(w for w in spoken if w)
+
+
+def ordinal(n: int) -> str:
+    """The last word takes -(i)nci in vowel harmony; the t of dört is voiced."""
+    *before, last = cardinal(n).split()
+    if last == "dört":
+        last = "dörd"
+    vowel = ROUND[[c for c in last if c in ROUND][-1]]
+    return " ".join([*before, last + ("nc" if last[-1] in ROUND else f"{vowel}nc") + vowel])
+
+
+def read(digits: str) -> str:
+    """Codes with a leading zero or above fifteen digits are read digit by digit."""
+    code = len(digits) > 15 or (len(digits) > 1 and digits.startswith("0"))
+    return " ".join(map(cardinal, map(int, digits))) if code else cardinal(int(digits))
+
+
+class Run:
+    """One chain of integers: ``numbers[i]`` and ``numbers[i + 1]`` have ``marks[i]`` between them."""
+
+    def __init__(self, text: str, match: re.Match, v2: bool):
+        self.text, self.v2 = text, v2
+        parts = re.split(r"(\D+)", match["run"])
+        self.numbers, self.marks = parts[::2], parts[1::2]
+        self.end, self.open_left = match.end(), match.start() == 0 or not re.match(r"\w", text[match.start() - 1])
+        self.share = match["after"] is not None
+        self.word_follows = bool(re.match(r"\w", text[self.end :][:1]))
+
+    def ends_word(self, i: int) -> bool:
+        return i < len(self.marks) or self.share or not self.word_follows
+
+    def starts_word(self, i: int) -> bool:
+        return i > 0 or self.open_left
+
+    def join(self, fits, means: str) -> None:
+        """Give a meaning to every mark that fits; a number takes part in one pair only."""
+        i = 0
+        while i < len(self.marks):
+            step = 1
+            if fits(i):
+                self.marks[i], step = means, 2
+            i += step
+
+    def thousands(self) -> None:
+        i = 0
+        while i < len(self.marks):
+            if self.marks[i] == "." and len(self.numbers[i + 1]) == 3 and self.ends_word(i + 1):
+                self.numbers[i : i + 2] = [self.numbers[i] + self.numbers[i + 1]]
+                del self.marks[i]
+            else:
+                i += 1
+
+    def inflected(self, digits: str, ending: str) -> str:
+        nth = NTH.match(ending)
+        if nth and (self.v2 or nth[0] == ending):
+            return ordinal(int(digits)) + ending[len(nth[0]) :]
+        stem = read(digits)
+        if not self.v2:
+            return stem + ending
+        if stem.endswith("dört") and ending[0].translate(FOLD).lower() in "aeıioöuüâîû":
+            stem = stem[:-1] + "d"
+        hard = {"d": "t", "D": "T"}.get(ending[0], ending[0]) if stem[-1] in VOICELESS else ending[0]
+        return stem + hard + ending[1:]
+
+    def spoken(self) -> tuple[str, int]:
+        """The run in words, and where the text goes on."""
+        self.join(lambda i: self.marks[i] == ":" and self.starts_word(i) and len(self.numbers[i]) < 3 and len(self.numbers[i + 1]) == 2 and self.ends_word(i + 1), " ")
+        self.thousands()
+        share = (len(self.numbers) - 1 - (self.marks[-1:] in (["."], [","]))) if self.share else None
+        within = lambda i: share is None or i != share - 1
+        self.join(lambda i: self.marks[i] == "," and within(i), " virgül ")
+        self.join(lambda i: self.marks[i] == "." and within(i), " nokta ")
+        self.join(lambda i: self.marks[i].strip() in ("-", "–") and within(i), " ")
+        rest, last = self.text[self.end :], len(self.numbers) - 1
+        words = [read(n) for n in self.numbers]
+        stop, case = STOP.match(rest), CASE.match(rest)
+        if self.share:
+            stop = None
+        if case:
+            words[last], self.end = self.inflected(self.numbers[last], case["ending"]), self.end + case.end()
+        elif stop and self.starts_word(last):
+            words[last], self.end = ordinal(int(self.numbers[last])), self.end + 1
+            if self.v2 and last and self.marks[-1][0] == "." and self.marks[-1].strip(". ") in ("-", "–") and self.starts_word(last - 1):
+                words[last - 1], self.marks[-1] = ordinal(int(self.numbers[last - 1])), " "
+        if share is not None:
+            words[share] = f"yüzde {words[share]}"
+        return "".join(w + m for w, m in zip(words, [*self.marks, ""], strict=True)), self.end
+
+
+FOLD = {0x130: "i", 0x49: "ı"}
+
+
+def spell(text: str, v2: bool = False) -> str:
+    """All numbers of a text in words. ``v2`` voices "dört", hardens endings, and reads ordinals with more endings and ordinal ranges."""
+    out, at = [], 0
+    letter = re.compile(f"[{LETTERS}]")
+    for match in RUN.finditer(text):
+        if match.start() < at:
+            continue
+        out.append(text[at : match.start()])
+        if match.start() and letter.match(text[match.start() - 1]):
+            out.append(" ")
+        if match["before"]:
+            out.append("yüzde ")
+        words, at = Run(text, match, v2).spoken()
+        out.append(words)
+        if at == match.end() and letter.match(text[at : at + 1]):
+            out.append(" ")
+    return " ".join(("".join(out) + text[at:]).split())
+
+
+def dates_and_clocks(text: str) -> str:
+    """15.07.2016 -> 15 temmuz 2016, 14:00'te -> 14'te, saat 3.30 -> saat 3 30, -5 -> eksi 5; impossible ones stay."""
+
+    def say(m: re.Match) -> str:
+        if m["minus"]:
+            return "eksi "
+        if m["year"]:
+            day, month = int(m["day"]), int(m["month"])
+            return f"{day} {MONTHS[month - 1]} {m['year']}" if day in range(1, 32) and month in range(1, 13) else m[0]
+        rest, hour, minute = text[m.end() :], int(m["hour"]), int(m["minute"])
+        ends = not re.match(r"\w|[.,:]\d", rest)
+        is_clock = ends and (m["hour_word"] or m["mark"] == ":") or re.match(f"'[{LETTERS}]", rest)
+        if not is_clock or hour > 24 or minute > 59:
+            return m[0]
+        return f"{m['hour_word'] or ''}{hour}" + f" {m['minute']}" * (minute > 0)
+
+    return SPOKEN.sub(say, text)
+
+
+def _numeral(n: int) -> str:
+    """A Roman numeral by decimal places."""
+    out = ""
+    for place, (one, five, ten) in ((100, "CDM"), (10, "XLC"), (1, "IVX")):
+        d = n // place % 10
+        out += one + ten if d == 9 else one + five if d == 4 else five * (d > 4) + one * (d % 5)
+    return out
+
+
+ROMAN = {_numeral(n): n for n in range(1, 101)}

@@ -1,0 +1,154 @@
+"""Golden values of the text rules."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.functions import chunks, numbers, turkish
+
+# What the rules must give, known mistakes of the first version included.
+TRANSCRIPT_1 = {
+    "4'e": "dörte", "4'ü": "dörtü", "%4'ü": "yüzde dörtü", "2024'e": "iki bin yirmi dörte", "2'incisi": "ikiincisi", "6'ıncısı": "altııncısı", "5'de": "beşde",
+    "T.C. vatandaşı": "T.C. vatandaşı", "Prof.Dr. Ahmet": "Prof.Dr. Ahmet", "3.30'a": "üç nokta otuza", "14:00'te": "on dört sıfır sıfırte", "11.30'da": "on bir nokta otuzda",
+    "15.07.2016": "on beş nokta sıfır yedi.iki bin on altı", "-5 derece": "-beş derece", "21.yüzyıl": "yirmi bir.yüzyıl", "e-posta": "e-posta",
+    "9.-10. yüzyıllarda": "dokuz.-onuncu yüzyıllarda", "%99'u senin olsun": "yüzde doksan dokuzu senin olsun", "1920'lerde 12. nesil": "bin dokuz yüz yirmilerde on ikinci nesil",
+    "Saat 12:30'da, 3,5 lira, 17.5 sürüm": "Saat on iki otuzda, üç virgül beş lira, on yedi nokta beş sürüm", "T24'te 350D ile": "T yirmi dörtte üç yüz elli D ile",
+    "1.000.000 lira 3'üncü": "bir milyon lira üçüncü", "3-4 milyar": "üç dört milyar", "2 kişi": "iki kişi", "50 %": "yüzde elli", "0532": "sıfır beş üç iki",
+}
+TRANSCRIPT_2 = {
+    "4'e": "dörde", "%4'ü": "yüzde dördü", "14'ün": "on dördün", "4'er": "dörder", "3,4'ü": "üç virgül dördü", "1.004'e": "bin dörde", "04'e": "sıfır dörde",
+    "Saat 14:04'e": "Saat on dört sıfır dörde", "4'te": "dörtte", "4'üncü": "dördüncü", "4. sınıf": "dördüncü sınıf", "40'a": "kırka", "2'incisi": "ikincisi", "7'inciye": "yedinciye",
+    "20'incisi": "yirmincisi", "4'üncüsü": "dördüncüsü", "2'nci": "ikinci", "5'de": "beşte", "60'dan": "altmıştan", "%5'de": "yüzde beşte", "9'dan": "dokuzdan",
+    "14:00'te": "on dörtte", "11.30'da": "on bir otuzda", "saat 09.05": "saat dokuz sıfır beş", "15.07.2016": "on beş temmuz iki bin on altı", "15.07.2016'da": "on beş temmuz iki bin on altıda",
+    "-5 derece": "eksi beş derece", "3-4 milyar": "üç dört milyar", "3.5 puan": "üç nokta beş puan", "T.C. vatandaşıyım.": "te ce vatandaşıyım.", "Koç Holding A.Ş.": "Koç Holding anonim şirketi.",
+    "Yılmaz Ltd. Şti. kuruldu": "Yılmaz limited şirketi kuruldu", "Yılmaz Ltd.Şti.": "Yılmaz limited şirketi.", "Prof. Dr. Ayşe geldi": "Profesör Doktor Ayşe geldi", "Arş. Gör. Ali": "araştırma görevlisi Ali",
+    "elma, armut vb. Sonra geldi": "elma, armut ve benzeri. Sonra geldi", "16. yy.": "on altıncı yüzyıl.", "Prof.Dr. Ahmet": "Profesör Doktor Ahmet", "Yrd.Doç.Dr. Ali": "Yardımcı Doçent Doktor Ali",
+    "Öğr.Gör. Ali": "öğretim görevlisi Ali", "Dr.Ahmet geldi": "Doktor Ahmet geldi", "armut vs.Sonra": "armut vesaire. Sonra", "16. yy.da": "on altıncı yüzyılda", "elma vb.leri": "elma ve benzerileri",
+    "Ateşi yak.": "Ateşi yak.", "Av. sezonu": "Av. sezonu", "9.-10. yüzyıllarda": "dokuzuncu onuncu yüzyıllarda", "1.-2. dereceden akraba": "birinci ikinci dereceden akraba", "Hava (-3) derece": "Hava (eksi üç) derece",
+}
+METRIC_1 = {
+    "i̇stanbul": "i stanbul", "kâr": "kâr", "II. Dünya": "ıı dünya", "21.yüzyıl": "yirmi bir yüzyıl", "3.30'a": "üç nokta otuza", "50 euro": "elli euro", "5 km": "beş km",
+    "e-posta": "e posta", "COVID-19": "covıd on dokuz", "4'e": "dörte", "İsveç'ten 86 kişi!": "isveçten seksen altı kişi",
+}
+METRIC_2 = {
+    "i̇stanbul'a gittik": "istanbula gittik", "Kâr payı": "kar payı", "millî takım": "milli takım", "II. Dünya Savaşı": "ikinci dünya savaşı", "I. Dünya Savaşı": "birinci dünya savaşı",
+    "XVI. yüzyıl": "on altıncı yüzyıl", "XVI.yüzyıl": "on altıncı yüzyıl", "XIX yüzyılda": "on dokuzuncu yüzyılda", "V. Murat": "beşinci murat", "Faz II başladı": "faz iki başladı", "Faz II'de": "faz ikide",
+    "Bay X. geldi": "bay x geldi", "XL beden": "xl beden", "CD aldım": "cd aldım", "21.yüzyıl": "yirmi birinci yüzyıl", "3.sınıf": "üçüncü sınıf", "3.30'a kadar": "üç otuza kadar", "saat 3.30": "saat üç otuz",
+    "Saat 14.00'te": "saat on dörtte", "14:00": "on dört", "saat 09.05": "saat dokuz sıfır beş", "3.5 puan": "üç nokta beş puan", "50 euro": "elli avro", "€50": "elli avro", "50€": "elli avro",
+    "herşey yolunda": "her şey yolunda", "kovid": "covid", "5 TL": "beş lira", "5 TL'ye": "beş liraya", "5km'de": "beş kilometrede", "2 kg": "iki kilogram", "25°C": "yirmi beş derece", "T.C.": "te ce",
+    "Koç A.Ş.": "koç anonim şirketi", "Yılmaz Ltd. Şti.": "yılmaz limited şirketi", "elma vb.": "elma ve benzeri", "Yrd.Doç.Dr.": "yardımcı doçent doktor", "Öğr.Gör.": "öğretim görevlisi", "e-posta": "eposta",
+    "Wi-Fi": "wifi", "COVID-19": "covid on dokuz", "UNICEF": "unicef", "LinkedIn": "linkedin", "IRAK": "ırak", "ISPARTA'da": "ıspartada", "4'e": "dörde", "6'ıncısı": "altıncısı", "40'da": "kırkta",
+    "İsveç´ten": "isveçten", "‘Merhaba’ dedi": "merhaba dedi", "Yazlık-kışlık ayrımı": "yazlık kışlık ayrımı", "yavaş-yavaş, sağlı-sollu": "yavaş yavaş sağlı sollu", "a-b-c": "abc",
+}
+
+
+def test_transcripts():
+    assert {k: turkish.transcript(k)[0] for k in TRANSCRIPT_1} == TRANSCRIPT_1
+    assert {k: turkish.transcript(k, True)[0] for k in TRANSCRIPT_2} == TRANSCRIPT_2
+    assert turkish.transcript("kelime ابت")[1].startswith("Unsupported") and turkish.transcript("  ")[1] == "Empty transcript"
+
+
+def test_metric_texts():
+    assert {k: turkish.metric_text(k) for k in METRIC_1} == METRIC_1
+    assert {k: turkish.metric_text_2(k) for k in METRIC_2} == METRIC_2
+    assert turkish.english_metric("Don’t STOP, é!") == "don't stop é" and turkish.legacy_metric("Don’t é!") == "don't"
+    assert turkish.match_key("Işık 3'te!") == "işik üçte"
+    assert turkish.text_characters("Saat 3'te, geldi!") == 13 and turkish.chars_per_second("Saat 3'te, geldi!", 2.0) == 6.5
+    with pytest.raises(ValueError):
+        turkish.chars_per_second("a", 0)
+
+
+def test_plain_text_and_explicit_english():
+    assert turkish.plain(" “a” –  b… ") == '"a" - b...'
+    assert turkish.explicit_english("Doctor Who") == "Doctor Who"
+    for bad in ("Dr. Who", "5 apples", "€ five", " "):
+        with pytest.raises(ValueError):
+            turkish.explicit_english(bad)
+
+
+def test_numerals():
+    assert [numbers.ROMAN[n] for n in ("I", "IV", "IX", "XIV", "XXXIX", "XL", "XCIX", "C")] == [1, 4, 9, 14, 39, 40, 99, 100]
+    assert len(numbers.ROMAN) == 100 and "IIII" not in numbers.ROMAN
+    assert [numbers.cardinal(n) for n in (0, 11, 100, 1000, 12345, -5)] == ["sıfır", "on bir", "yüz", "bin", "on iki bin üç yüz kırk beş", "eksi beş"]
+
+
+def edits_by_brute_force(ref, hyp):
+    """All three counts by the definition: least cost, then diagonal before deletion before insertion on the way back."""
+    from functools import cache
+
+    @cache
+    def cost(i, j):
+        if not i or not j:
+            return i + j
+        return min(cost(i - 1, j - 1) + (ref[i - 1] != hyp[j - 1]), cost(i - 1, j) + 1, cost(i, j - 1) + 1)
+
+    def back(i, j):
+        if not i and not j:
+            return 0, 0, 0
+        if i and j and cost(i, j) == cost(i - 1, j - 1) + (ref[i - 1] != hyp[j - 1]):
+            s, d, n = back(i - 1, j - 1)
+            return s + (ref[i - 1] != hyp[j - 1]), d, n
+        if i and cost(i, j) == cost(i - 1, j) + 1:
+            s, d, n = back(i - 1, j)
+            return s, d + 1, n
+        s, d, n = back(i, j - 1)
+        return s, d, n + 1
+
+    return cost(len(ref), len(hyp)), *back(len(ref), len(hyp))
+
+
+def test_word_edits_against_brute_force():
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 8))] for _ in range(2))
+        assert turkish.word_edits(a, b) == edits_by_brute_force(a, b)
+        assert turkish.char_edits("".join(a), "".join(b)) == edits_by_brute_force(a, b)[0]
+
+
+def test_error_counts():
+    assert turkish.error_counts("Sadece 86 kişi İsveç'ten aldı.", "sadece seksen altı kişi isveçten aldı")["wer"] == 0
+    assert turkish.error_counts("one", "one two three", turkish.english_metric)["wer"] == 2
+    spaced = turkish.spaced_error_counts("İstanbul'da kal", "istanbulda kal")
+    assert (spaced["words"], spaced["word_edits"], spaced["char_edits"], spaced["chars"]) == (3, 2, 1, 15)
+    for a, b in (("II. Dünya Savaşı 3.30'da bitti.", "İkinci Dünya Savaşı üç otuzda bitti."), ("Kâr 50 euro", "kar elli avro"), ("21.yüzyıl", "21. yüzyıl")):
+        assert turkish.error_counts(a, b, turkish.metric_text_2)["wer"] == 0 < turkish.error_counts(a, b)["wer"]
+
+
+def test_known_phrases():
+    phrases = ["Altyazı M.K.", "İzlediğiniz için teşekkürler"]
+    assert turkish.without_phrases("Merhaba dünya. Altyazı M.K.", "Merhaba dünya.", phrases) == ("merhaba dünya", ["Altyazı M.K."])
+    twice = "İzlediğiniz için teşekkürler. İzlediğiniz için teşekkürler!"
+    assert turkish.without_phrases(twice, phrases[1], phrases) == ("izlediğiniz için teşekkürler", [phrases[1]])
+    assert turkish.without_phrases(phrases[1], phrases[1], phrases)[1] == []
+
+
+def test_sentence_ends():
+    text = "bugün hava çok güzel olduğu için parka gidiyoruz iki saat sonra arkadaşlarımızla buluşacağız sonra birlikte top oynayacağız ikindi vakti eve döneceğiz"
+    want = "bugün hava çok güzel olduğu için parka gidiyoruz. İki saat sonra arkadaşlarımızla buluşacağız. Sonra birlikte top oynayacağız. İkindi vakti eve döneceğiz"
+    assert chunks.restore_ends(text) == want
+    assert chunks.restore_ends("Bu kısa bir metindir ve noktası yok") == "Bu kısa bir metindir ve noktası yok"
+    pins = {"merhaba dünya": "merhaba dünya.", "Nasılsın?": "Nasılsın?", "bu bir test,": "bu bir test.", "sonra da —": "sonra da.", 'Dedi ki "geliyorum"': 'Dedi ki "geliyorum."', "": ""}
+    assert {k: chunks.finish_sentence(k) for k in pins} == pins
+
+
+def test_chunks():
+    text = "Kısa. Bir cümle daha. " + "Uzun bir cümle, virgüllerle bölünebilir, " * 8 + "ve biter.\nYeni satır."
+    found = chunks.sentences(text, 120, 30)
+    assert all(len(c) <= 120 for c, _ in found) and found[0][0].startswith("Kısa. Bir cümle daha.") and found[-1][1] == "sentence"
+    assert " ".join(c for c, _ in found).split() == text.split()
+    assert chunks.sentences("   ") == [] and chunks.sentences("Tek cümle.") == [("Tek cümle.", "sentence")]
+    sentence = ("Son modellere kıyasla geri döndürülmesi zor eylemlerde bulunma veya kendisine verilen sınırların dışına "
+                "çıkma olasılığı çok daha düşüktür ve prompt enjeksiyonuna karşı opus beşten daha dirençlidir.")
+    for limit in (185, 120, 90, 60):
+        parts = [c for c, _ in chunks.sentences(sentence, limit, 0)]
+        assert all(len(c) <= limit for c in parts) and " ".join(parts) == sentence and min(map(len, parts)) >= 30
+
+
+def test_columns(spark):
+    f = turkish.columns()
+    row = spark.createDataFrame([("5'de A.Ş. 3 km",), (None,)], "t string").select(
+        f["transcript_v2"]("t").alias("v2"), f["metric_text_2"]("t").alias("m"), f["explicit_english"]("t").alias("e"), f["text_characters"]("t").alias("n"), F.col("t")
+    ).collect()
+    assert row[0]["v2"]["text"] == "beşte anonim şirketi üç km" and row[0]["m"] == "beşte anonim şirketi üç kilometre" and row[0]["e"] is None
+    assert row[1]["m"] is None and row[1]["n"] is None
