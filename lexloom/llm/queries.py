@@ -63,8 +63,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language.remainder(7) == 2
-    model, counts = lm.train(docs.filter(~held_out).select("text"))
-    return lm.score(docs, model, counts).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = lm.train(docs.filter(~held_out).select("text"))
+    return lm.score(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
