@@ -2,8 +2,8 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text and are hashed to 64 bits by a polynomial over
 a random byte table (A-Z folds to a-z inside the table), so a batch of documents costs a few numpy
-passes and no Python step per word. Work goes in chunks of about ``CHUNK`` bytes of whole documents;
-one longer document makes one longer chunk.
+passes and no Python step per word. Work goes in chunks of about ``CHUNK`` bytes of whole documents, small enough
+that a pass's arrays stay in the processor's cache; one longer document makes one longer chunk.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 U64 = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -22,26 +22,27 @@ BYTES = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 LOWER = BYTES.copy()
 LOWER[65:91] = BYTES[97:123]
 COEF = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+OTHER = _rng.integers(1, 2**64, 256, dtype=np.uint64)
+#: Two independent bases: one hash nominates, both together decide.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2**64."""
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse, modulo 2**64."""
     size = CHUNK + CHUNK // 16
     while size < n:
         size *= 2
-    if size not in _powers:
-        if len(_powers) > 1:
+    if (size, which) not in _powers:
+        if len(_powers) > 3:
             _powers.clear()
         out = []
-        for base in (_BASE, _INVERSE):
+        for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             a = np.full(size, base, U64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        _powers[size] = tuple(out)
-    return _powers[size]
+        _powers[size, which] = tuple(out)
+    return _powers[size, which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,15 +93,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, table: np.ndarray, which: int = 0) -> np.ndarray:
     """Polynomial prefix sums: ``span_hash`` gets any span's hash from them."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(table[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(table[data] * powers(len(data) + 1, which)[0][: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    return (prefix[ends] - prefix[starts]) * powers(len(prefix), which)[1][starts]
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:

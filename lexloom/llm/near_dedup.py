@@ -81,7 +81,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = K.column_bytes(batch.column(1))
-        for i, j in K.chunks(off):
+        for i, j in K.chunks(off, 1 << 18):
             sets = list(K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]))
             keys = band_keys(signature(sets))
             has = np.array([len(s) > 0 for s in sets])
@@ -102,7 +102,7 @@ def sketch(members: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = K.column_bytes(batch.column(1))
-        for i, j in K.chunks(off):
+        for i, j in K.chunks(off, 1 << 18):
             sets = list(K.shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]))
             bits = pa.ListArray.from_arrays(np.arange(0, len(sets) * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(np.concatenate([sketch(s) for s in sets])))
             digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())

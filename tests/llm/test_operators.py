@@ -1,13 +1,15 @@
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import language, lm, media, pieces
+from lexloom.llm import language, lm, media, pieces, repeats
 from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.quality import quality
@@ -79,6 +81,34 @@ def test_repeats(docs, none):
     assert dedup_report(none).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    passage, other = " ".join(WORDS[:60]), "short, and of its own"
+    rows = [(1, passage), (5, "alpha beta " + passage), (5, other), (5, other), (None, passage), (7, passage), (7, passage)]
+    got = {}
+    for r in dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r["doc_id"], r["n_bytes"]), []).append((r["n_removed"], r["kept_sha256"]))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    n = len(passage)
+    assert got == {
+        (1, n): [(0, sha(passage))], (5, n + 11): [(n, sha("alpha beta "))], (5, len(other)): [(0, sha(other))] * 2,
+        (None, n): [(0, sha(passage))], (7, n): [(n, sha(""))] * 2,
+    }
+
+
+def test_parts_of_a_very_long_text_name_the_same_strings(monkeypatch):
+    """A text cut into parts has every window once, under the same key as in one piece."""
+    text = " ".join(random.Random(3).choice(WORDS) for _ in range(4000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [4], "twin": [0], "text": [text]})
+    all_bits = types.SimpleNamespace(value=np.full(1 << 14, 2**64 - 1, np.uint64))
+    found = []
+    for segment in (1 << 24, 4096):
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        rows = pa.Table.from_batches(repeats._scan("windows", all_bits, all_bits, all_bits)([batch])).to_pylist()
+        found.append({r["lo"]: (r["k"], r["k2"]) for r in rows})
+        assert len(rows) == len(found[-1]) == len(text.encode()) - 99
+    assert found[0] == found[1]
+
+
 def test_mixing(docs, none):
     rows = mix_sources(docs).collect()
     again = mix_sources(docs.repartition(7)).collect()
@@ -148,8 +178,8 @@ def test_media(docs, none):
 
 def test_language_model(docs, none):
     held = language.remainder(7) == 2
-    model, counts = lm.train(docs.filter(~held).select("text"))
-    rows = {r["doc_id"]: r for r in lm.score(docs, model, counts).collect()}
+    model = lm.train(docs.filter(~held).select("text"))
+    rows = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
     token = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     c = {}
     for i, t, *_ in corpus():
@@ -161,20 +191,22 @@ def test_language_model(docs, none):
         base = sum(np.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in token(t))
         assert abs(rows[i]["base_score"] - base) < 1e-6
         assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(token(t)), sum(w in c for w in token(t)), n)
-    empty, none_counts = lm.train(none.select("text"))
-    assert lm.score(none, empty, none_counts).count() == 0
-    assert {r["base_score"] for r in lm.score(docs.filter("doc_id = 0"), empty, none_counts).collect()} == {0.0}
+    empty = lm.train(none.select("text"))
+    assert lm.score(none, empty).count() == 0
+    assert {(r["base_score"], r["score"]) for r in lm.score(docs.filter("doc_id = 0"), empty).collect()} == {(0.0, 0.0)}
 
 
 def test_elias_fano():
     rng = np.random.default_rng(2)
-    for top in (10, 1000, 1 << 40):
-        x = np.unique(rng.integers(0, top, 500).astype(np.uint64))
-        ef = lm.EliasFano(np.frombuffer(lm.EliasFano.pack(x), np.uint8))
+    for top in (10, 1000, 1 << 40, (1 << 64) - 1):
+        x = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
+        x = np.union1d(x, x[-1] - np.arange(min(300, len(x)), dtype=np.uint64)) if top > 1000 else x  # a dense end
+        ef = lm.Sequence(*lm.Sequence.arrays(x))
         assert (ef[np.arange(len(x))] == x).all()
-        ask = rng.integers(0, top, 300).astype(np.uint64)
-        got = ef.find(ask, np.zeros(300, np.int64), np.full(300, len(x)))
-        assert [int(g) for g in got] == [int(np.searchsorted(x, a)) if a in x else -1 for a in ask]
+        ask = np.concatenate([rng.integers(0, top, 300, dtype=np.uint64), x, x + np.uint64(1)])
+        assert ef.find(ask).tolist() == [int(np.searchsorted(x, a)) if a in x else -1 for a in ask]
+        c = rng.integers(1, top, len(x), dtype=np.uint64)
+        assert all((a == b).all() for a, b in zip(lm.unpack(lm.pack(x, c)), (x, c), strict=True))
 
 
 def test_shards(docs, none, spark):
@@ -234,8 +266,8 @@ def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
     r = random.Random(3)
     texts = [" ".join(f"u{r.randrange(9)}" for _ in range(4000)) for _ in range(290)] + ["rare words met once", "u1 rare words again"]
     ask = ["rare words met once", "u1 rare words met u2 unseen", "", texts[0][:300]]
-    model, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    got = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model, counts).collect()}
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect()}
     grams = [{}, {}, {}]
     for t in texts:
         w = [*words(t), None]
@@ -244,7 +276,7 @@ def test_language_model_keeps_rare_ngrams(spark, monkeypatch):
                 g = tuple(w[i : i + k + 1])
                 grams[k][g] = grams[k].get(g, 0) + 1
     n, v = sum(grams[0].values()), len(grams[0])
-    assert n > 1 << 20 and model.sizes == [len(g) for g in grams] and model.shards.shards > 1
+    assert n > 1 << 20 and model.sizes == [len(g) for g in grams] and model.levels[0].shards > 1
     after = {}
     for k in (1, 2):
         for g in grams[k]:
