@@ -16,9 +16,9 @@ from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
 from lexloom.llm.quality import passing
 from lexloom.llm.queries import PIECES
-from lexloom.llm.repeats import remove_repeats
+from lexloom.llm.repeats import remove_repeats, twins
 from lexloom.llm.sieve import sieve
-from lexloom.session import prepare
+from lexloom.session import cut, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,18 +32,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates, linked from similarity 0.8 on."""
     docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs, percent=80).filter("not kept").select("doc_id")
+    gone = cut(near_duplicates(docs, percent=80).filter("not kept").select("doc_id"))
     return sieve(docs, "doc_id", gone, inverse=True).union(sieve(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that an earlier string covers; documents that lose everything stay, empty."""
-    docs = docs.select(*COLUMNS)
-    new = remove_repeats(docs).select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    ids = new.select("doc_id")
-    some = sieve(docs, "doc_id", ids).join(new, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    some = some.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return sieve(docs, "doc_id", ids, inverse=True).union(some.select(*COLUMNS))
+    """Texts without the bytes that an earlier string covers; documents that lose everything stay, empty.
+
+    Nulls, empty texts and a null doc_id pass as they are; rows that repeat a doc_id are documents of their own."""
+    rows = twins(docs, ("lang", "source", "n_chars"))
+    new = cut(remove_repeats(rows).select("doc_id", "twin", "kept_text"))
+    some = sieve(rows, "doc_id", new).join(new, ["doc_id", "twin"], "left").withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")))
+    some = some.withColumn("text", F.coalesce("kept_text", "text"))
+    return sieve(rows, "doc_id", new, inverse=True).select(*COLUMNS).union(some.select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
