@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.expr import finite, hash01, ngrams, words
+from lexloom.session import cut
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -42,25 +43,34 @@ def fences(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     return q.select(group, (F.col("q")[0] - spread).alias("low"), (F.col("q")[1] + spread).alias("high"))
 
 
+BROADCAST_GRAMS = 1 << 18
+
+
 def contaminated(docs: DataFrame, held_out: DataFrame, near: float = 0.8, n: int = 3, min_words: int = 5) -> DataFrame:
     """key, reason: exact, contains or near. Both sides have (key, norm) with normalised text.
 
-    All three go through an inverted index of word n-grams: a held-out sentence is contained only where its first
-    n-gram is, so each candidate pair comes from an equi-join, never from a cross join.
+    One pass over ``docs``: the text's n-grams leave the row one by one and meet the held-out sentences' n-grams, which are broadcast
+    if there are at most ``BROADCAST_GRAMS`` of them (they are counted), so nothing of a document is shuffled but what it shares
+    with a sentence. All three reasons come from these meetings: a held-out sentence is contained only where its first n-gram is.
     """
-    left = docs.select("key", "norm", ngrams(words(F.col("norm")), n).alias("grams"))
     right = held_out.select(F.col("norm").alias("sentence")).distinct().filter("sentence != ''")
     right = right.select("sentence", ngrams(words(F.col("sentence")), n).alias("other"), F.size(words(F.col("sentence"))).alias("n_words"))
-    index = left.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(
-        right.select("sentence", F.size("other").alias("other_size"), F.explode("other").alias("gram")), "gram"
-    )
-    overlap = index.groupBy("key", "sentence").agg(F.count("*").alias("both"), F.least(F.first("size"), F.first("other_size")).alias("smaller"))
-    close = overlap.filter((F.col("smaller") >= 2) & (F.col("both") / F.col("smaller") >= near)).select("key", F.lit(3).alias("rule"))
-    holds = overlap.join(left.select("key", "norm"), "key").join(right.select("sentence", "n_words"), "sentence").filter(f"n_words >= {min_words}")
-    holds = holds.filter(F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), "sentence", F.lit(" ")))).select("key", F.lit(2).alias("rule"))
-    same = left.join(right, left.norm == right.sentence, "left_semi").select("key", F.lit(1).alias("rule"))
-    rule = same.union(holds).union(close).groupBy("key").agg(F.min("rule").alias("rule"))
-    return rule.select("key", F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("near")), F.col("rule")).alias("reason"))
+    index = cut(right.select("sentence", "n_words", F.size("other").alias("other_size"), F.posexplode("other").alias("place", "gram")))
+    if index.count() <= BROADCAST_GRAMS:
+        index = F.broadcast(index)
+    # explode_outer: a plain explode makes Spark compute the n-grams once more, as a filter in front
+    left = docs.select("key", "norm", ngrams(words(F.col("norm")), n).alias("grams")).select("key", "norm", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))
+    padded = F.concat(F.lit(" "), "norm", F.lit(" "))
+    found = left.join(index, "gram").select(
+        "key", "sentence", F.least("size", "other_size").alias("smaller"),
+        F.when(F.col("place") == 0, F.col("norm") == F.col("sentence")).alias("same"),
+        F.when((F.col("place") == 0) & (F.col("n_words") >= min_words), padded.contains(F.concat(F.lit(" "), "sentence", F.lit(" ")))).alias("holds"),
+    )
+    pairs = found.groupBy("key", "sentence").agg(F.count("*").alias("both"), F.first("smaller").alias("smaller"), F.max("same").alias("same"), F.max("holds").alias("holds"))
+    close = (F.col("smaller") >= 2) & (F.col("both") / F.col("smaller") >= near)
+    rule = F.when(F.col("same"), 1).when(F.col("holds"), 2).when(close, 3)
+    best = pairs.select("key", rule.alias("rule")).filter("rule is not null").groupBy("key").agg(F.min("rule").alias("rule"))
+    return best.select("key", F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("near")), F.col("rule")).alias("reason"))
 
 
 def drop_list(df: DataFrame, scores: dict[str, Column], unscored: Sequence[str]) -> DataFrame:

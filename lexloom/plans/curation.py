@@ -193,7 +193,7 @@ def speaker_cap(spark, sf):
     return curate.capped(docs(spark, sf).filter(reason().isNull()).select("doc_id", "source"), "source", ["doc_id"], 10)
 
 
-@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id < 700 ORDER BY doc_id LIMIT 300")
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 300")
 def limit_evaluated(spark, sf):
     return docs(spark, sf).orderBy("doc_id").limit(300).select("doc_id", "source", "n_chars")
 

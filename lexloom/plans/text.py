@@ -10,7 +10,7 @@ from lexloom.plans.curation import KEY, NGRAMS
 from lexloom.plans.registry import query, table
 
 
-@query("SELECT doc_id, lower(translate(text, 'İI', 'iı')) AS folded FROM documents WHERE doc_id < 10000000")
+@query("SELECT doc_id, lower(translate(text, 'İI', 'iı')) AS folded FROM documents")
 def tr_case(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tr_lower(F.col("text")).alias("folded"))
 
@@ -46,14 +46,9 @@ def _next(spark, sf):
     return c.select("conv_id", "turn", F.col("text").alias("r"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("h")).filter("h is not null")
 
 
-@query(f"WITH {NEXT} SELECT conv_id, turn, levenshtein(left({KEY.format('r')}, 100), left({KEY.format('h')}, 100)) AS edits FROM n WHERE h IS NOT NULL")
-def char_levenshtein(spark, sf):
-    return _next(spark, sf).select("conv_id", "turn", F.levenshtein(F.substring(ascii_metric_text(F.col("r")), 1, 100), F.substring(ascii_metric_text(F.col("h")), 1, 100)).cast("long").alias("edits"))
-
-
 @query(f"WITH {NEXT} SELECT conv_id, turn, levenshtein({KEY.format('r')}, {KEY.format('h')}) AS edits FROM n WHERE h IS NOT NULL")
-def char_levenshtein_whole(spark, sf):
-    """Edits over whole turns, not over their first 100 characters."""
+def char_levenshtein(spark, sf):
+    """Edits between whole turns."""
     return _next(spark, sf).select("conv_id", "turn", F.levenshtein(ascii_metric_text(F.col("r")), ascii_metric_text(F.col("h"))).cast("long").alias("edits"))
 
 

@@ -25,20 +25,20 @@ def edits(a, b):
     return last[-1]
 
 
-def test_char_levenshtein_whole(rows):
+def test_char_levenshtein(rows):
     turns = ["same start " * 20 + "one end", "same start " * 20 + "another tail of it", "same start " * 30]
-    got = rows("char_levenshtein_whole", conversations=([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn long, text string"))
+    got = rows("char_levenshtein", conversations=([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn long, text string"))
     assert got == [(1, i, edits(turns[i].strip(), turns[i + 1].strip())) for i in range(2)] and all(r[2] for r in got)
 
 
-def test_store_coverage_whole(rows):
-    got = rows("store_coverage_whole", documents=([(3,), (50,), (7000,)], "doc_id long"), labels=([(3,), (50,)], "doc_id long"))
+def test_store_coverage(rows):
+    got = rows("store_coverage", documents=([(3,), (50,), (7000,)], "doc_id long"), labels=([(3,), (50,)], "doc_id long"))
     assert got == [(7000, tempo) for tempo in (900, 1000, 1100)]
 
 
-def test_missing_partitions_whole(rows):
+def test_missing_partitions(rows):
     sizes = [(0, 5), (3, 150), (31, 390), (900, 799), (901, None)]
-    assert rows("missing_partitions_whole", documents=(sizes, "doc_id long, n_chars long")) == [(2,), (4,), (5,), (6,)]
+    assert rows("missing_partitions", documents=(sizes, "doc_id long, n_chars long")) == [(2,), (4,), (5,), (6,)]
 
 
 def test_limit_evaluated_sparse_ids(rows):
