@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.expr import dot, unit
+from lexloom.operators import graph
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -17,11 +18,15 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.select(label, unit(F.col("v")).alias("centroid"))
 
 
-def similar_pairs(df: DataFrame, uid: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+BLOCK_ROWS = 4000
+
+
+def similar_pairs(df: DataFrame, uid: str, vector: str, threshold: float) -> DataFrame:
     """All pairs with cosine >= threshold, by blocks: every block meets every other once inside numpy, no row a pair is made below it.
 
-    ``blocks`` should grow with the square root of rows / 4000 so that a block pair fits a task.
+    A block has about ``BLOCK_ROWS`` vectors at every size, so a task's matrix stays the same and the number of tasks grows.
     """
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
     tagged = df.select(F.col(uid).alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(uid), F.lit(blocks)).cast("int").alias("b"))
     other = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("b", k).alias("r"), F.greatest("b", k).alias("c")))
     dealt = tagged.select("id", "v", "b", F.explode(other).alias("p")).select("id", "v", "b", "p.r", "p.c")
@@ -51,22 +56,11 @@ def leave_one_out(df: DataFrame, uid: str, label: str, vector: str) -> DataFrame
     return both.select(uid, label, F.when(F.col("n") > 1, dot(F.col("rest"), F.col("v")) / F.sqrt(dot(F.col("rest"), F.col("rest")))).alias("cosine"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (least node reachable): labels are the least of the neighbours', with jumps, cut in each round."""
-    from lexloom.session import cut
-
-    both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    now = cut(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(now, both.y == now.node).groupBy("x").agg(F.min("component").alias("m"))
-        step = now.join(near, now.node == near.x, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = cut(step.join(jump, step.component == jump._n).select("node", F.col("_c").alias("component")))
-        changed = not new.join(now, ["node", "component"], "left_anti").isEmpty()
-        now = new
-        if not changed:
-            break
-    return now
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, component (least node reachable) of every node; edges are columns a, b."""
+    found = graph.components(edges.select("a", "b"))
+    every = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    return every.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("component"))
 
 
 def average_linkage(sim: np.ndarray, threshold: float) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import arrays, auditing, comparison, curation, embeddings, pairing, ranking, rates, reports, sources, streams, text  # noqa: F401  they register
+from lexloom.plans import arrays, auditing, comparison, curation, embeddings, pairing, preparing, ranking, rates, reports, sources, streams, text  # noqa: F401  they register
 from lexloom.plans.registry import ORACLES, QUERIES, Query
 
 

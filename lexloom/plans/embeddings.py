@@ -62,7 +62,7 @@ def loo_outliers(spark, sf):
 
 @query()
 def average_linkage(spark, sf):
-    """Average linkage inside each component of the similarity graph (above ``MAX`` members single linkage stays)."""
+    """Average linkage inside each component of the similarity graph (above 5000 members single linkage stays, by definition)."""
     v = vectors(spark, sf).select("vec_id", unit(F.col("embedding")).alias("v"))
     comps = components(spark, sf)
 

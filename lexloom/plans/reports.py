@@ -222,15 +222,15 @@ def best_of_n_summary(spark, sf):
     )
 
 
-@query("""WITH r AS (SELECT l_orderkey AS g, l_linenumber AS k, l_discount AS cer, l_tax AS wer, l_quantity AS mos FROM lineitem),
-x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cer, wer, k) AS lexical, row_number() OVER (PARTITION BY g ORDER BY round((mos - 10 * cer) * 1e9) DESC, k) AS weighted FROM r) SELECT g, k, lexical, weighted FROM x""")
+@query("""WITH r AS (SELECT l_orderkey AS g, l_linenumber AS k, l_discount AS cer, l_tax AS wer, l_quantity AS mos, l_partkey AS p, l_suppkey AS s FROM lineitem),
+x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY cer, wer, k, p, s) AS lexical, row_number() OVER (PARTITION BY g ORDER BY round((mos - 10 * cer) * 1e9) DESC, k, p, s) AS weighted FROM r) SELECT g, k, lexical, weighted FROM x""")
 def candidate_ranks(spark, sf):
     """Candidates ranked by measures in order, and by their weighted sum; ties keep the earlier one."""
     from lexloom.functions.specs import parse_selection, ranking
 
     lex, wei = parse_selection("cer,wer"), parse_selection("cer:10,dnsmos:1")
-    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"), F.col("l_discount").alias("cer"), F.col("l_tax").alias("wer"), F.col("l_quantity").alias("dnsmos"))
-    rank = lambda spec: F.row_number().over(Window.partitionBy("g").orderBy(*ranking(spec, "k"))).cast("long")
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("place"), F.col("l_discount").alias("cer"), F.col("l_tax").alias("wer"), F.col("l_quantity").alias("dnsmos"))
+    rank = lambda spec: F.row_number().over(Window.partitionBy("g").orderBy(*ranking(spec, "place"))).cast("long")
     return x.select("g", "k", rank(lex).alias("lexical"), rank(wei).alias("weighted"))
 
 
