@@ -83,8 +83,3 @@ def scorer_identity(spark, sf):
     v = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("system")).agg(F.sort_array(F.collect_set("l_linestatus")).alias("v"))
     names = F.array_join("v", ",")
     return v.select("system", F.when(F.size("v") == 1, names).otherwise(F.concat(F.lit("mixed:"), names)).alias("identity"))
-
-
-@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING min(o_totalprice) > 20000 AND count(*) >= 3")
-def promotion_gate(spark, sf):
-    return table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("o_totalprice").alias("low"), F.count("*").alias("n")).filter("low > 20000 and n >= 3").select("o_custkey")

@@ -53,5 +53,6 @@ def balanced_topn(spark, sf):
 
 
 @query("SELECT source, contains(lower(source), 'src1') AS overlaps FROM documents GROUP BY ALL")
-def judge_overlap(spark, sf):
+def distinct_families(spark, sf):
+    """Distinct sources and whether they belong to a family."""
     return table(spark, sf, "documents").select("source", F.contains(F.lower("source"), F.lit("src1")).alias("overlaps")).distinct()
