@@ -5,11 +5,14 @@ model finds it (a tie keeps the earliest start of the last piece). A space is th
 text gets one in front, and characters without a piece become their UTF-8 byte pieces, so decoding
 gives back every text exactly (U+2581 itself is spelt in bytes for that reason).
 
-``StreamingViterbi`` holds no more than a window: back pointers reach at most one longest piece back, so
-once all paths that still survive pass through one boundary, everything before it is final and its
-ids are committed. Since no piece has a word mark behind a letter (checked when a vocabulary is loaded),
-paths always converge in front of a space that follows one: these segments are solved in lockstep, many
-distinct ones at a time in numpy, and only segments above ``LOCKSTEP`` bytes go through the stream.
+The recurrence streams: a boundary's best score needs the last ``longest`` boundaries only, so a window of that many is its whole
+state, and once all paths that still survive in the window pass through one boundary, everything before it is final and committed.
+Since no piece has a word mark behind a letter (checked when a vocabulary is loaded), paths always converge in front of a space that
+follows one. So a text is a row of segments that begin there, and a numpy step of the recurrence serves one byte of many distinct segments.
+A segment above 256 bytes is streamed in blocks of 192 side by side: a block starts 64 bytes early (both grow with the longest piece), from
+nothing, and counts as soon as its window is the same as that of the block before it, which has to count itself; else it is run again from that window. A
+block's ids are committed when all surviving paths of the next one enter it by one boundary, else when the block after that has been.
+Scores are whole numbers (steps of 2**-20), so windows are equal or not, and do not depend on where a block began.
 
 The vocabulary is read from a file on the driver and broadcast (its size is that of the file). Null text
 gives null ids, an empty one an empty list; repeated rows and extra columns do not matter; an
@@ -18,7 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from lexloom.llm import kernel as K
 from lexloom.session import prepare
 
 MARK = "▁"
-LOCKSTEP, CHUNK, UNKNOWN = 64, 1 << 19, 10.0
+WARM, LANES, CHUNK, UNKNOWN, UNIT = 64, 4096, 1 << 19, 10.0, 1 << 20
+NEVER, GROW = -(1 << 61), 0x9E3779B97F4A7C15
 
 
 class Vocabulary:
@@ -49,20 +53,31 @@ class Vocabulary:
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN
         if crossing := [p for p in self.scores if b" " in p.lstrip(b" ")]:
             raise ValueError(f"pieces with a word mark behind a letter, such as {crossing[0]!r}")
-        self.usable = self.scores
-        self.longest = max(map(len, self.usable))
-        raw = sorted(self.usable)
-        self.by_length = sorted({len(p) for p in raw})
-        data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in raw])])
-        keys = K.mix(K.span_hash(K.prefix_hash(data, K.BYTES), off[:-1], off[1:]))
-        self.slots = 1 << 19
-        self.table, self.value, self.ident = np.zeros(self.slots, np.uint64), np.full(self.slots, -np.inf), np.zeros(self.slots, np.int32)
+        self.longest = max(map(len, self.scores))
+        self.warm = max(WARM, 2 * self.longest)
+        self.block = 3 * self.warm
+        self.cost_unknown = round(self.unknown * UNIT)
+        # every ending of a piece, read from its last byte: how to score it if it is a piece, and whether a longer one has it as its ending
+        ends: dict[bytes, tuple[int, int, bool]] = {}
+        for p, (score, i) in self.scores.items():
+            for k in range(1, len(p)):
+                old = ends.get(p[k:], (NEVER, 0, False))
+                ends[p[k:]] = (old[0], old[1], True)
+            ends[p] = (round(score * UNIT), i, ends.get(p, (0, 0, False))[2])
+        self.bits = max(16, (4 * len(ends)).bit_length())
+        size = 1 << self.bits
+        self.table, self.value, self.ident, self.more = np.zeros(size, np.uint64), np.full(size, NEVER), np.zeros(size, np.int32), np.zeros(size, bool)
         self.probes = 1
-        for key, p in zip(keys.tolist(), raw, strict=True):
-            at, step = key & (self.slots - 1), 1
+        for p, found in ends.items():
+            key = 0
+            for byte in reversed(p):
+                key = (key * GROW + int(K.BYTES[byte])) & (2**64 - 1)
+            at, step = key >> (64 - self.bits), 1
             while self.table[at]:
-                at, step = (at + 1) & (self.slots - 1), step + 1
-            self.table[at], (self.value[at], self.ident[at]) = key, self.usable[p]
+                if int(self.table[at]) == key:
+                    raise ValueError("two pieces have one hash")
+                at, step = (at + 1) & (size - 1), step + 1
+            self.table[at], (self.value[at], self.ident[at], self.more[at]) = key, found
             self.probes = max(self.probes, step)
         lens = np.array([len(p) for p in self.flat])
         self.piece_off, self.piece_len = np.concatenate([[0], np.cumsum(lens)]), lens
@@ -80,133 +95,135 @@ class Vocabulary:
             raise ValueError("the vocabulary has no piece for every byte")
         return cls(plain, [by_byte[b] for b in range(256)], sp.vocab_size())
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score (-inf: no piece) and id for hashes."""
-        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score (NEVER: no piece), id, and whether a longer ending may follow, for hashes of endings."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         hit = self.table[at]
         for _ in range(self.probes - 1):
             miss = np.flatnonzero((hit != h) & (hit != 0))
             if not len(miss):
                 break
-            at[miss] = (at[miss] + 1) & (self.slots - 1)
+            at[miss] = (at[miss] + 1) & (len(self.table) - 1)
             hit[miss] = self.table[at[miss]]
-        return np.where(hit == h, self.value[at], -np.inf), self.ident[at]
-
-
-class StreamingViterbi:
-    """Feeds on characters, yields ids as soon as they are certain; memory is a window, not the text."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.best: list[float] = [0.0]  # by boundary, from the last committed one
-        self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        self.ends: list[int] = [0]  # byte offset of each boundary in the window
-        self.window = bytearray()
-
-    def feed(self, text: str) -> Iterator[int]:
-        for c in text:
-            raw = c.encode()
-            self.window += raw
-            self.ends.append(self.ends[-1] + len(raw))
-            end, found = self.ends[-1], (-np.inf, 0, ())
-            for k in range(max(0, len(self.ends) - 1 - self.v.longest), len(self.ends) - 1):
-                hit = self.v.usable.get(bytes(self.window[self.ends[k] : end]))
-                if hit and self.best[k] + hit[0] > found[0]:
-                    found = (self.best[k] + hit[0], k, (hit[1],))
-                if k == len(self.ends) - 2 and not hit and self.best[k] + self.v.unknown > found[0]:
-                    found = (self.best[k] + self.v.unknown, k, tuple(self.v.byte_ids[list(raw)].tolist()))
-            self.best.append(found[0])
-            self.back.append(found[1:])
-            if len(self.ends) > 8 * self.v.longest:
-                yield from self._commit()
-
-    def _commit(self) -> Iterator[int]:
-        """Ids up to the last boundary that every path from the window's end passes."""
-        live = set(range(max(0, len(self.ends) - self.v.longest), len(self.ends)))
-        while len(live) > 1:  # the last boundary steps back until one is left
-            last = max(live)
-            live.remove(last)
-            live.add(self.back[last][0])
-        at = live.pop()
-        if at:
-            yield from self._path(at)
-            gone = self.ends[at]
-            del self.window[:gone]
-            self.ends = [x - gone for x in self.ends[at:]]
-            base = self.best[at]
-            self.best = [x - base for x in self.best[at:]]
-            self.back = [(0, ())] + [(k - at, ids) for k, ids in self.back[at + 1 :]]
-
-    def _path(self, at: int) -> list[int]:
-        out: list[tuple[int, ...]] = []
-        while at:
-            at, ids = self.back[at]
-            out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
-
-    def finish(self) -> list[int]:
-        out = self._path(len(self.ends) - 1)
-        self.__init__(self.v)
-        return out
-
-
-def stream_encode(vocabulary: Vocabulary, parts: Iterable[str]) -> Iterator[int]:
-    """Ids of one text that arrives in parts."""
-    machine, started = StreamingViterbi(vocabulary), False
-    for part in parts:
-        if part:
-            yield from machine.feed(part if started else " " + part)
-            started = True
-    yield from machine.finish()
-
-
-def _lockstep(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many short segments, and each one's count: one step of the recurrence serves all of them."""
-    n, width = len(starts), int(lens.max())
-    at = starts[:, None] + np.arange(width)
-    text = np.where(np.arange(width) < lens[:, None], data[np.minimum(at, len(data) - 1)], 0)
-    text = np.ascontiguousarray(text.T)  # by position
-    head = (text & 0xC0) != 0x80
-    power, inverse = K.powers(width + 1)
-    prefix = np.zeros((width + 1, n), np.uint64)
-    np.cumsum(K.BYTES[text] * power[:width, None], axis=0, out=prefix[1:])
-    best = np.full((width + 1, n), -np.inf)
-    best[0] = 0
-    step, ident = np.ones((width + 1, n), np.int16), np.zeros((width + 1, n), np.int32)
-    ident[1:] = v.byte_ids[text]  # what an unknown character's bytes become, one step each
-    since = np.zeros(n, np.int64)  # the last character's start
-    for e in range(1, width + 1):
-        since = np.where(head[e - 1], e - 1, since)
-        live = np.flatnonzero((e >= lens) & (e <= lens) | (e < lens) & (head[e] if e < width else False))
-        if not len(live):
-            continue
-        top, size, which = np.full(len(live), -np.inf), np.ones(len(live), np.int16), ident[e, live]
-        mine, alone = since[live], np.zeros(len(live), bool)
-        for length in v.by_length[::-1]:
-            if length > e:
+        ok = hit == h
+        return np.where(ok, self.value[at], NEVER), self.ident[at], self.more[at] & ok
+
+
+class Lanes:
+    """Stretches of text side by side, a byte of each at a time. Row r of a lane is the boundary in front of its byte r."""
+
+    def __init__(self, v: Vocabulary, data: np.ndarray, heads: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.v, self.begin, self.end = v, begin, end
+        rows, n = int(end.max()), len(at)
+        where = np.clip(at + np.arange(rows + 1)[:, None], 0, len(data) - 1)  # data ends with a byte that is none
+        self.text = data[where[:-1]]
+        self.bound = heads[where]  # whether a character begins there
+        self.best = np.full((rows + 1, n), NEVER)
+        self.best[begin, np.arange(n)] = 0
+        self.step = np.ones((rows + 1, n), np.int16)
+        self.ident = np.zeros((rows + 1, n), np.int32)
+        self.ident[1:] = v.byte_ids[self.text]  # what an unknown character's bytes become, one step each
+
+    def run(self, lanes: np.ndarray, first: int) -> None:
+        """The recurrence for some lanes, from row ``first`` on."""
+        v, text, best = self.v, self.text, self.best
+        begin, end = self.begin[lanes], self.end[lanes]
+        last = np.maximum(begin, first - 1 - self.bound[first - 1 :: -1, lanes].argmax(0))  # the last boundary so far
+        for e in range(first, int(end.max()) + 1 if len(lanes) else 0):
+            on = np.flatnonzero((e > begin) & (e <= end) & self.bound[e, lanes])
+            if not len(on):
                 continue
-            s = e - length
-            score, i = v.look_up(K.mix((prefix[e, live] - prefix[s, live]) * inverse[s]))
-            alone |= (mine == s) & (score > -np.inf)
-            total = best[s, live] + score
-            better = total > top
-            top, size, which = np.where(better, total, top), np.where(better, length, size).astype(np.int16), np.where(better, i, which)
-        raw = best[mine, live] + v.unknown
-        better = ~alone & (raw > top)
-        best[e, live], step[e, live] = np.where(better, raw, top), np.where(better, 1, size)
-        ident[e, live] = np.where(better, ident[e, live], which)
-    at, row, out, count = lens.copy(), np.arange(n), [], np.zeros(n, np.int64)
-    while len(row):
-        here = at[row]
-        out.append((row, ident[here, row]))
-        count[row] += 1
-        at[row] = here - step[here, row]
-        row = row[at[row] > 0]
-    rows, ids = np.concatenate([r for r, _ in out]), np.concatenate([i for _, i in out])
-    depth = np.repeat(np.arange(len(out)), [len(r) for r, _ in out])
-    flat = np.empty(len(ids), np.int32)
-    flat[np.cumsum(count)[rows] - 1 - depth] = ids  # back pointers give the last id first
-    return flat, count
+            at, before = lanes[on], last[on]
+            top, size, which = np.full(len(on), NEVER), np.ones(len(on), np.int16), self.ident[e, at].copy()
+            alone = np.zeros(len(on), bool)
+            act, lane, h = np.arange(len(on)), at, np.zeros(len(on), np.uint64)
+            for length in range(1, min(v.longest, e) + 1):
+                s = e - length
+                h = h * np.uint64(GROW) + K.BYTES[text[s, lane]]
+                score, i, more = v.look_up(h)
+                total = best[s, lane] + score
+                alone[act] |= (score > NEVER) & (before[act] == s)
+                better = np.flatnonzero((total > NEVER) & (total >= top[act]))  # the longer of equal ones
+                top[act[better]], size[act[better]], which[act[better]] = total[better], length, i[better]
+                more &= begin[on[act]] < s
+                act, lane, h = act[more], lane[more], h[more]
+                if not len(act):
+                    break
+            raw = best[before, at] + v.cost_unknown
+            unknown = ~alone & (raw > top)
+            best[e, at], self.step[e, at] = np.where(unknown, raw, top), np.where(unknown, 1, size)
+            self.ident[e, at] = np.where(unknown, self.ident[e, at], which)
+            last[on] = e
+
+    def window(self, lanes: np.ndarray, row: int) -> np.ndarray:
+        """Best scores of the last ``longest`` boundaries, against the best of them."""
+        w = self.best[row - self.v.longest : row + 1, lanes]
+        return np.where(w > NEVER, w - w.max(0), NEVER)
+
+    def ids(self, exits: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids on the way from each lane's exit back to its entry, lane by lane, and their number."""
+        at, row, out, count = exits.copy(), np.arange(len(exits)), [], np.zeros(len(exits), np.int64)
+        row = row[at > entries]
+        while len(row):
+            here = at[row]
+            out.append((row, self.ident[here, row]))
+            count[row] += 1
+            at[row] = here - self.step[here, row]
+            row = row[at[row] > entries[row]]
+        if not out:
+            return np.zeros(0, np.int32), count
+        rows, ids = np.concatenate([r for r, _ in out]), np.concatenate([i for _, i in out])
+        depth = np.repeat(np.arange(len(out)), [len(r) for r, _ in out])
+        flat = np.empty(len(ids), np.int32)
+        flat[np.cumsum(count)[rows] - 1 - depth] = ids  # back pointers give the last id first
+        return flat, count
+
+
+def _short(v: Vocabulary, data: np.ndarray, heads: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of segments of one lane each, and each one's count."""
+    lanes = Lanes(v, data, heads, starts, np.zeros(len(starts), np.int64), lens)
+    lanes.run(np.arange(len(starts)), 1)
+    return lanes.ids(lens, np.zeros(len(starts), np.int64))
+
+
+def _long(v: Vocabulary, data: np.ndarray, heads: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of segments that are streamed in blocks, and each one's count."""
+    warm, block = v.warm, v.block
+    blocks = -(-lens // block)
+    which = np.repeat(np.arange(len(starts)), blocks)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    end = warm + np.minimum(block, lens[which] - k * block)
+    lanes = Lanes(v, data, heads, starts[which] + k * block - warm, np.where(k == 0, warm, 0), end)
+    lanes.run(np.arange(len(which)), 1)
+    follow = np.flatnonzero(k > 0)
+    while True:
+        same = np.zeros(len(which), bool)
+        same[follow] = (lanes.window(follow, warm) == lanes.window(follow - 1, warm + block)).all(0)
+        head = np.flatnonzero(~same)  # the blocks behind it that agree one with the other count if it does
+        good = (k[head] == 0)[np.cumsum(~same) - 1]
+        again = np.flatnonzero(~good & ~same & np.concatenate([[False], good[:-1]]))
+        if not len(again):
+            break
+        lanes.best[: warm + 1, again], lanes.best[warm + 1 :, again] = lanes.best[block : warm + block + 1, again - 1], NEVER
+        lanes.begin[again] = 0
+        lanes.run(again, warm + 1)
+    rows, n = lanes.best.shape
+    entry = np.tile(np.arange(rows, dtype=np.int64)[:, None], (1, n))  # the boundary up to warm that the way to a row passes
+    every = np.arange(n)
+    for e in range(warm + 1, rows):
+        entry[e] = entry[e - lanes.step[e], every]
+    exits, entries = end.copy(), np.full(n, warm)
+    live = lanes.best[-v.longest - 1 :] > NEVER
+    inner = entry[-v.longest - 1 :]
+    low, high = np.where(live, inner, rows).min(0), np.where(live, inner, -1).max(0)
+    converged = (low == high) & (end == warm + block)
+    entries[follow] = np.where(converged[follow], low[follow], -1)
+    for lane in reversed(follow.tolist()):
+        if entries[lane] < 0:
+            entries[lane] = entry[exits[lane], lane]
+        exits[lane - 1] = entries[lane] + block
+    flat, count = lanes.ids(exits, entries)
+    return flat, np.bincount(which, count, len(starts)).astype(np.int64)
 
 
 def encode_run(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,23 +243,18 @@ def encode_run(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.nda
     key = K.mix(K.span_hash(K.prefix_hash(data, K.BYTES), starts, ends) + (ends - starts).astype(np.uint64))
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     s, lens = starts[first], (ends - starts)[first]
-    counts, pieces = np.zeros(len(first), np.int64), []
+    counts, pieces, seen = np.zeros(len(first), np.int64), [], []
     order = np.argsort(lens, kind="stable")
-    cuts = np.searchsorted(lens[order], [9, 13, 17, 25, 33, LOCKSTEP + 1])
-    groups = [order[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-    groups = [g[k : k + 4096] for g in groups for k in range(0, len(g), 4096)]
-    seen = []
-    for group in groups:
-        flat, count = _lockstep(v, data, s[group], lens[group])
-        counts[group] = count
-        pieces.append(flat)
-        seen.append(group)
-    machine = StreamingViterbi(v)
-    for k in order[cuts[-1] :].tolist():
-        ids = [*machine.feed(data[s[k] : s[k] + lens[k]].tobytes().decode()), *machine.finish()]
-        counts[k] = len(ids)
-        pieces.append(np.array(ids, np.int32))
-        seen.append(np.array([k]))
+    cuts = np.searchsorted(lens[order], [9, 13, 17, 25, 33, 65, 129, v.warm + v.block + 1])
+    groups = [(_short, order[a:b]) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] + [(_long, order[cuts[-1] :])]
+    heads = np.append((data & 0xC0) != 0x80, True)
+    data = np.append(data, np.uint8(0))
+    for solve, all_ in groups:
+        lanes = np.cumsum(-(-lens[all_] // v.block)) // LANES
+        for group in np.split(all_, np.flatnonzero(np.diff(lanes)) + 1) if len(all_) else []:
+            flat, counts[group] = solve(v, data, heads, s[group], lens[group])
+            pieces.append(flat)
+            seen.append(group)
     flat, seen = np.concatenate(pieces), np.concatenate(seen)
     place = np.zeros(len(first), np.int64)
     place[seen] = np.concatenate([[0], np.cumsum(counts[seen])[:-1]])
