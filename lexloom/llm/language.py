@@ -3,8 +3,8 @@
 Text is lower-cased code point by code point, everything but letters becomes one space, and the n-grams
 of one to three characters inside a document are hashed to ``2**BITS`` features. Counts by language come
 from labelled rows (at most about ``max_docs`` of them, drawn by a hash of doc_id: the one bound here);
-the log-probability matrix (languages x features, bounded by ``MAX_LANGUAGES``) is broadcast and whole
-texts are scored in numpy batches.
+the log-probability matrix is broadcast in blocks of ``BLOCK`` languages, 256 KB a language (``max_bytes`` bounds it: 2 GB are
+8192 languages; more is an error before anything is sent), and whole texts are scored in numpy batches, a block at a time.
 
 ``score`` is the posterior of the predicted language. ``und`` with score 0: the text is null or has no
 letter, or nothing could be learned. Ties go to the language that sorts first. Repeated rows count
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import kernel as K
 from lexloom.session import prepare
 
-BITS, ORDER, MAX_LANGUAGES = 16, 3, 128
+BITS, ORDER, BLOCK, HELD = 16, 3, 16, 32
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -77,8 +77,17 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language and feature, and documents (feature -1); at most HELD languages are held at a time."""
     totals: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, c in totals.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[lang]))], ["lang", "feature", "c"])
+        totals.clear()
+        docs.clear()
+
     for batch in batches:
         langs = batch.column(1).to_pylist()
         data, off = K.column_bytes(batch.column(0))
@@ -87,43 +96,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(i, j):
                 lang = langs[k]
                 if lang not in totals:
-                    if len(totals) >= MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                    if len(totals) >= HELD:
+                        yield from counted()
                     totals[lang], docs[lang] = np.zeros(1 << BITS, np.int64), 0
                 totals[lang] += np.bincount(f[ranges[k - i] : ranges[k - i + 1]], minlength=1 << BITS)
                 docs[lang] += 1
-    for lang, c in totals.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[lang]))], ["lang", "feature", "c"])
+    yield from counted()
 
 
-def fit(labelled: DataFrame, max_docs: int = 20_000, alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors and the log-probability matrix (feature x language) from rows with doc_id, text and lang."""
+def fit(labelled: DataFrame, max_docs: int = 20_000, alpha: float = 0.5, max_bytes: int = 1 << 31) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+    """Languages, log priors and the log-probability matrix (feature x language, in blocks of languages) from rows with doc_id, text and lang."""
     prepare(labelled.sparkSession)
     rows = labelled.filter("text is not null and lang is not null")
     n = rows.count()
     if n > max_docs:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
     counted = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_counts, "lang string, feature long, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toPandas()
-    langs = sorted(counted["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    matrix, prior = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
-    for k, lang in enumerate(langs):
-        part = counted[counted["lang"] == lang]
-        is_docs = part["feature"] < 0
-        prior[k] = part.loc[is_docs, "c"].sum()
-        matrix[part.loc[~is_docs, "feature"], k] = part.loc[~is_docs, "c"]
-    matrix = np.log((matrix + alpha) / (matrix.sum(0) + alpha * (1 << BITS)))
-    return langs, np.log(prior / max(1, prior.sum())) if len(langs) else prior, matrix.astype(np.float32)
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
+    groups = dict(tuple(counted.groupby("lang")))
+    langs = sorted(groups)
+    if len(langs) * 4 << BITS > max_bytes:
+        raise ValueError(f"{len(langs)} languages need more than {max_bytes} bytes")
+    prior, blocks = np.zeros(len(langs)), []
+    for first in range(0, len(langs), BLOCK):
+        names = langs[first : first + BLOCK]
+        matrix = np.zeros((1 << BITS, len(names)))
+        for k, lang in enumerate(names):
+            part = groups[lang]
+            is_docs = part["feature"] < 0
+            prior[first + k] = part.loc[is_docs, "c"].sum()
+            matrix[part.loc[~is_docs, "feature"], k] = part.loc[~is_docs, "c"]
+        blocks.append(np.log((matrix + alpha) / (matrix.sum(0) + alpha * (1 << BITS))).astype(np.float32))
+    return langs, np.log(prior / max(1, prior.sum())), blocks
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, list[np.ndarray]]) -> DataFrame:
     """doc_id, lang_pred, score of every row; nothing but the text is looked at."""
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prior, matrix = shared.value
+        langs, prior, blocks = shared.value
         for batch in batches:
             data, off = K.column_bytes(batch.column(1))
             for i, j in K.chunks(off):
@@ -131,7 +142,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
                 sums = np.zeros((j - i, max(1, len(langs))))
                 some = np.flatnonzero(np.diff(ranges) > 0)
                 if len(langs) and len(some):
-                    sums[some] = np.add.reduceat(matrix[f], ranges[some], axis=0, dtype=np.float64) + prior
+                    sums[some] = np.concatenate([np.add.reduceat(matrix[f], ranges[some], axis=0, dtype=np.float64) for matrix in blocks], 1) + prior
                 best = sums.argmax(1)
                 top = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
                 known = letters & (len(langs) > 0)

@@ -138,6 +138,30 @@ def test_language(docs, none, spark):
     assert language.predict(docs, model).count() == len(corpus())
 
 
+def test_language_against_plain_bayes(spark):
+    """200 languages; the prediction and its posterior by the definition, n-gram by n-gram."""
+    r = random.Random(4)
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 5 * k + i) for i in range(8)] for k in range(200)}
+    train = [(2 * k + i, "".join(r.choice(a) for _ in range(30)), lang) for k, (lang, a) in enumerate(alphabets.items()) for i in range(2)]
+    ask = [(k, "".join(r.choice(alphabets[f"l{k:03d}"]) for _ in range(6)) + "\u4e03") for k in (0, 1, 77, 128, 199)]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert model[0] == sorted(alphabets) and len(model[2]) == 13
+    counts = {}
+    for _, t, lang in train:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        f, _, _ = language.features(raw, np.array([0, len(raw)]))
+        counts[lang] = counts.get(lang, np.zeros(1 << language.BITS)) + np.bincount(f, minlength=1 << language.BITS)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.predict(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    for k, t in ask:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        f, _, _ = language.features(raw, np.array([0, len(raw)]))
+        logs = np.array([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * (1 << language.BITS)))[f].sum() + np.log(1 / 200) for x in model[0]])
+        assert got[k][0] == model[0][logs.argmax()] == f"l{k:03d}"
+        assert abs(got[k][1] - 1 / np.exp(logs - logs.max()).sum()) < 1e-4
+    with pytest.raises(ValueError):
+        language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), max_bytes=1 << 20)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language.remainder(3) == 1
