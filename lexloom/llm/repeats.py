@@ -35,7 +35,7 @@ from lexloom.llm.anchors import SEGMENT, SPAN, WINDOW, sample
 from lexloom.llm.sieve import marked, sieve
 from lexloom.session import Tables, cut, prepare, release
 
-LEAST_BITS, MOST_BITS, HELD = 20, 31, 1 << 17
+LEAST_BITS, MOST_BITS, HELD, FILE_ROWS = 20, 31, 1 << 17, 1 << 18
 RANGES = np.array([[0, 15], [16, 30], [31, 45], [46, SPAN - 1]])
 
 
@@ -204,17 +204,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     strings = send(_bits(twice(texts.mapInArrow(_scan("count"), "k long, c long")), size))
     seen = tables.write("seen", texts.mapInArrow(_scan("occurrences", strings), "k long, k2 int, fp long, doc_id long, twin long, lo int, n int"))
-    first = tables.write("first", firsts(seen, "fp"))
+    first = tables.write("first", firsts(seen, "fp").coalesce(1 + seen.count() // FILE_ROWS))
     several = first.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     ident = F.col("k").bitwiseXOR(F.shiftleft("first.doc_id", 13)).bitwiseXOR(F.col("first.twin")).bitwiseXOR(F.col("first.lo").cast("long"))
     open_ = send(_bits(sieve(first, "fp", several).select(ident.alias("k")), size))
     release(spark)
+    whole = _later(seen.drop("fp"), first.filter("c > 1").drop("fp")).select("doc_id", "twin", _span(F.col("n")))
+    whole = tables.write("whole", whole.coalesce(1 + seen.count() // FILE_ROWS))
+    tables.drop("seen", "first")
+
     cores = send(_bits(twice(texts.mapInArrow(_scan("cores", strings, open_), "k long, c long")), size))
-    release(spark)
     windows = tables.write("windows", texts.mapInArrow(_scan("windows", strings, open_, cores), "k long, k2 int, doc_id long, twin long, lo int"))
-    least = tables.write("least", firsts(windows).filter("c > 1"))
+    least = tables.write("least", firsts(windows).filter("c > 1").coalesce(1 + windows.count() // FILE_ROWS))
     release(spark)
-    whole = _later(seen.drop("fp"), first.filter("c > 1").drop("fp")).select("doc_id", "twin", _span(F.col("n")))
     single = _later(windows, least).select("doc_id", "twin", _span(F.lit(WINDOW)))
     out = cut(whole.union(single).groupBy("doc_id", "twin").agg(F.collect_list("span").alias("spans")))
     tables.drop()

@@ -46,6 +46,29 @@ def similar_pairs(df: DataFrame, uid: str, vector: str, threshold: float) -> Dat
     return dealt.groupBy("r", "c").applyInPandas(meet, "a long, b long, cosine double")
 
 
+def nearest(left: DataFrame, right: DataFrame, label: str, vector: str) -> DataFrame:
+    """label, nearest, cosine: the greatest dot product with a row of ``right``, the least label on ties; blocks meet in numpy, one row each is returned."""
+    blocks = [max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right)]
+    dealt = None
+    for side, mine, other, name in ((left, *blocks, "r"), (right, *blocks[::-1], "c")):
+        at = F.pmod(F.xxhash64(label), F.lit(mine)).cast("int").alias("mine")
+        part = side.select(F.col(label).alias("id"), F.col(vector).alias("v"), at, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("theirs"), F.lit(name).alias("side"))
+        part = part.select("id", "v", "side", F.col("mine" if name == "r" else "theirs").alias("r"), F.col("theirs" if name == "r" else "mine").alias("c"))
+        dealt = part if dealt is None else dealt.unionByName(part)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == "r"], pdf[pdf["side"] == "c"].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "nearest": [], "cosine": []})
+        s = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        at = s.argmax(1)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "nearest": b["id"].to_numpy()[at], "cosine": s[np.arange(len(a)), at]})
+
+    kind = dict(left.dtypes)[label]
+    best = dealt.groupBy("r", "c").applyInPandas(meet, f"id {kind}, nearest {kind}, cosine double")
+    return best.groupBy(F.col("id").alias(label)).agg(F.max_by("nearest", F.struct("cosine", -F.col("nearest"))).alias("nearest"), F.max("cosine").alias("cosine"))
+
+
 def leave_one_out(df: DataFrame, uid: str, label: str, vector: str) -> DataFrame:
     """Cosine of each vector with the mean of its label's others; NULL where there is none."""
     rows = df.select(uid, label, unit(F.col(vector)).alias("v"))

@@ -29,11 +29,9 @@ def centroids(spark, sf):
 
 @query(f"WITH {UNIT}, r AS (SELECT a.label, b.label AS nearest, list_dot_product(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.label ORDER BY list_dot_product(a.v, b.v) DESC, b.label) AS k FROM c a JOIN c b ON a.label < 5 AND b.label >= 5) SELECT label, nearest, round(s, 6) AS cosine FROM r WHERE k = 1")
 def nearest_train(spark, sf):
-    """Each held-out label's nearest training label; one row a label meets one row a label."""
+    """Each held-out label's nearest training label."""
     c = V.centroids(vectors(spark, sf), "label", "embedding")
-    pairs = c.filter("label < 5").crossJoin(F.broadcast(c.filter("label >= 5").select(F.col("label").alias("nearest"), F.col("centroid").alias("other"))))
-    best = pairs.withColumn("s", dot(F.col("centroid"), F.col("other"))).groupBy("label").agg(F.max(F.struct("s", (-F.col("nearest")).alias("n"))).alias("b"))
-    return best.select("label", (-F.col("b.n")).alias("nearest"), F.round("b.s", 6).alias("cosine"))
+    return V.nearest(c.filter("label < 5"), c.filter("label >= 5"), "label", "centroid").withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"WITH {UNIT} SELECT DISTINCT a.label FROM c a JOIN c b ON a.label < 5 AND b.label >= 5 WHERE list_dot_product(a.v, b.v) >= 0.2")

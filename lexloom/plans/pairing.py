@@ -10,26 +10,18 @@ from lexloom.plans.curation import HASH
 from lexloom.plans.registry import query, table
 
 
-@query(f"""WITH r AS (SELECT a.conv_id, a.turn, b.turn AS partner, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY {HASH.format("'5:' || a.conv_id || ':' || a.turn || ':' || b.turn")}) AS k FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn)
-SELECT conv_id, turn, partner FROM r WHERE k = 1""")
-def same_group_partner(spark, sf):
-    """One other row of the same group, by a seeded hash: min-by instead of a window over all pairs."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn")
-    pairs = c.join(c.select("conv_id", F.col("turn").alias("partner")), "conv_id").filter("turn != partner")
-    h = hash01(F.lit("5"), *(F.col(x).cast("string") for x in ("conv_id", "turn", "partner")))
-    return pairs.groupBy("conv_id", "turn").agg(F.min_by("partner", h).alias("partner"))
-
-
-@query(f"""WITH r AS (SELECT a.conv_id, a.turn, b.turn AS prompt, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY {HASH.format("'6:' || a.conv_id || ':' || a.turn || ':' || b.turn")}) AS k FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND length(b.text) BETWEEN 20 AND 400)
-SELECT conv_id, turn, prompt FROM r WHERE k <= 2""")
+@query(f"""WITH h AS (SELECT conv_id, turn, length(text) BETWEEN 20 AND 400 AS ok, {HASH.format("'6:' || conv_id || ':' || turn")} AS h FROM conversations),
+p AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY conv_id ORDER BY h, turn), 0) AS upto, sum(ok::INT) OVER (PARTITION BY conv_id) AS m FROM h), e AS (SELECT conv_id, upto - 1 AS i, turn AS prompt FROM p WHERE ok)
+SELECT p.conv_id, p.turn, e.prompt FROM p, (VALUES (0), (1)) j(j) JOIN e ON e.conv_id = p.conv_id AND e.i = (p.upto + j.j) % p.m WHERE m - ok::INT > j""")
 def pair_sample(spark, sf):
-    """Two prompts of bounded length for each target."""
-    c = table(spark, sf, "conversations")
-    b = c.filter(F.length("text").between(20, 400)).select("conv_id", F.col("turn").alias("prompt"))
-    pairs = c.select("conv_id", "turn").join(b, "conv_id").filter("turn != prompt")
-    h = hash01(F.lit("6"), *(F.col(x).cast("string") for x in ("conv_id", "turn", "prompt")))
-    k = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(h))
-    return pairs.withColumn("k", k).filter("k <= 2").select("conv_id", "turn", "prompt")
+    """Two prompts of bounded length for each target: the next ones after it in a seeded order of its group, round to the first; an equi-join on places."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").between(20, 400).alias("ok"), hash01(F.lit("6"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("h"))
+    one = F.col("ok").cast("int")
+    p = c.withColumn("upto", F.sum(one).over(Window.partitionBy("conv_id").orderBy("h", "turn").rowsBetween(Window.unboundedPreceding, 0)))
+    m = c.groupBy("conv_id").agg(F.sum(one).alias("m"))
+    e = p.filter("ok").select("conv_id", (F.col("upto") - 1).alias("i"), F.col("turn").alias("prompt"))
+    asked = p.join(m, "conv_id").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).filter(F.col("m") - one > F.col("j"))
+    return asked.withColumn("i", (F.col("upto") + F.col("j")) % F.col("m")).join(e, ["conv_id", "i"]).select("conv_id", "turn", "prompt")
 
 
 @query(f"""WITH w AS (SELECT source, count(*)::DOUBLE ** -0.5 AS p FROM documents GROUP BY 1), c AS (SELECT source, sum(p) OVER (ORDER BY source) / sum(p) OVER () AS hi, (sum(p) OVER (ORDER BY source) - p) / sum(p) OVER () AS lo FROM w),
