@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
 from lexloom.llm.anchors import SEGMENT, SPAN, WINDOW, sample
+from lexloom.llm.hot import hot_join
 from lexloom.llm.sieve import marked, sieve
 from lexloom.session import Tables, cut, prepare, release
 
@@ -164,16 +165,8 @@ def _scan(step: str, *sets: Broadcast):
 
 
 def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """Rows that are not the first of their key; ``first`` has the keys found more than once with their first row and count.
-
-    Keys above an eighth of a task's mean share are at most eight a task: they are broadcast, and their rows stay where they are.
-    """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bound = max(1024, rows.count() // (8 * tasks))
-    hot = F.broadcast(first.filter(F.col("c") > bound))
-    rest = rows.join(hot.select("k", "k2"), ["k", "k2"], "left_anti")
-    both = rows.join(hot, ["k", "k2"]).unionByName(rest.join(first.filter(F.col("c") <= bound), ["k", "k2"]))
-    return both.filter("not (doc_id = first.doc_id and twin = first.twin and lo = first.lo)")
+    """Rows that are not the first of their key; ``first`` has the keys found more than once with their first row and count."""
+    return hot_join(rows, first, ["k", "k2"], "c").filter("not (doc_id = first.doc_id and twin = first.twin and lo = first.lo)")
 
 
 def _span(end) -> Column:
