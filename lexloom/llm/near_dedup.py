@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
-from lexloom.llm.graph import components, fit
 from lexloom.llm.sieve import sieve
+from lexloom.operators.graph import components, fit
 from lexloom.session import cut, prepare
 
 BANDS, ROWS = 40, 6
@@ -124,6 +124,15 @@ def _unshared(texts: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     return fit(once.groupBy("rep").agg(F.count("*").alias("alone")))[0]
 
 
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """node, comp after new links: only the components that these join are worked on."""
+    ends = links.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    of = components(ends.select("ca", "cb")).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    nodes = comps.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    return fit(nodes.join(of, nodes.comp == of.old, "left").select("node", F.coalesce("new", "comp").alias("comp")))[0]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (columns doc_id and text are read)."""
     spark = prepare(docs.sparkSession)
@@ -135,11 +144,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = spread.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band")
     members, _ = fit(spread.join(shared, "band").select("band", "rep", "n").distinct())
 
-    links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     alone = spark.createDataFrame([], "rep long, alone long")
     sketches, _ = fit(_members(texts, reps, members.select("rep").distinct()).select("rep", "sketch"))
-    tested = links
+    tested = spark.createDataFrame([], "a long, b long")
     rounds = 0
     while True:
         hubs = 32**rounds
@@ -173,8 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             shared = F.size(F.array_intersect("x", "y"))  # members are distinct
             found, n_found = fit(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"))
             if n_found:
-                links = links.union(found)
-                comps = components(links)
+                comps = _merged(comps, found)
             tested = tested.union(pairs)
         open_bands = hub.select("band").distinct()
         members, _ = fit(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
