@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. Linked documents start dealt round over the shards; then each round
 joins every group's cells (group, shard, rows) with the shards' free quotas and moves rows towards the
-shard where most of their neighbours are, as far as its quota reaches, so cut edges only become fewer, until nothing moves. On a tie the cell in the lowest free shard stays and
-those in full or higher shards move to it. A group larger than a shard stays cut, because counts may differ by one at most. Documents without
+shards where most of their neighbours are, from the smallest cells to the largest ones, as far as the quotas reach, so cut edges only become fewer, until nothing
+moves. On a tie the cell in the lowest free shard stays and those in full or higher shards move to it. A group larger than a shard stays cut, because counts may differ by one at most. Documents without
 links then fill every shard up to its count exactly. ``slot`` numbers a shard's rows from 0.
 
 Propagation works on cells, at most ``shards`` rows for a group however many copies it has, and all ranks
@@ -17,14 +17,27 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.llm.hot import hot_join
 from lexloom.llm.ranks import running
 from lexloom.session import cut
 
 
+def _wishes(cells: Column) -> Column:
+    """Moves (shard, to, c) that a group would make: its cells, largest first, take what is free in their shards from its last cells upwards."""
+    offers = F.transform(cells, lambda x, i: F.struct(x["shard"].alias("to"), F.greatest(x["free"], F.lit(0)).alias("n"), F.aggregate(F.slice(cells, 1, i), F.lit(0).cast("long"), lambda s, y: s + F.greatest(y["free"], F.lit(0))).alias("at")))
+
+    def source(x: Column, i: Column) -> Column:
+        at = F.aggregate(F.slice(cells, i + 2, F.size(cells)), F.lit(0).cast("long"), lambda s, y: s + y["c"])
+        share = lambda o: F.least(at + x["c"], o["at"] + o["n"]) - F.greatest(at, o["at"])
+        return F.transform(F.slice(offers, 1, i), lambda o: F.struct(x["shard"].alias("shard"), o["to"].alias("to"), share(o).alias("c")))
+
+    return F.filter(F.flatten(F.transform(cells, source)), lambda m: m["c"] > 0)
+
+
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for every row of ``docs`` (doc_id and text are read)."""
     spark = docs.sparkSession
@@ -41,31 +54,31 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     many = max(1, math.isqrt(n))
     h = F.xxhash64("doc_id", "g")
     bucket = F.pmod(h, F.lit(many))
-    groups = rows.groupBy("g").agg(F.count("*").alias("_copies")).filter("_copies > 1")
-    rows = cut(rows.withColumn("h", h).join(groups, "g", "left").withColumn("linked", F.col("_copies").isNotNull()).drop("_copies"))
+    groups = cut(rows.groupBy("g").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    rows = cut(hot_join(rows.withColumn("h", h), groups, ["g"], "copies", "left").withColumn("linked", F.col("copies").isNotNull()).drop("copies"))
     linked, single = rows.filter("linked"), rows.filter("not linked")
 
     dealt = running(linked, [], bucket, ["h", "doc_id"], F.lit(1), "_r")
     cells = cut(dealt.groupBy("g", F.pmod("_r", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("c")))
     room = spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(n // shards) + (F.col("id") < n % shards).cast("long")).alias("room"))
-    while True:  # ends, as every move makes a group's sum of squared cells larger
+    while True:  # ends, as every move goes to a cell no smaller and so makes a group's sum of squared cells larger
         load = cells.groupBy("shard").agg(F.sum("c").alias("load"))
         free = room.join(load, "shard", "left").select("shard", (F.col("room") - F.coalesce("load", F.lit(0))).alias("free"))
-        now = cells.join(F.broadcast(free), "shard")  # one row for each shard
-        best = F.max(F.when(F.col("free") > 0, F.struct("c", (-F.col("shard")).alias("s"), "free"))).over(Window.partitionBy("g"))
-        now = now.withColumn("best", best).withColumn("to", -F.col("best.s"))
-        wants = now.filter((F.col("to") != F.col("shard")) & ((F.col("best.c") > F.col("c")) | ((F.col("best.c") == F.col("c")) & ((F.col("to") < F.col("shard")) | (F.col("free") <= 0)))))
-        wants = wants.select("g", "shard", "c", "to", F.col("best.free").alias("quota"))
+        now = cells.join(F.broadcast(free), "shard").groupBy("g")  # one row for each shard
+        cell = F.struct((-F.col("c")).alias("minus"), (F.col("free") <= 0).alias("full"), "shard", "c", "free")
+        wants = now.agg(F.sort_array(F.collect_list(cell)).alias("cells")).filter(F.size("cells") > 1).select("g", F.inline(_wishes(F.col("cells"))))
+        wants = cut(wants.join(F.broadcast(free.select(F.col("shard").alias("to"), F.col("free").alias("quota"))), "to").select("g", "shard", "c", "to", "quota"))
+        if wants.isEmpty():
+            break
         asked = running(wants, ["to"], F.pmod(F.xxhash64("g"), F.lit(many)), ["g", "shard"], F.col("c"), "_before")
         moves = cut(asked.withColumn("c", F.least("c", F.col("quota") - F.col("_before"))).filter("c > 0").select("g", "shard", "to", "c"))
-        if moves.isEmpty():
-            break
         parts = cells.union(moves.select("g", "shard", -F.col("c"))).union(moves.select("g", "to", "c"))
         cells = cut(parts.groupBy("g", "shard").agg(F.sum("c").alias("c")).filter("c > 0"))
 
     upto = F.sum("c").over(Window.partitionBy("g").orderBy("shard"))
     plan = cells.withColumn("upto", upto).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cells"))  # at most one entry a shard
-    placed = running(linked, ["g"], bucket, ["h", "doc_id"], F.lit(1), "_r").join(plan, "g")
+    placed = cut(running(linked, ["g"], bucket, ["h", "doc_id"], F.lit(1), "_r"))
+    placed = hot_join(placed, plan.join(groups, "g"), ["g"], "copies")
     placed = placed.withColumn("shard", F.filter("cells", lambda x: x["upto"] > F.col("_r"))[0]["shard"])
 
     load = {r["shard"]: r["load"] for r in cells.groupBy("shard").agg(F.sum("c").alias("load")).collect()}  # one row for each shard

@@ -238,6 +238,9 @@ def test_shards(docs, none, spark):
     count = {}
     for r in rows:
         count.setdefault(r["shard"], []).append(r["slot"])
+    for r in rows:
+        t = (corpus()[r["doc_id"]][1] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 8, zlib.crc32(t), "rows", None)
     sizes = [len(count.get(s, [])) for s in range(24)]
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in count.values())
     hot = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(480)], "doc_id long, text string")
