@@ -1,16 +1,67 @@
-"""Shard-at-a-time processing of arriving files."""
+"""Shard-at-a-time processing of arriving files, and polling for work that was not done."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+Transform = Callable[[DataFrame], DataFrame]
 
-def available_now(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, marks: str) -> None:
-    """Run everything that has arrived, then stop. A batch overwrites its own folder, so a repeated batch leaves no copies."""
+
+def run_available(source: DataFrame, consumers: Mapping[str, Transform], out: str, marks: str) -> None:
+    """Run everything that has arrived through all consumers, then stop.
+
+    A batch is read once for all of them (it is kept while it is worked on), and each overwrites its own folder ``<out>/<name>/batch=<n>``, so
+    a batch that runs again after a failure leaves no copies. The checkpoint at ``marks`` says what is done.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for name, transform in consumers.items():
+                transform(batch).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    source.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def available_now(source: DataFrame, transform: Transform, out: str, marks: str) -> None:
+    """``run_available`` with one consumer, in ``<out>/batch=<n>``."""
 
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     source.writeStream.foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def arriving(spark: SparkSession, path: str, schema, files: int = 1, archive: str | None = None, delete: bool = False) -> DataFrame:
+    """A stream of Parquet shards, ``files`` a batch; shards that are done are moved to ``archive`` or deleted."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    elif delete:
+        reader = reader.option("cleanSource", "delete")
+    return reader.parquet(path)
+
+
+def unscored(found: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Work that polling found and nothing has done yet: one row for each key."""
+    return found.dropDuplicates(keys).join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def poll(found: DataFrame, score: Transform, done: str, keys: list[str]) -> int:
+    """Score what is not in the store at ``done`` and append it; the number of rows. Running it again does nothing more."""
+    spark = found.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(done)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        found = unscored(found, spark.read.parquet(done), keys)
+    else:
+        found = found.dropDuplicates(keys)
+    rows = score(found).cache()
+    n = rows.count()
+    if n:
+        rows.write.mode("append").parquet(done)
+    rows.unpersist()
+    return n
