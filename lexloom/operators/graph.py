@@ -1,7 +1,12 @@
-"""Connected components by alternating large-star and small-star steps, to convergence."""
+"""Connected components: every partition first replaces its edges by stars of its own components, then alternating large-star and
+small-star steps join them, to convergence."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +36,44 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return rows.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node reachable) for each node of ``edges`` (two columns of comparable ids)."""
-    now, _ = fit(edges.toDF("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the least of its component, and that least node, for edges that are all at hand."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
     while True:
-        now = cut(_star(_star(now, True), False))
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = now.coalesce(max(1, -(-row["n"] // ROWS)))
-        if row == mark:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(new, ends, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
             break
-        mark = row
+        label = new
+    apart = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[apart], ids[label[apart]]
+
+
+def _local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [f for f in frames if len(f)]  # a partition of ``fit``: about ROWS rows
+    if held:
+        u, v = local_stars(*(np.concatenate([f[c].to_numpy() for f in held]) for c in ("u", "v")))
+        yield pd.DataFrame({"u": u, "v": v})
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the least node reachable) for each node of ``edges`` (two columns of comparable ids)."""
+    now, n = fit(edges.toDF("u", "v").filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = cut(now.mapInPandas(_local, now.schema))
+    if n > ROWS:  # more than one partition
+        mark = None
+        while True:
+            now = cut(_star(_star(now, True), False))
+            row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            now = now.coalesce(max(1, -(-row["n"] // ROWS)))
+            if row == mark:
+                break
+            mark = row
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return cut(nodes.union(nodes.select(F.col("comp").alias("node"), "comp")).distinct())
+    return nodes.union(nodes.select(F.col("comp").alias("node"), "comp").distinct())
