@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import kernel as K
 from lexloom.llm.sieve import sieve
 from lexloom.operators.graph import components, fit
-from lexloom.session import cut, prepare
+from lexloom.session import cut, prepare, release
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         open_bands = hub.select("band").distinct()
         members, _ = fit(now.select("band", "rep", "n").join(open_bands, "band", "left_semi").join(hub.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti"))
         rounds += 1
+        release(spark)
 
     named = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     out = sig.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
