@@ -56,9 +56,9 @@ def not_held_out(train: DataFrame, held: DataFrame, uid: str, speaker: str) -> D
 def greedy_cases(rows: DataFrame, speaker: str, uid: str, digest: str, seed: int = 0, session: str | None = None, recording: str | None = None, limit: int | None = None) -> DataFrame:
     """speaker, uid, reference: pairs of one speaker in which no recording, no content and no stretch of a recording is used twice.
 
-    Targets come in order of a seeded hash, and each takes the free reference with the least hash for it. Speakers share nothing but
-    recordings, so each is a task of its own; ``recording`` (with start and end) is checked inside a speaker, as are sessions.
-    A speaker's rows are one group in memory: that is the algorithm's state.
+    Targets come in order of a seeded hash, and each takes the free reference with the least hash for it. Content that several speakers
+    have stays with the one whose row comes first, so a speaker is a task of its own; ``recording`` (with start and end) is checked
+    inside a speaker, as are sessions. A speaker's rows are one group in memory: that is the algorithm's state.
     """
     order = hash01(F.lit(str(seed)), F.col(uid).cast("string"))
 
@@ -96,6 +96,8 @@ def greedy_cases(rows: DataFrame, speaker: str, uid: str, digest: str, seed: int
         F.col(speaker).alias("speaker"), F.col(uid).alias("uid"), F.col(digest).alias("digest"), order.alias("h"), F.pmod(F.xxhash64(uid), F.lit(1 << 31)).alias("n"),
         *([F.col(session).alias("session")] if session else []), *([F.col(recording).alias("rec"), "start", "end"] if recording else []),
     )
+    owner = src.groupBy("digest").agg(F.min_by("speaker", F.struct("h", "uid")).alias("owner"))
+    src = src.join(owner, "digest").filter(F.col("speaker") == F.col("owner")).drop("owner")
     kind = dict(src.dtypes)
     out = src.groupBy("speaker").applyInPandas(pick, f"speaker {kind['speaker']}, uid {kind['uid']}, reference {kind['uid']}, h double")
     return (out.orderBy("h", "uid").limit(limit) if limit else out).drop("h")
