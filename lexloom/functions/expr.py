@@ -83,6 +83,7 @@ def length_bucket(n: Column) -> Column:
     return F.when(n <= 5, "1-5").when(n <= 9, "6-9").otherwise("10+")
 
 
+# The patterns of units and pauses define the result.
 def text_units(c: Column) -> dict[str, Column]:
     """Bytes, characters, vowels, words, comma-like and stop-like punctuation of a text."""
     return {

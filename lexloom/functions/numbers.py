@@ -20,6 +20,7 @@ SMALL = "a-zçğıöşü"
 VOICELESS = "çfhkpsşt"
 ROUND = {"a": "ı", "ı": "ı", "e": "i", "i": "i", "o": "u", "u": "u", "ö": "ü", "ü": "ü"}
 
+# The patterns that define what a number, an ending, a date and a clock time are.
 RUN = re.compile(r"(?P<before>%\s?)?(?P<run>\d+(?:(?:\.\s?[-–]\s?|\s?[-–]\s?|[.,:])\d+)*)(?P<after>\s?%)?")
 CASE = re.compile(rf"['’](?P<ending>[{LETTERS}]+)")
 NTH = re.compile("[iıuü]?nc[iıuü]")

@@ -84,6 +84,13 @@ def spoken_documents(spark, sf):
     return d.select("doc_id", F.length("t.text").alias("n"), "t.error", "characters")
 
 
+@query()
+def speakable_documents(spark, sf):
+    """Every document as a speaker would say it, and the number of changes."""
+    said = turkish.speakable_udf()
+    return table(spark, sf, "documents").select("doc_id", said("text").alias("s")).select("doc_id", "s.said", "s.notes")
+
+
 @query()
 def metric_documents(spark, sf):
     """Every document in the metric texts and as a key."""

@@ -1,0 +1,78 @@
+"""Golden values of the synthesis front end."""
+
+import pytest
+
+from lexloom.functions import spoken
+from lexloom.plans import catalogue
+
+# Free text and what is said.
+SAID = {
+    "Toplantı 23.09.2026 tarihinde saat 14:30'da.": "Toplantı yirmi üç eylül iki bin yirmi altı tarihinde saat on dört otuzda.",
+    "Saat 09.30'da gel, ara 14:05'te, bitiş 18:00.": "Saat dokuz otuzda gel, ara on dört sıfır beşte, bitiş on sekiz.",
+    "Fiyat 1.250,50 TL, $199 ya da 180 €.": "Fiyat bin iki yüz elli virgül elli lira, yüz doksan dokuz dolar ya da yüz seksen avro.",
+    "Dolar 34,5 ₺ oldu. Fiyatı $199.": "Dolar otuz dört virgül beş lira oldu. Fiyatı yüz doksan dokuz dolar.",
+    "Hava 25°C, gece -3 derece.": "Hava yirmi beş derece, gece eksi üç derece.",
+    "Prof.Dr. Ahmet ve Öğr.Gör. Ayşe geldi.": "Profesör Doktor Ahmet ve öğretim görevlisi Ayşe geldi.",
+    "T.C. Sağlık Bakanlığı ve Koç Holding A.Ş. açıkladı.": "te ce Sağlık Bakanlığı ve Koç Holding anonim şirketi açıkladı.",
+    "elma, armut vs. Sonra geldi.": "elma, armut vesaire. Sonra geldi.",
+    "ABD'de ve TBMM'nin açıklaması, NATO'nun tepkisi.": "a be dede ve te be me menin açıklaması, natonun tepkisi.",
+    "Ali & Veli, 2+2=4.": "Ali ve Veli, iki artı iki eşittir dört.",
+    "Nüfusun 3/4 kadarı.": "Nüfusun dörtte üç kadarı.",
+    "5 km yürüdüm, 2 kg'lık paket, 120 km/sa hız.": "beş kilometre yürüdüm, iki kilogramlık paket, saatte yüz yirmi kilometre hız.",
+    "II. Dünya Savaşı ve XIX. yüzyıl.": "ikinci Dünya Savaşı ve on dokuzuncu yüzyıl.",
+    "BU ÇOK ÖNEMLİ BİR DUYURUDUR, LÜTFEN DİKKAT EDİN!": "Bu çok önemli bir duyurudur, lütfen dikkat edin!",
+    "İSTANBUL'da 5G ve 4K.": "İstanbul'da beş ge ve dört ka.",
+    "%50 indirim, 20% kâr, sadece % oranı.": "yüzde elli indirim, yüzde yirmi kâr, sadece yüzde oranı.",
+    "Harika! 😊 #Türkiye @kadirnar": "Harika! Türkiye kadirnar",
+    "«Merhaba» dedi, Café'de José ile.": "\"Merhaba\" dedi, Cafe'de Jose ile.",
+    "Ne dersin?! Harika!!! Bekle.....": "Ne dersin? Harika! Bekle...",
+    "Bilgi: info@vyvo.ai": "Bilgi: info et vyvo nokta ai",
+    "Kira 15.000 TL'dir, 10 USD'yi bozdurdum.": "Kira on beş bin liradır, on doları bozdurdum.",
+    "1. Madde: Kira. 2. Madde: Depozito.": "birinci Madde: Kira. ikinci Madde: Depozito.",
+    "Q3 geliri, A4 kağıt.": "kü üç geliri, a dört kağıt.",
+    "#YapayZeka günü": "Yapay Zeka günü",
+    "Toplantı 4'e ertelendi, %4'ü geldi, 2024'e kadar 14'ün katı.": "Toplantı dörde ertelendi, yüzde dördü geldi, iki bin yirmi dörde kadar on dördün katı.",
+    "Saat 14.04'e kadar, 4'te ve 4'üncü sırada.": "Saat on dört sıfır dörde kadar, dörtte ve dördüncü sırada.",
+    "$4'e, 4$'a, €4'ü, ₺4'ün, $5'in ve €2'ye aldım.": "dört dolara, dört dolara, dört avroyu, dört liranın, beş doların ve iki avroya aldım.",
+    "Yarın öğleden sonra sağanak bekleniyormuş, şemsiyeni unutma.": "Yarın öğleden sonra sağanak bekleniyormuş, şemsiyeni unutma.",
+}
+
+
+@pytest.mark.parametrize("raw", SAID)
+def test_speakable(raw):
+    said, notes = spoken.speakable(raw)
+    assert said == SAID[raw] and all(isinstance(n, str) for n in notes)
+
+
+def test_what_cannot_be_said():
+    text, notes = spoken.speakable("Merhaba ابت dünya ☃")
+    assert text == "Merhaba dünya" and any("okunamayan" in n for n in notes)
+    with pytest.raises(ValueError):
+        spoken.speakable("😊😊")
+    text, notes = spoken.speakable("i̇stanbul'a gittim")
+    assert text == "istanbul'a gittim" and notes
+    assert spoken.prepared("O ne yapıyor?") == ("O ne yapıyor?", [])
+
+
+def test_grammar():
+    assert [spoken.harmonize(*x) for x in (("lira", "dir"), ("dolar", "yi"), ("avro", "dan"), ("lira", "si"), ("avro", "e"), ("lira", "ün"), ("avro", "ü"), ("lira", "ye"))] == ["dır", "ı", "dan", "sı", "ya", "nın", "yu", "ya"]
+    assert [spoken.locative(w) for w in ("iki", "üç", "dört", "altı", "on", "yüz")] == ["ikide", "üçte", "dörtte", "altıda", "onda", "yüzde"]
+    assert spoken.spell("CHP") == "ce ha pe" and spoken.pronounceable("TOKAT") and not spoken.pronounceable("TBMM") and not spoken.pronounceable("KART")
+
+
+def test_character_units():
+    assert spoken.char_units("aşİ") == [97 + 4, 0xFE + 4, 0xDD + 4] and spoken.char_units("i̇") == [105 + 4]
+    assert spoken.char_units("ć☃") == [99 + 4, spoken.UNKNOWN] and spoken.units_text(spoken.char_units("ığ☃"), "chars") == "ığ�"
+    ids = [1, *(b + 4 for b in "şu".encode()), 2, *(b + 4 for b in "ğ".encode()), 3]
+    assert spoken.to_units(ids, [0, 0, 0, 0, 0, 1, 1, 1]) == ([1, 0xFE + 4, 117 + 4, 2, 0xF0 + 4, 3], [0, 0, 0, 0, 1, 1])
+
+
+def test_query(spark):
+    rows = catalogue.queries()["speakable_documents"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in rows[:40]:
+        try:
+            want = spoken.speakable(texts[r["doc_id"]] or "")
+            assert (r["said"], r["notes"]) == (want[0], len(want[1]))
+        except ValueError:
+            assert r["said"] is None
