@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.operators.quantiles import exact_quantiles
 from lexloom.plans.registry import query, table
 
 
@@ -22,7 +23,8 @@ def partial_mean(spark, sf):
 
 @query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.95) AS p95, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1")
 def quantile_profile(spark, sf):
-    q = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q"), F.avg("l_extendedprice").alias("mean"))
+    """Quantiles and mean of each group, by ranks: a group's values meet in no buffer."""
+    q = exact_quantiles(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", (0.05, 0.25, 0.5, 0.75, 0.95))
     return q.select("l_returnflag", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))), "mean")
 
 
@@ -70,23 +72,34 @@ def chunk_means(spark, sf):
     return table(spark, sf, "events").select("value", F.row_number().over(w).alias("r")).groupBy(F.expr("cast((r - 1) div 50 as bigint)").alias("chunk")).agg(F.avg("value").alias("mean"))
 
 
-@query("SELECT user_id, avg(value) FILTER (WHERE event_type = 'click') AS click, avg(value) FILTER (WHERE event_type = 'view') AS view, max_by(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT user_id, " + ", ".join(f"avg(value) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS) + ", max_by(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
 def leaderboard_pivot(spark, sf):
+    """Each system's mean of every measure and its last value."""
     e = table(spark, sf, "events")
     last = e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
-    wide = e.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    wide = e.groupBy("user_id").pivot("event_type", list(KINDS)).agg(F.avg("value"))
     return last.join(wide, "user_id")
 
 
-@query("SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS rate FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))")
-def grouped_rates(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("_lineitem_rates")
-    return spark.sql("SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS rate FROM _lineitem_rates GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))")
+@query("""WITH d AS (SELECT event_type, user_id % 3 AS seed, datediff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // 7 AS step, value FROM events), s AS (SELECT event_type, step, seed, avg(value) AS v FROM d GROUP BY ALL), p AS (SELECT event_type, step, avg(v) AS v, count(*) AS seeds FROM s GROUP BY ALL)
+SELECT event_type, """ + ", ".join(f"avg(v) FILTER (WHERE step = {k}) AS step_{k}" for k in range(4)) + ", max_by(v, step) FILTER (WHERE seeds = 3) AS last_full FROM p GROUP BY 1")
+def trajectory_pivot(spark, sf):
+    """Each system's course over the steps, seeds pooled, and its value at the last step that all seeds reached."""
+    e = table(spark, sf, "events")
+    start = F.broadcast(e.agg(F.min(F.to_date("ts")).alias("start")))
+    d = e.crossJoin(start).select("event_type", (F.col("user_id") % 3).alias("seed"), F.floor(F.datediff(F.to_date("ts"), F.col("start")) / 7).alias("step"), "value")
+    p = d.groupBy("event_type", "step", "seed").agg(F.avg("value").alias("v")).groupBy("event_type", "step").agg(F.avg("v").alias("v"), F.count("*").alias("seeds"))
+    full = F.max_by(F.when(F.col("seeds") == 3, F.col("v")), F.when(F.col("seeds") == 3, F.col("step")))
+    return p.groupBy("event_type").agg(*(F.avg(F.when(F.col("step") == k, F.col("v"))).alias(f"step_{k}") for k in range(4)), full.alias("last_full"))
 
 
-@query("""WITH t AS (SELECT least(floor(value / 20), 4)::BIGINT AS bucket, value FROM events) SELECT bucket, sum(value) AS total, count(*) AS n FROM t GROUP BY 1""")
-def loss_buckets(spark, sf):
-    return table(spark, sf, "events").groupBy(F.least(F.floor(F.col("value") / 20), F.lit(4)).cast("long").alias("bucket")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+@query("SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS rate FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))")
+def grouped_rates(spark, sf):
+    sets = table(spark, sf, "lineitem").groupingSets([[], ["l_returnflag"], ["l_linestatus"]], "l_returnflag", "l_linestatus")
+    return sets.agg((F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")).alias("rate"))
 
 
 @query("""WITH a AS (SELECT l_tax AS factor, avg(l_discount) AS score FROM lineitem WHERE l_tax > 0 GROUP BY 1) SELECT factor, score FROM a ORDER BY round(score, 9), abs(ln(factor)), factor LIMIT 1""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lexloom.operators.ranks import running
 from lexloom.plans.registry import query, table
 
 
@@ -41,18 +43,21 @@ def intersect_keys(spark, sf):
     return table(spark, sf, "documents").filter("n_chars > 2000").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src3'")
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 <> 0")
 def union_partitions(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source")
-    return d.filter(F.col("source").isin("src1", "src2")).unionByName(d.filter("source = 'src3'"))
+    return d.filter("doc_id % 2 = 0").unionByName(d.filter("doc_id % 2 <> 0"))
 
 
 @query("SELECT doc_id, (r - 1) % 4 AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r <= n // 4 * 4")
 def rank_stride(spark, sf):
-    """Equal shares of each source for 4 ranks."""
-    w = Window.partitionBy("source")
-    d = table(spark, sf, "documents").select("doc_id", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return d.filter(F.expr("r <= n div 4 * 4")).select("doc_id", ((F.col("r") - 1) % 4).cast("long").alias("rank"))
+    """Equal shares of each source for 4 ranks. Rows are numbered in ranges of doc_id and offset by the ranges before, so a source is in no one task."""
+    d = table(spark, sf, "documents").select("source", "doc_id")
+    ends = d.agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).first()
+    width = max(1, -(-((ends["top"] or 0) + 1) // max(1, math.isqrt(ends["n"]))))
+    rows = running(d, ["source"], F.floor(F.col("doc_id") / width), ["doc_id"], F.lit(1), "_r")
+    n = d.groupBy("source").agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(n) if n.count() <= 100_000 else n, "source").filter(F.expr("_r < n div 4 * 4")).select("doc_id", (F.col("_r") % 4).cast("long").alias("rank"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

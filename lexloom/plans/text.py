@@ -20,9 +20,9 @@ def ascii_metric(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ascii_metric_text(F.col("text")).alias("metric"))
 
 
-@query(f"WITH t AS (SELECT item_id, list_filter(string_split({KEY.format('text')}, ' '), lambda x: x <> '') AS w FROM benchmark) SELECT item_id, list_sort({NGRAMS}) AS grams FROM t")
+@query(f"WITH t AS (SELECT doc_id, list_filter(string_split({KEY.format('text')}, ' '), lambda x: x <> '') AS w FROM documents) SELECT doc_id, list_sort({NGRAMS}) AS grams FROM t")
 def ngram_set(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.sort_array(ngrams(words(ascii_metric_text(F.col("text"))), 3)).alias("grams"))
+    return table(spark, sf, "documents").select("doc_id", F.sort_array(ngrams(words(ascii_metric_text(F.col("text"))), 3)).alias("grams"))
 
 
 @query(r"""SELECT doc_id, strlen(text) AS n_bytes, length(text) AS n_code_points, len(regexp_extract_all(text, '[aeıioöuüâîû]')) AS syllables,
@@ -63,7 +63,8 @@ def cer_wer(spark, sf):
 
 @query()
 def number_words(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", turkish.columns()["number_words_v2"](F.concat_ws(" ", F.col("item_id").cast("string"), "text")).alias("spoken"))
+    spoken = turkish.columns()["number_words_v2"](F.concat_ws(" ", F.col("doc_id").cast("string"), "text"))
+    return table(spark, sf, "documents").select("doc_id", spoken.alias("spoken"))
 
 
 @query()
