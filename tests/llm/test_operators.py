@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import language, lm, media, pieces, repeats
 from lexloom.llm.mixing import mix_sources
 from lexloom.llm.near_dedup import near_duplicates
-from lexloom.llm.quality import quality
+from lexloom.llm.quality import passing, quality
 from lexloom.llm.queries import PIECES, RULES
 from lexloom.llm.repeats import dedup_report
 from lexloom.llm.sharding import shard
@@ -119,12 +119,42 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0
 
 
-def test_quality(docs, none):
-    rows = {r["doc_id"]: r for r in quality(docs).collect()}
-    assert len(rows) == len(corpus())
-    assert rows[0]["n_words"] == 0 and rows[0]["base_failed"] and not rows[0]["kept"]
-    assert all(r["n_words"] == len(words(r["text"])) for r in rows.values())
-    assert quality(none).count() == 0
+def plain_quality(t):
+    """The base figures and the verdict, by the definitions."""
+    w, lines = words(t), (t or "").split("\n")
+    full = [x for x in lines if words(x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    repeated = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    noise = lambda x: sum(c in "#*$%&|<>" for c in x)
+
+    def passes(x):
+        n = len(words(x))
+        return (
+            n > 0 and re.search(r"[.!?:;…。！？]['\"»”’)\]]*[\x20\x09-\x0d]*\Z", x) and not re.search(r"(?i)^\W*(home|menu|read more)\W*$", x)
+            and not re.search(r"(?i)all rights reserved|privacy policy", x) and 10 * noise(x) <= 2 * n and 10 * x.count("!!") <= 3 * n
+        )
+
+    lost = len(w) - sum(len(words(x)) for x in lines if passes(x))
+    failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+    return (len(w), len("".join(w)), noise(t or ""), len(full) - len(set(full)), len(repeated), failed, not failed and 100 * lost <= 50 * len(w), lost)
+
+
+def test_quality(docs, none, spark):
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+    r = random.Random(8)
+    ends = [".", "!!", "?\u201d", "", ";) \t", "…'", " | # *", "!!!!", "\u2028", ".\x85"]
+    more = ["Home", "read more", "All Rights Reserved 2020.", "Privacy policy!", "same line.", "same line.", "\t\x0b"]
+    texts = ["\n".join(" ".join(r.choice(WORDS[:40]) for _ in range(r.randint(0, 30))) + r.choice(ends) if r.random() < 0.7 else r.choice(more) for _ in range(r.randint(1, 14))) for _ in range(150)]
+    rows = [(i, t) for i, (_, t, *_) in enumerate(corpus())] + [(1000 + i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: tuple(x[c] for c in cols) for x in quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: g for i, g in got.items()} == {i: plain_quality(t) for i, t in rows}
+    assert len({g[6] for g in got.values()}) == 2 and quality(none).count() == 0
+    odd = spark.createDataFrame([(1, "a b", 7, 8, 9, "x")], "doc_id long, text string, _words int, kept__row int, _order int, n_words string")
+    out = quality(odd).first()
+    assert (out["_words"], out["_order"], out["kept__row"], out["n_words"]) == (7, 9, 8, 2)
+    assert passing(odd, min_words=1, max_lost_percent=100).first()["_words"] == 7
+    twice = quality(docs.union(docs)).groupBy("doc_id").count()
+    assert twice.filter("count <> 2").isEmpty()
 
 
 def test_language(docs, none, spark):
