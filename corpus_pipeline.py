@@ -1,7 +1,12 @@
 """A training-data pipeline: quality rules, near duplicates, repeated strings, source mix, piece ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame that is written and
-read again as the next stage's ``docs``; all but the last return the columns of ``documents``.
+read again as the next stage's ``docs``; all but the last return the columns of ``documents``, and columns beyond those are ignored.
+
+Nulls are kept as they are in any column, a null doc_id included (such a row is a document of its own: the quality rules and the mix
+treat it as any other, nothing is linked with it or hidden by it). A null or empty text fails the quality rules; later stages pass it
+on. Rows that repeat a doc_id are documents of their own, but near duplicates link ids: such rows go or stay together. An empty
+table passes through every stage.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, linked from similarity 0.8 on."""
+    """The first document of each group of near duplicates, linked from similarity 0.8 on (of equal ones the smallest doc_id)."""
     docs = docs.select(*COLUMNS)
     gone = cut(near_duplicates(docs, percent=80).filter("not kept").select("doc_id"))
     return sieve(docs, "doc_id", gone, inverse=True).union(sieve(docs, "doc_id", gone).join(gone, "doc_id", "left_anti"))
