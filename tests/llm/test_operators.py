@@ -410,3 +410,52 @@ def test_shards_join_pairs_while_there_is_room(spark):
         if texts[r["doc_id"]].startswith("pair"):
             pairs.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
     assert [p for p in pairs.values() if len(p) > 1 and not all(full[s] for s in p)] == []
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, ids string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Good documents among nulls in every column, empty and blank texts, repeated rows, one id with two texts, a passage that two share."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(r.choice(WORDS) for _ in range(n)) + "."
+    passage = prose(70)
+    rows = [(1, prose(90), "en", "a"), (2, prose(90), None, None), (None, prose(90), "en", "a"), (3, None, "en", "a"), (4, "", "en", "b"), (5, " \n", "en", "b")]
+    rows += [(6, prose(80), "en", "b")] * 2 + [(7, prose(60) + " " + passage, "de", "c"), (8, prose(60) + " " + passage, "de", "c"), (9, prose(70), "en", "c"), (9, prose(75), "en", "c")]
+    return spark.createDataFrame([(*x, None if x[0] == 2 else len(x[1] or ""), "x", "y") for x in rows], ODD)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline as P
+
+    keep = lambda rows: sorted(((x["doc_id"], x["text"]) for x in rows.collect()), key=repr)
+    source = [(x["doc_id"], x["text"]) for x in odd.collect()]
+    good = P.quality_rules(spark, odd, "")
+    assert good.columns == list(P.COLUMNS) and keep(good) == sorted((x for x in source if x[1] and len(words(x[1])) >= 50), key=repr)
+    unique = P.near_dedup(spark, odd, "")
+    assert keep(unique) == sorted(source, key=repr)  # two equal rows of one id are one document for linking, and it is the first
+    less = keep(P.repeated_strings(spark, odd, ""))
+    assert len(less) == len(source) and [x for x in less if x[0] != 8] == sorted((x for x in source if x[0] != 8), key=repr)
+    eight, seven = next(t for i, t in less if i == 8), next(t for i, t in source if i == 7)
+    whole = next(t for i, t in source if i == 8)
+    assert len(eight) < len(whole) - 200 and whole.startswith(eight[:100]) and not any(eight[k : k + 100] in seven for k in range(len(eight) - 99))
+    mixed = P.source_mix(spark, odd, "")
+    assert mixed.columns == list(P.COLUMNS) and {x for x in keep(mixed)} <= set(source)
+    last = {(x["doc_id"], x["n_tokens"], x["round_trip"]) for x in P.piece_ids(spark, odd, "").collect()}
+    assert all(x[2] for x in last) and len(last) >= 9
+    nothing = odd.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, nothing, "").count() == 0
+
+
+def test_media_of_long_text_and_features(spark):
+    """A megabyte and equal texts: what is stored reads back as the payload, and equal texts have equal values."""
+    texts = ["x" * 1_000_003, "é" * 40_000, "é" * 40_000, None, ""]
+    rows = sorted(media.describe_media(media.encode_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect(), key=lambda x: x["doc_id"])
+    for x, t in zip(rows, texts, strict=True):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (x["payload_bytes"], x["payload_sha256"]) == (len(payload), hashlib.sha256(payload).hexdigest()) and x["media_bytes"] > 0
+    same = lambda x: (x["media_bytes"], x["media_sha256"], x["feature"])
+    assert same(rows[1]) == same(rows[2]) != same(rows[0]) and same(rows[3]) == same(rows[4])
