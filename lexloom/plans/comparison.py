@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import intervals as I
 from lexloom.plans.registry import query, table
 
+MOST_CLUSTERS = 1_000_000
 SUMS = "s AS (SELECT l_returnflag AS system, l_suppkey AS cluster, sum(l_discount * l_quantity) AS num, sum(l_quantity) AS den FROM lineitem GROUP BY 1, 2)"
 
 
@@ -66,9 +67,11 @@ def strata_report(spark, sf):
 
 @query()
 def bootstrap(spark, sf):
-    """Percentile intervals of resampled clusters; the draws run over one row a cluster on the driver."""
-    out = []
-    table_ = sums(spark, sf, "system").toPandas().sort_values(["system", "cluster"])
+    """Percentile intervals of resampled clusters; the draws run over one row a cluster on the driver, whose number is checked."""
+    out, rows = [], sums(spark, sf, "system")
+    if rows.count() > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters: use the jackknife")
+    table_ = rows.toPandas().sort_values(["system", "cluster"])
     for system, part in table_.groupby("system"):
         draws = I.bootstrap(part["num"].to_numpy(), part["den"].to_numpy())
         low, high = np.nanquantile(draws, [0.025, 0.975])

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from lexloom.functions.expr import dot, unit
 from lexloom.operators import vectors as V
 from lexloom.plans.registry import query, table
+from lexloom.session import cut
 
 UNIT = """u AS (SELECT vec_id, label, [x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) for x in embedding] AS v FROM embeddings),
 m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM u) GROUP BY 1, 2),
@@ -78,3 +79,22 @@ def average_linkage(spark, sf):
 def cluster_ids(spark, sf):
     g = vectors(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
     return g.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("long").alias("dense_id"), "n")
+
+
+@query(f"""WITH RECURSIVE {UNIT}, cs AS (SELECT label, CASE WHEN label % 3 = 0 THEN 'train' WHEN label % 3 = 1 THEN 'val' ELSE 'test' END AS split, v FROM c), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+e AS (SELECT a.label AS x, b.label AS y FROM cs a JOIN cs b ON a.label <> b.label AND list_dot_product(a.v, b.v) >= 0.1), r(label, reach) AS (SELECT label, label FROM cs UNION SELECT r.label, e.y FROM r JOIN e ON e.x = r.reach),
+g AS (SELECT label, min(reach) AS cluster FROM r GROUP BY 1), l AS (SELECT DISTINCT a.label FROM cs a JOIN cs b ON a.split <> 'train' AND b.split = 'train' WHERE list_dot_product(a.v, b.v) >= 0.1),
+mp AS (SELECT cluster, CASE WHEN max((split = 'train')::INT) = 1 THEN 'train' WHEN sum(CASE WHEN split = 'test' THEN n ELSE 0 END) >= sum(CASE WHEN split = 'val' THEN n ELSE 0 END) THEN 'test' ELSE 'val' END AS mapped FROM cs JOIN g USING (label) JOIN n USING (label) GROUP BY 1)
+SELECT label, cluster, l.label IS NOT NULL AS leaks, mapped FROM g JOIN mp USING (cluster) LEFT JOIN l USING (label)""")
+def speaker_clusters(spark, sf):
+    """Labels whose centroids are alike as one voice: its cluster, whether a held-out label leaks into train, and the split that keeps voices whole."""
+    v = vectors(spark, sf)
+    split = F.when(F.col("label") % 3 == 0, "train").when(F.col("label") % 3 == 1, "val").otherwise("test")
+    c = V.centroids(v, "label", "embedding").withColumn("split", split).join(v.groupBy("label").agg(F.count("*").alias("n")), "label")
+    c = cut(c)
+    near = V.components(V.similar_pairs(c, "label", "centroid", 0.1).select("a", "b"), c.select("label")).select(F.col("node").cast("int").alias("label"), F.col("component").cast("int").alias("cluster"))
+    leaks = V.nearest(c.filter("split <> 'train'"), c.filter("split = 'train'"), "label", "centroid").filter("cosine >= 0.1").select("label", F.lit(True).alias("leaks"))
+    rows = c.drop("centroid").join(near, "label")
+    test, val = (F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)) for s in ("test", "val"))
+    mapped = F.when(F.max((F.col("split") == "train").cast("int")) == 1, "train").when(test >= val, "test").otherwise("val")
+    return rows.join(rows.groupBy("cluster").agg(mapped.alias("mapped")), "cluster").join(leaks, "label", "left").select("label", "cluster", F.coalesce("leaks", F.lit(False)).alias("leaks"), "mapped")

@@ -26,6 +26,21 @@ def json_props(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct(F.json_object_keys("props")).alias("shapes"))
 
 
+@query("SELECT event_id, list_sort(json_keys(props)) AS names, props->>list_sort(json_keys(props))[1] AS first_value, to_json({'a': event_type, 'u': user_id}) AS dumped FROM events")
+def json_documents(spark, sf):
+    """JSON parsed into a map, its names in order, a value by name, and a record dumped with sorted names."""
+    m = F.from_json("props", "map<string,string>")
+    e = table(spark, sf, "events").select("event_id", F.sort_array(F.map_keys(m)).alias("names"), m.alias("m"), F.to_json(F.struct(F.col("event_type").alias("a"), F.col("user_id").alias("u"))).alias("dumped"))
+    return e.select("event_id", "names", F.try_element_at("m", F.get("names", 0)).alias("first_value"), "dumped")
+
+
+@query("SELECT source, to_json(map_from_entries(list_sort(list({'k': lang, 'v': n})))) AS counter FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+def counters(spark, sf):
+    """Counts of each source as one map."""
+    n = table(spark, sf, "documents").filter("lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return n.groupBy("source").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n"))))).alias("counter"))
+
+
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages")
 def split_key_host(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"))

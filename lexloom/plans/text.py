@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import turkish
-from lexloom.functions.expr import ascii_metric_text, ngrams, pause_seconds, text_units, tr_lower, word_distance, words
+from lexloom.functions.expr import ascii_metric_text, ngrams, pause_seconds, text_units, tr_lower, tr_upper, word_distance, words
 from lexloom.plans.curation import KEY, NGRAMS
 from lexloom.plans.registry import query, table
 
@@ -15,6 +15,12 @@ def tr_case(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tr_lower(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, upper(translate(left(source, 3) || lang, 'iı', 'İI')) AS capitals, upper(translate(left(lang, 1), 'iı', 'İI')) || lower(translate(substr(lang, 2), 'İI', 'iı')) AS titled, upper(translate(text, 'iıß', 'İI')) AS shouted FROM documents")
+def tr_upper_and_title(spark, sf):
+    lang = F.col("lang")
+    return table(spark, sf, "documents").select("doc_id", tr_upper(F.concat(F.substring("source", 1, 3), lang)).alias("capitals"), F.concat(tr_upper(F.substring(lang, 1, 1)), tr_lower(F.substring(lang, 2, 1 << 20))).alias("titled"), tr_upper(F.translate("text", "ß", "")).alias("shouted"))
+
+
 @query(f"SELECT doc_id, {KEY.format('text')} AS metric FROM documents")
 def ascii_metric(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ascii_metric_text(F.col("text")).alias("metric"))
