@@ -104,8 +104,33 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return (prefix[ends] - prefix[starts]) * powers(len(prefix), which)[1][starts]
 
 
+LONG = 1 << 22
+
+
+def pieces_at_blanks(data: np.ndarray, size: int = LONG) -> Iterator[np.ndarray]:
+    """A text in parts of about ``size`` bytes that end in front of a blank (one word is one part however long it is)."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data):
+            near = np.flatnonzero(_WS[data[end : end + size]])
+            if len(near):
+                end += int(near[0])
+                break
+            end += size
+        yield data[at : min(end, len(data))]
+        at = end
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """A well mixed 64-bit hash of every word, and each document's range among them."""
+    """A well mixed 64-bit hash of every word, and each document's range among them. A very long text goes in parts: a word's hash does not depend on its place."""
+    if len(off) == 2 and len(data) > LONG:
+        h = np.concatenate([_word_hashes(part, np.array([0, len(part)]), table)[0] for part in pieces_at_blanks(data)])
+        return h, np.array([0, len(h)])
+    return _word_hashes(data, off, table)
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, ranges = words(data, off)
     return mix(span_hash(prefix_hash(data, table), starts, ends) + (ends - starts).astype(U64)), ranges
 

@@ -40,9 +40,13 @@ def _folding() -> np.ndarray:
     return out
 
 
+def _points(data: np.ndarray) -> np.ndarray:
+    return _folding()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+
+
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of a run of documents, each document's range among them, and whether it has a letter."""
-    points = _folding()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    points = _points(data)
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     ranges = heads[off]
@@ -54,9 +58,14 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     keep[1:] = ~(blank[1:] & blank[:-1])
     at = np.zeros(len(points) + 1, np.int64)
     np.cumsum(keep, out=at[1:])
-    points, ranges = points[keep], at[ranges]
-    owner = np.repeat(np.arange(len(off) - 1), np.diff(ranges))
-    found, owners = [], []
+    f, o = _grams(points[keep], np.repeat(np.arange(len(off) - 1), np.diff(at[ranges])))
+    order = np.argsort(o, kind="stable")
+    return f[order], np.searchsorted(o[order], np.arange(len(off))), letters
+
+
+def _grams(points: np.ndarray, owner: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of folded code points and whose they are; ``starts``: only those that begin before it."""
+    found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     h = np.zeros(len(points), np.uint32)
     for n in range(1, ORDER + 1):
         m = len(points) - n + 1
@@ -67,13 +76,35 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         ok = owner[:m] == owner[n - 1 : n - 1 + m]
         if n == 1:
             ok &= points[:m] != 32
-        found.append(((h * _MUL[3]) >> np.uint32(32 - BITS))[ok])
+        if starts is not None:
+            ok[starts:] = False
+        found.append(((h * _MUL[3]) >> np.uint32(32 - BITS))[ok].astype(np.int64))
         owners.append(owner[:m][ok])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(off), np.int64), letters
-    f, o = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return f[order].astype(np.int64), np.searchsorted(o[order], np.arange(len(off))), letters
+    return np.concatenate(found), np.concatenate(owners)
+
+
+def parts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents i to j, their n-grams, ranges and whether they have a letter, in pieces of about the same work: a very long text comes
+    several times, each with n-grams of its own, folded first and then hashed in blocks that share the last ORDER - 1 code points."""
+    for i, j in K.chunks(off):
+        if j - i > 1 or off[j] - off[i] <= K.LONG:
+            yield i, j, *features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            continue
+        text, folded, last, at = data[off[i] : off[j]], [], 0, 0
+        while at < len(text):
+            end = min(len(text), at + K.LONG)
+            while end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            points = _points(text[at:end])
+            blank = points == 32
+            folded.append(points[~(blank & np.concatenate([[last == 32], blank[:-1]]))])
+            last, at = int(points[-1]), end
+        points = np.concatenate(folded)
+        letter = np.array([bool((points != 32).any())])
+        for k in range(0, len(points), K.LONG // 4):
+            block = points[k : k + K.LONG // 4 + ORDER - 1]
+            f, _ = _grams(block, np.zeros(len(block), np.int64), K.LONG // 4)
+            yield i, j, f, np.array([0, len(f)]), letter
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +122,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1).to_pylist()
         data, off = K.column_bytes(batch.column(0))
-        for i, j in K.chunks(off):
-            f, ranges, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        seen = -1
+        for i, j, f, ranges, _ in parts(data, off):
             for k in range(i, j):
                 lang = langs[k]
                 if lang not in totals:
@@ -100,7 +131,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield from counted()
                     totals[lang], docs[lang] = np.zeros(1 << BITS, np.int64), 0
                 totals[lang] += np.bincount(f[ranges[k - i] : ranges[k - i + 1]], minlength=1 << BITS)
-                docs[lang] += 1
+                docs[lang] += k > seen
+                seen = max(seen, k)
     yield from counted()
 
 
@@ -137,17 +169,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, list[np.ndarray
         langs, prior, blocks = shared.value
         for batch in batches:
             data, off = K.column_bytes(batch.column(1))
-            for i, j in K.chunks(off):
-                f, ranges, letters = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                sums = np.zeros((j - i, max(1, len(langs))))
+            n = len(off) - 1
+            sums, known = np.zeros((n, max(1, len(langs)))), np.zeros(n, bool)
+            for i, j, f, ranges, letters in parts(data, off):
+                known[i:j] = letters & (len(langs) > 0)
                 some = np.flatnonzero(np.diff(ranges) > 0)
                 if len(langs) and len(some):
-                    sums[some] = np.concatenate([np.add.reduceat(matrix[f], ranges[some], axis=0, dtype=np.float64) for matrix in blocks], 1) + prior
-                best = sums.argmax(1)
-                top = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                known = letters & (len(langs) > 0)
-                names = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], ["doc_id", "lang_pred", "score"])
+                    sums[i + some] += np.concatenate([np.add.reduceat(matrix[f], ranges[some], axis=0, dtype=np.float64) for matrix in blocks], 1)
+            sums += prior if len(langs) else 0.0
+            best = sums.argmax(1)
+            top = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+            names = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
