@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexloom.operators import intervals as I
+from lexloom.plans.comparing import T
 from lexloom.plans.registry import query, table
 
 MOST_CLUSTERS = 1_000_000
@@ -41,9 +42,9 @@ def jackknife(spark, sf):
     return I.jackknife(sums(spark, sf, "system"), ["system"])
 
 
-@query()
+@query(f"WITH {T}, {JACK} SELECT j.*, estimate - q * error AS low, estimate + q * error AS high FROM j JOIN t ON t.df = clusters - 1")
 def jackknife_intervals(spark, sf):
-    """Student's t interval of each system; the quantile is no SQL function."""
+    """Student's t interval of each system; the quantiles are numbers in the SQL, for up to 120 clusters."""
     return I.interval(I.jackknife(sums(spark, sf, "system"), ["system"]))
 
 
