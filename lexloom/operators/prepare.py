@@ -46,6 +46,17 @@ def first_of_two(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
     return df.join(kept, order, "left").withColumn("duplicate", F.col("_first").isNull()).drop("_first")
 
 
+def measured_rules(error: Column, seconds: Column, level: Column, bandwidth: Column, speech: Column, shortest: float, longest: float, silent: float = 1e-5, least_bandwidth: float = 0.0, least_speech: float = 0.0) -> list[tuple[str, Column]]:
+    """The rules that need a sound's measures, cheapest first; a measure that is missing breaks no rule, but a length that is missing does."""
+    return [
+        ("decode_error", error.isNotNull()),
+        ("duration", ~F.coalesce(seconds.between(shortest, longest), F.lit(False))),
+        ("silent", level < silent),
+        ("bandwidth", bandwidth < least_bandwidth),
+        ("speech_ratio", speech < least_speech),
+    ]
+
+
 def channel_sums(df: DataFrame, vector: str) -> DataFrame:
     """channel, n, s, q: sums that partitions can add up."""
     x = df.select(F.posexplode(vector).alias("channel", "v")).withColumn("v", F.col("v").cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.expr import hash01, split_of
 from lexloom.operators import prepare as P
+from lexloom.operators.curate import first_reason
 from lexloom.plans.curation import HASH, SPLIT
 from lexloom.plans.registry import query, table
 
@@ -132,3 +133,26 @@ def lookup_scores(spark, sf):
 def limit_before_filter(spark, sf):
     """The limit counts candidates that were looked at, not those that passed."""
     return table(spark, sf, "documents").orderBy("doc_id").limit(400).filter("n_chars > 1000").select("doc_id")
+
+
+@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 31 = 4 THEN 'bad header' END AS error, CASE WHEN doc_id % 37 <> 5 THEN n_chars / 15.0 END AS seconds, (doc_id % 13) * 1e-5 AS level, (doc_id % 23) * 1000 AS bandwidth, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 11) / 10.0 END AS speech FROM documents)
+SELECT doc_id, CASE WHEN error IS NOT NULL THEN 'decode_error' WHEN NOT coalesce(seconds BETWEEN 10 AND 600, false) THEN 'duration' WHEN level < 1e-5 THEN 'silent' WHEN bandwidth < 4000 THEN 'bandwidth' WHEN speech < 0.2 THEN 'speech_ratio' END AS reason FROM m""")
+def measured_reasons(spark, sf):
+    """The first measured rule that a row breaks: decoding, length, silence, bandwidth, share of speech."""
+    i = F.col("doc_id")
+    rules = P.measured_rules(
+        F.when(i % 31 == 4, "bad header"), F.when(i % 37 != 5, F.col("n_chars") / 15.0), (i % 13) * F.lit(1e-5), i % 23 * 1000, F.when(i % 3 > 0, i % 11 / 10.0),
+        10, 600, 1e-5, 4000, 0.2,
+    )
+    return table(spark, sf, "documents").select("doc_id", first_reason(*rules).alias("reason"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT source, substr(source, 1, 4) AS key FROM documents), given(name, mapped) AS (VALUES ('src11', 'test'), ('src1', 'val'), ('src3', 'train'))
+SELECT source, coalesce(a.mapped, b.mapped, CASE WHEN key <> 'src9' THEN CASE WHEN {HASH.format("'0:' || key")} < 0.3 THEN 'test' WHEN {HASH.format("'0:' || key")} < 0.6 THEN 'val' ELSE 'train' END END, 'kept') AS split FROM d LEFT JOIN given a ON a.name = source LEFT JOIN given b ON b.name = key""")
+def split_lookup(spark, sf):
+    """A label's entry in the map, else its key's, else the key's hash, else the split it had (labels without a key)."""
+    given = F.broadcast(spark.createDataFrame([("src11", "test"), ("src1", "val"), ("src3", "train")], "name string, mapped string"))  # a file's few lines
+    d = table(spark, sf, "documents").select("source").distinct().withColumn("key", F.substring("source", 1, 4))
+    by_label = d.join(given.select(F.col("name").alias("source"), F.col("mapped").alias("m1")), "source", "left")
+    by_key = by_label.join(given.select(F.col("name").alias("key"), F.col("mapped").alias("m2")), "key", "left")
+    return by_key.select("source", F.coalesce("m1", "m2", F.when(F.col("key") != "src9", split_of(F.col("key"), 0, 0.3, 0.6)), F.lit("kept")).alias("split"))
