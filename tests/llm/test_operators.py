@@ -274,8 +274,11 @@ def test_shards(docs, none, spark):
     sizes = [len(count.get(s, [])) for s in range(24)]
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in count.values())
     hot = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(480)], "doc_id long, text string")
-    by = [r["shard"] for r in shard(hot).collect()]
+    rows = shard(hot).collect()
+    by = [r["shard"] for r in rows]
     assert sorted(by.count(s) for s in range(24)) == [20] * 24
+    same = [r["shard"] for r in rows if r["doc_id"] % 3]
+    assert sorted(same.count(s) for s in set(same)) == [20] * 16  # 320 copies, as few cut edges as shards of 20 allow
     assert shard(none).count() == 0
 
 
@@ -488,3 +491,19 @@ def test_recall_of_near_duplicates(spark):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert len(links) > 100 and sum(got[a] == got[b] for a, b in links) == len(links)
+
+
+def test_shards_cut_as_few_edges_as_groups_allow(spark):
+    """Groups that fit are whole; null ids, repeated rows and null texts are rows like others."""
+    r = random.Random(21)
+    rows = [(None if r.random() < 0.1 else i // 2, t) for i, t in enumerate([f"g{k}" for k in range(40) for _ in range(r.randint(1, 6))] + [None] * 5 + [""] * 4)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    sizes = [sum(x["shard"] == s for x in out) for s in range(6)]
+    assert len(out) == len(rows) and max(sizes) - min(sizes) <= 1
+    groups = {}
+    for x in out:
+        groups.setdefault(x["text_crc32"], []).append(x["shard"])
+    cut = sum(len(g) - max(g.count(s) for s in set(g)) for g in groups.values())
+    assert len(groups) == 41 and cut <= 8  # of 146 rows; dealt round they were all cut
+    for s in range(6):
+        assert sorted(x["slot"] for x in out if x["shard"] == s) == list(range(sizes[s]))
