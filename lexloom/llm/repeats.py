@@ -169,6 +169,17 @@ def _later(rows: DataFrame, first: DataFrame) -> DataFrame:
     return hot_join(rows, first, ["k", "k2"], "c").filter("not (doc_id = first.doc_id and twin = first.twin and lo = first.lo)")
 
 
+def _among(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """Rows whose k may be among ``keys``, by their bit set: what is alone leaves before it is moved."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bits(keys.select("k"), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has(bits.value, batch.column("k").to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _span(end) -> Column:
     return F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR((F.col("lo") + end).cast("long")).alias("span")
 
@@ -202,15 +213,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ident = F.col("k").bitwiseXOR(F.shiftleft("first.doc_id", 13)).bitwiseXOR(F.col("first.twin")).bitwiseXOR(F.col("first.lo").cast("long"))
     open_ = send(_bits(sieve(first, "fp", several).select(ident.alias("k")), size))
     release(spark)
-    whole = _later(seen.drop("fp"), first.filter("c > 1").drop("fp")).select("doc_id", "twin", _span(F.col("n")))
-    whole = tables.write("whole", whole.coalesce(1 + seen.count() // FILE_ROWS))
-    tables.drop("seen", "first")
+    repeated = first.filter("c > 1").drop("fp")
+    again = tables.write("again", _among(seen.drop("fp"), repeated, size).coalesce(1 + seen.count() // FILE_ROWS))
+    tables.drop("seen")
+    whole = _later(again, repeated).select("doc_id", "twin", _span(F.col("n")))
+    whole = tables.write("whole", whole.coalesce(1 + again.count() // FILE_ROWS))
+    tables.drop("again", "first")
 
     cores = send(_bits(twice(texts.mapInArrow(_scan("cores", strings, open_), "k long, c long")), size))
     windows = tables.write("windows", texts.mapInArrow(_scan("windows", strings, open_, cores), "k long, k2 int, doc_id long, twin long, lo int"))
     least = tables.write("least", firsts(windows).filter("c > 1").coalesce(1 + windows.count() // FILE_ROWS))
-    release(spark)
-    single = _later(windows, least).select("doc_id", "twin", _span(F.lit(WINDOW)))
+    again = tables.write("close", _among(windows, least, size).coalesce(1 + windows.count() // FILE_ROWS))
+    tables.drop("windows")
+    single = _later(again, least).select("doc_id", "twin", _span(F.lit(WINDOW)))
     out = cut(whole.union(single).groupBy("doc_id", "twin").agg(F.collect_list("span").alias("spans")))
     tables.drop()
     return out
