@@ -15,7 +15,7 @@ def hot_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], weight: str,
     others are joined as usual, so no task gets a group. ``rows`` is counted and read twice: pass a written table.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bound = max(1024, rows.count() // (8 * tasks))
+    bound = max(1, rows.count() // (8 * tasks))
     hot = F.broadcast(side.filter(F.col(weight) > bound))
     rest = rows.join(hot.select(*keys), list(keys), "left_anti")
     return rows.join(hot, list(keys)).unionByName(rest.join(side.filter(F.col(weight) <= bound), list(keys), how))
