@@ -23,10 +23,10 @@ SAID = {
     "BU ÇOK ÖNEMLİ BİR DUYURUDUR, LÜTFEN DİKKAT EDİN!": "Bu çok önemli bir duyurudur, lütfen dikkat edin!",
     "İSTANBUL'da 5G ve 4K.": "İstanbul'da beş ge ve dört ka.",
     "%50 indirim, 20% kâr, sadece % oranı.": "yüzde elli indirim, yüzde yirmi kâr, sadece yüzde oranı.",
-    "Harika! 😊 #Türkiye @kadirnar": "Harika! Türkiye kadirnar",
+    "Harika! 😊 #Türkiye @ornek": "Harika! Türkiye ornek",
     "«Merhaba» dedi, Café'de José ile.": "\"Merhaba\" dedi, Cafe'de Jose ile.",
     "Ne dersin?! Harika!!! Bekle.....": "Ne dersin? Harika! Bekle...",
-    "Bilgi: info@vyvo.ai": "Bilgi: info et vyvo nokta ai",
+    "Bilgi: info@ornek.ai": "Bilgi: info et ornek nokta ai",
     "Kira 15.000 TL'dir, 10 USD'yi bozdurdum.": "Kira on beş bin liradır, on doları bozdurdum.",
     "1. Madde: Kira. 2. Madde: Depozito.": "birinci Madde: Kira. ikinci Madde: Depozito.",
     "Q3 geliri, A4 kağıt.": "kü üç geliri, a dört kağıt.",
