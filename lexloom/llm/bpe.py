@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from lexloom.session import prepare
 
 #: Stretches in a generation that a worker remembers, their greatest length, characters of a block, ids of a batch that is sent back.
-MEMO, SHORT, BLOCK, IDS = 1 << 18, 48, 1 << 20, 1 << 20
+MEMO, SHORT, BLOCK, IDS = 1 << 19, 48, 1 << 20, 1 << 20
 
 
 class Memo(dict):
@@ -55,6 +55,10 @@ class Memo(dict):
 BIT = [1 << k for k in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     """Ids of one pre-token: the pair of least rank merges first, the leftmost of equal ones."""
     get = ranks.get
@@ -98,17 +102,24 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
             p = before[i]
             if k < n:
                 before[k] = i
-                made = ((i, get(piece[i : after[k]], -1)), (p, get(piece[p:k], -1))) if p >= 0 else ((i, get(piece[i : after[k]], -1)),)
-            else:
-                made = ((p, get(piece[p:k], -1)),) if p >= 0 else ()
-            for q, new in made:
-                rank[q] = new
+                if (new := get(piece[i : after[k]], -1)) >= 0:
+                    rank[i] = new
+                    sooner = new < r
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        buckets[new] = [i]
+                        word = new >> 8
+                        lower[word] = lower.get(word, 0) | BIT[new & 255]
+                        upper |= 1 << word
+            if p >= 0:
+                rank[p] = new = get(piece[p:k], -1)
                 if new >= 0:
                     sooner = sooner or new < r
                     if new in buckets:
-                        buckets[new].append(q)
+                        buckets[new].append(p)
                     else:
-                        buckets[new] = [q]
+                        buckets[new] = [p]
                         word = new >> 8
                         lower[word] = lower.get(word, 0) | BIT[new & 255]
                         upper |= 1 << word
@@ -147,22 +158,26 @@ class Coder:
 
     def _get_ready(self) -> None:
         """Once a worker: the pattern, the bytes of each id and what is remembered."""
-        split, join = regex.compile(self.pattern).findall, chain.from_iterable
-        pieces = Memo(lambda piece: merge(self.ranks, piece.encode()))
-        self.stretch = Memo(lambda s: list(join(map(pieces.__getitem__, split(s)))))
+        split = regex.compile(self.pattern).findall
+        pieces = Memo(lambda piece: packed(merge(self.ranks, piece.encode())))
+        self.stretch = Memo(lambda s: b"".join(map(pieces.__getitem__, split(s))))
 
-        def of_word(s: str) -> list[int]:
+        def of_word(s: str) -> bytes:
             """Ids of a blank and what stands between it and the next one. Pieces that are a blank and a word are remembered by the word."""
             parts = split(" " + s)
             if len(parts) == 1:
-                return merge(self.ranks, b" " + s.encode())
-            return list(join(self.after_space[x[1:]] if x[0] == " " and len(x) > 1 else pieces[x] for x in parts))
+                return packed(merge(self.ranks, b" " + s.encode()))
+            return b"".join(self.after_space[x[1:]] if x[0] == " " and len(x) > 1 else pieces[x] for x in parts)
 
         self.after_space = Memo(of_word)
         self.cut = regex.compile(r"\s*\S+|\s+").findall if self.at_spaces else lambda s: [s]
         blanks = regex.findall(r"\s", "".join(map(chr, [*range(0x3100)])))
         self.double = [b + " " for b in blanks]
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for b, i in self.ranks.items():
+            self.lengths[i] = len(b)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes_of = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.ready = True
 
     def _blocks(self, text: str) -> Iterator[str]:
@@ -191,13 +206,15 @@ class Coder:
                     parts = map(self.after_space.__getitem__, rest) if rest else map(self.stretch.__getitem__, [head])
             else:
                 parts = map(self.stretch.__getitem__, self.cut(block))
-            out.append(np.fromiter(chain.from_iterable(parts), np.int32))
-        return out[0] if len(out) == 1 else np.concatenate(out)
+            out.append(b"".join(parts))
+        return np.frombuffer(out[0] if len(out) == 1 else b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         if not self.ready:
             self._get_ready()
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.bytes_of[np.repeat(self.places[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 def _lists(items: list, flat: pa.Array) -> pa.Array:
