@@ -68,11 +68,11 @@ def unit(a: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays: each distinct word becomes one private-use character."""
+    """Levenshtein distance of two word arrays: each distinct word of the pair becomes one character above the basic plane (a million of them)."""
 
     def of(book: Column) -> Column:
         def coded(x: Column) -> Column:
-            return F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(book, w).cast("int") + 0xE000), 4, "0")), "UTF-16BE")), "")
+            return F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(book, w).cast("int") + 0xFFFF), 8, "0")), "UTF-32")), "")
 
         return F.levenshtein(coded(a), coded(b))
 

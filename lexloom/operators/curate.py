@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.expr import finite, hash01, ngrams, words
+from lexloom.operators.quantiles import exact_quantiles
 from lexloom.session import cut
 
 
@@ -38,7 +39,7 @@ def capped(df: DataFrame, group: str, order: Sequence[Column | str], limit: int)
 
 def fences(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """Tukey fences by group, with exact linear percentiles."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, group, value, (0.25, 0.75))
     spread = (F.col("q")[1] - F.col("q")[0]) * k
     return q.select(group, (F.col("q")[0] - spread).alias("low"), (F.col("q")[1] + spread).alias("high"))
 

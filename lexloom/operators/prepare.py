@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.operators import graph
 from lexloom.operators.curate import first_reason
+from lexloom.operators.order import places
+from lexloom.operators.quantiles import exact_quantiles
 from lexloom.session import Tables, cut
 
 
@@ -26,24 +31,64 @@ def not_empty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+#: Parallel rounds before what is left is looked at in components, and rows of the largest component that one task takes in a pass.
+ROUNDS, PASS_ROWS = 2, 1 << 20
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted rows of components that come one after the other, each in order: what is seen is forgotten with its component."""
+    at, xs, ys = None, set(), set()
+    for frame in frames:
+        kept = []
+        for comp, o, x, y in zip(frame["comp"], frame["o"], frame["x"], frame["y"], strict=True):
+            if comp != at:
+                at, xs, ys = comp, set(), set()
+            if x in xs or y in ys:
+                continue
+            kept.append(o)
+            if x is not None:
+                xs.add(x)
+            if y is not None:
+                ys.add(y)
+        yield pd.DataFrame({"o": np.array(kept, np.int64)})
+
+
 def first_of_two(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """``df`` with ``duplicate``: whether an accepted earlier row has the same ``a`` or the same ``b``.
+    """``df`` with ``duplicate``: whether an accepted earlier row has the same ``a`` or the same ``b``. ``order`` is unique; a null key is like no other.
 
-    A row is accepted if it comes first among the undecided rows of both its keys; what shares a key with an accepted row is a
-    duplicate. Each round settles the first row of every key, and only what is open goes on. ``order`` is unique.
+    A row is accepted at once if it comes first among the open rows of both its keys, and what shares a key with it goes: a few such
+    rounds in parallel settle keys that many rows share. Rows that are still open hang together by keys only in small components
+    (connected components over edges from each row to the first row of its key), and each is gone through in order, many to a
+    task, so the number of rounds does not grow with chains. A component beyond ``PASS_ROWS`` gets further rounds first.
     """
-    rows = df.select(F.col(order).alias("o"), F.col(a).alias("x"), F.col(b).alias("y"))
-    left, accepted = cut(rows), None
+    rows = df.select(F.col(order).alias("at"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
+    whole = dict(df.dtypes)[order] in ("bigint", "int", "smallint", "tinyint")
+    left = cut(rows.withColumn("o", F.col("at").cast("long"))) if whole else cut(places(rows, "at", name="o"))
+    accepted, done = [], 0
     while True:
-        first_x = left.groupBy("x").agg(F.min("o").alias("fx"))
-        first_y = left.groupBy("y").agg(F.min("o").alias("fy"))
-        new = cut(left.join(first_x, "x").join(first_y, "y").filter("o = fx and o = fy").select("o", "x", "y"))
-        accepted = new if accepted is None else accepted.union(new)
-        left = cut(left.join(new.select("x"), "x", "left_anti").join(new.select("y"), "y", "left_anti").select("o", "x", "y"))
+        first_x = left.filter("x is not null").groupBy("x").agg(F.min("o").alias("fx"))
+        first_y = left.filter("y is not null").groupBy("y").agg(F.min("o").alias("fy"))
+        met = left.join(first_x, "x", "left").join(first_y, "y", "left")
+        if done >= ROUNDS:
+            met = cut(met)
+            edges = met.select(F.col("o").alias("u"), F.col("fx").alias("v")).union(met.select("o", "fy")).filter("u != v")
+            named = met.join(graph.components(edges), F.col("o") == F.col("node"), "left").select(F.coalesce("comp", "o").alias("comp"), "at", "o", "x", "y")
+            named = cut(named)
+            largest = named.groupBy("comp").count().agg(F.max("count")).first()[0] or 0
+            if largest <= PASS_ROWS:
+                kept = named.repartition("comp").sortWithinPartitions("comp", "o").select("comp", "o", "x", "y").mapInPandas(_in_order, "o long")
+                accepted.append(cut(named.join(kept, "o", "left_semi").select("at")))
+                break
+        new = cut(met.filter("(x is null or o = fx) and (y is null or o = fy)").select("at", "o", "x", "y"))
+        accepted.append(new.select("at"))
+        rest = left.join(new.select("o"), "o", "left_anti").join(new.select("x"), "x", "left_anti").join(new.select("y"), "y", "left_anti")
+        left, done = cut(rest.select("at", "o", "x", "y")), done + 1
         if left.isEmpty():
             break
-    kept = accepted.select(F.col("o").alias(order), F.lit(False).alias("_first"))
-    return df.join(kept, order, "left").withColumn("duplicate", F.col("_first").isNull()).drop("_first")
+    kept = accepted[0]
+    for part in accepted[1:]:
+        kept = kept.union(part)
+    return df.join(kept.select(F.col("at").alias(order), F.lit(False).alias("_first")), order, "left").withColumn("duplicate", F.col("_first").isNull()).drop("_first")
 
 
 def measured_rules(error: Column, seconds: Column, level: Column, bandwidth: Column, speech: Column, shortest: float, longest: float, silent: float = 1e-5, least_bandwidth: float = 0.0, least_speech: float = 0.0) -> list[tuple[str, Column]]:
@@ -170,10 +215,10 @@ def build_manifest(candidates: DataFrame, metadata: Sequence[tuple[str, Column]]
     rows = candidates if keep is None else candidates.filter(keep)
     rows = rows.withColumn("reason", first_reason(*metadata, *measured))
     rows = cut(rows)
-    q = rows.filter("reason is null").agg(F.percentile(rate, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(rows.filter("reason is null"), (), rate, (0.25, 0.75)).select(F.col("q").alias("_q"))
     wide = (F.col("_q")[1] - F.col("_q")[0]) * k
     out = (F.col(rate) < F.col("_q")[0] - wide) | (F.col(rate) > F.col("_q")[1] + wide)
-    rows = rows.join(F.broadcast(q)).withColumn("reason", F.coalesce("reason", F.when(out, "rate_outlier"))).drop("_q")
+    rows = rows.join(F.broadcast(q), how="left").withColumn("reason", F.coalesce("reason", F.when(out, "rate_outlier"))).drop("_q")
     if cap:
         group, most = cap
         best = rows.filter("reason is null").select("id", F.row_number().over(Window.partitionBy(group).orderBy("id")).alias("_k")).filter(F.col("_k") > most).select("id", F.lit("group_cap").alias("_cap"))

@@ -1,41 +1,65 @@
-"""Exact quantiles of groups of any size, by ranks: no buffer holds a group's values."""
+"""Exact quantiles of groups of any size by radix selection: no buffer and no window holds a group's values.
+
+A double's bits, with those of negative numbers turned round, are a whole number of the same order. Equal values meet first, as counts.
+Three passes look at ever longer prefixes of that number: a histogram of prefixes (partial sums before the shuffle) tells in which
+bucket each wanted rank lies, and only rows of wanted buckets go on to the next pass.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.session import cut
 
-BUCKETS = 256
+#: Low bits that a pass leaves open. The first histogram has at most 2**20 buckets a group, the others at most 2**22 for each wanted bucket.
+SHIFTS = (44, 22, 0)
+#: Up to so many distinct values in all groups together, the last pass alone is as good.
+FEW = 1 << 20
+
+
+def ordered_bits(c: Column) -> Column:
+    """A long that orders as the double does."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c.cast("double")).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
 
-def exact_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
-    """``by``, q (array of the linear quantiles at ``shares``), mean, n of finite values; NULL values do not count.
+def exact_quantiles(df: DataFrame, by: str | Sequence[str], value: str | Column, shares: Sequence[float]) -> DataFrame:
+    """``by`` (one or more columns, or none), q (array of the linear quantiles at ``shares``), mean and n of the values; NULL and NaN do not count.
 
-    Equal values meet first, as counts. Approximate quantiles (``BUCKETS`` numbers a group) cut a group's values into buckets of
-    about equal size, the buckets' totals give each its first rank, and only buckets that hold a wanted rank are sorted.
+    Null groups are groups; groups without values have no row.
     """
-    x = df.select(F.col(by), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    counts = cut(x.groupBy(by, "v").agg(F.count("*").alias("c")))
-    cuts = x.groupBy(by).agg(F.percentile_approx("v", F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS))), F.lit(1000)).alias("cuts"), F.count("*").alias("n"), F.avg("v").alias("mean"))
-    cuts = cut(cuts)
-    held = counts.join(cuts.select(by, "cuts"), by).withColumn("b", F.size(F.filter("cuts", lambda e: e < F.col("v")))).select(by, "v", "c", "b")
-    totals = held.groupBy(by, "b").agg(F.sum("c").alias("t"))
-    first = F.coalesce(F.sum("t").over(Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("first", first)  # at most BUCKETS rows a group
-    at = [F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * s).alias("at")) for i, s in enumerate(shares)]
-    wanted = cuts.select(by, F.explode(F.array(*at)).alias("w")).select(by, "w.i", "w.at")
-    wanted = wanted.select(by, "i", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
-    asked = wanted.join(totals, by).filter("rank >= first and rank < first + t")
-    need = asked.select(by, "b", "first").distinct()
-    inner = F.sum("c").over(Window.partitionBy(by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = held.join(need, [by, "b"]).withColumn("lo", F.col("first") + F.coalesce(inner, F.lit(0))).select(by, "b", "v", "lo", (F.col("lo") + F.col("c")).alias("hi"))
-    found = asked.select(by, "b", "i", "at", "rank").join(ranked, [by, "b"]).filter("rank >= lo and rank < hi")
-    below, above = (F.max(F.when(F.col("rank") == f("at"), F.col("v"))) for f in (F.floor, F.ceil))
-    each = found.groupBy(by, "i", "at").agg(below.alias("a"), above.alias("z")).withColumn("q", F.col("a") + (F.col("z") - F.col("a")) * (F.col("at") - F.floor("at")))
-    q = each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))  # one entry a share
-    return q.join(cuts.select(by, "mean", "n"), by)
+    by = [by] if isinstance(by, str) else list(by)
+    value = F.col(value) if isinstance(value, str) else value
+    group = F.struct(*by) if by else F.struct(F.lit(1).alias("_all"))
+    x = df.select(group.alias("g"), value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    counts = x.groupBy("g", "v").agg(F.count("*").alias("c"))
+    counts = cut(counts.withColumn("k", ordered_bits(F.col("v"))).select("g", "v", "c", *(F.shiftright("k", s).alias(f"p{i}") for i, s in enumerate(SHIFTS))))
+    passes = range(len(SHIFTS))[-1 if counts.count() <= FEW else 0 :]
+    totals = counts.groupBy("g").agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(s))).alias("at")) for i, s in enumerate(shares))))
+    asked = totals.select("g", at.alias("w")).select("g", "w.i", (F.col("w.at") - F.floor("w.at")).alias("part"), F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
+    rows, found = counts, ["g"]
+    for i in passes:
+        p = f"p{i}"
+        held = rows.groupBy(*found, p).agg(F.sum("c").alias("t"), F.max("v").alias("v"))
+        first = F.coalesce(F.sum("t").over(Window.partitionBy(*found).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = asked.join(held.withColumn("first", first), found).filter("rank >= first and rank < first + t")
+        asked = met.select(*found, p, "i", "part", (F.col("rank") - F.col("first")).alias("rank"), "v")
+        found.append(p)
+        if i + 1 < len(SHIFTS):
+            rows = rows.join(asked.select(*found).distinct(), found)
+            asked = asked.drop("v")
+    each = asked.groupBy("g", "i").agg((F.min("v") + (F.max("v") - F.min("v")) * F.max("part")).alias("q"))
+    q = each.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))  # one entry a share
+    return q.join(totals, "g").select(*(F.col(f"g.{c}").alias(c) for c in by), "q", "mean", "n")
+
+
+def with_quantiles(summary: DataFrame, df: DataFrame, by: str, value: str | Column, named: Mapping[str, float]) -> DataFrame:
+    """``summary`` (one row for each ``by``) with exact quantiles of ``value`` as further columns, null where a group has no value."""
+    q = exact_quantiles(df, by, value, list(named.values()))
+    q = q.select(F.col(by).alias("_by"), *(F.col("q")[i].alias(name) for i, name in enumerate(named)))
+    return summary.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")

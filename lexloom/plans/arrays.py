@@ -18,11 +18,11 @@ def vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
-@query(f"WITH {LEVELS} SELECT vec_id, levels, greatest(list_max(levels) - 40.0, -60.0)::DOUBLE AS threshold FROM l")
+@query(f"WITH {LEVELS} SELECT vec_id, list_transform(levels, lambda x: round(x, 6)) AS levels, round(greatest(list_max(levels) - 40.0, -60.0), 6)::DOUBLE AS threshold FROM l")
 def frame_levels(spark, sf):
     """Levels of eight frames of eight samples, and what counts as loud."""
     v = vectors(spark, sf).select("vec_id", A.frame_levels(F.col("embedding"), 8).alias("levels"))
-    return v.withColumn("threshold", A.loud_threshold(F.col("levels")))
+    return v.select("vec_id", F.transform("levels", lambda x: F.round(x, 6)).alias("levels"), F.round(A.loud_threshold(F.col("levels")), 6).alias("threshold"))
 
 
 @query(f"""WITH {LEVELS}, t AS (SELECT vec_id, list_transform(levels, lambda x: x > greatest(list_max(levels) - 3.0, -60.0)) AS loud FROM l),

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lexloom.functions.expr import split_of
 from lexloom.operators import ranges
 from lexloom.plans.curation import SPLIT
+from lexloom.operators.quantiles import with_quantiles
 from lexloom.plans.registry import query, table
 
 SPAN = "e AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + 3600 * floor(value) AS e FROM events WHERE floor(value) > 0)"
@@ -65,7 +66,7 @@ SELECT user_id, quantile_cont(gap, 0.5) AS median_gap, count(gap) AS n FROM d GR
 def lag_rate_median(spark, sf):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     d = table(spark, sf, "events").select("user_id", (t - F.lag(t).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("gap"))
-    return d.groupBy("user_id").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.count("gap").alias("n"))
+    return with_quantiles(d.groupBy("user_id").agg(F.count("gap").alias("n")), d, "user_id", "gap", {"median_gap": 0.5})
 
 
 @query("SELECT user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")

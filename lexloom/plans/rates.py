@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.operators.quantiles import exact_quantiles
+from lexloom.operators.quantiles import exact_quantiles, with_quantiles
 from lexloom.plans.registry import query, table
 
 
@@ -42,7 +42,8 @@ def threshold_grid(spark, sf):
 
 @query("SELECT source, sum(n_chars)::BIGINT AS chars, quantile_cont(n_chars::DOUBLE, 0.5) AS median FROM documents GROUP BY 1 ORDER BY chars DESC, source LIMIT 30")
 def program_medians(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"), F.percentile("n_chars", F.lit(0.5)).alias("median")).orderBy(F.desc("chars"), "source").limit(30)
+    d = table(spark, sf, "documents")
+    return with_quantiles(d.groupBy("source").agg(F.sum("n_chars").alias("chars")), d, "source", "n_chars", {"median": 0.5}).orderBy(F.desc("chars"), "source").limit(30)
 
 
 MOMENTS = "x AS (SELECT generate_subscripts(embedding, 1) - 1 AS channel, unnest(embedding)::DOUBLE AS v FROM embeddings)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.expr import ascii_metric_text, word_distance, words
+from lexloom.operators.quantiles import exact_quantiles, with_quantiles
 from lexloom.plans.curation import KEY
 from lexloom.plans.registry import query, table
 
@@ -83,14 +84,16 @@ SELECT count(*) AS speakers, count(*) FILTER (WHERE clips >= 2) AS with_two, qua
 def speaker_counts(spark, sf):
     """Speakers, those with two clips and more, quantiles of clips by speaker."""
     s = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("clips"))
-    return s.agg(F.count("*").alias("speakers"), F.count(F.when(F.col("clips") >= 2, 1)).alias("with_two"), F.percentile("clips", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("clips"))
+    q = exact_quantiles(s, (), "clips", (0.1, 0.5, 0.9)).select(F.col("q").alias("clips"))
+    return s.agg(F.count("*").alias("speakers"), F.count(F.when(F.col("clips") >= 2, 1)).alias("with_two")).join(F.broadcast(q), how="left")  # one row each
 
 
 @query("""WITH m AS (SELECT user_id, count(*) / 3600.0 AS hours, median(value) AS median FROM events GROUP BY 1)
 SELECT sum(hours)::DOUBLE AS hours, coalesce(sum(hours) FILTER (WHERE median > 50), 0)::DOUBLE AS bad_hours, count(*) FILTER (WHERE median > 50) AS bad_programs FROM m""")
 def bad_median_hours(spark, sf):
     """Hours of programs whose median is beyond a limit."""
-    m = table(spark, sf, "events").groupBy("user_id").agg((F.count("*") / 3600.0).alias("hours"), F.percentile("value", F.lit(0.5)).alias("median"))
+    e = table(spark, sf, "events")
+    m = with_quantiles(e.groupBy("user_id").agg((F.count("*") / 3600.0).alias("hours")), e, "user_id", "value", {"median": 0.5})
     bad = F.when(F.col("median") > 50, F.col("hours"))
     return m.agg(F.sum("hours").cast("double").alias("hours"), F.coalesce(F.sum(bad), F.lit(0.0)).cast("double").alias("bad_hours"), F.count(bad).alias("bad_programs"))
 
@@ -110,7 +113,8 @@ def log_error_report(spark, sf):
     band = F.when(F.col("l_quantity") < 15, "slow").when(F.col("l_quantity") <= 35, "normal").otherwise("fast")
     e = table(spark, sf, "lineitem").select(band.alias("band"), F.ln(F.col("l_extendedprice") / (F.col("l_quantity") * 1500)).alias("err"))
     off = F.abs(F.exp("err") - 1)
-    return e.groupBy("band").agg(F.count("*").alias("n"), F.avg(F.abs("err")).alias("mae"), F.avg("err").alias("bias"), F.percentile(off, F.lit(0.5)).alias("median_relative"), share(off <= 0.1).alias("within_10"), share(off <= 0.2).alias("within_20"))
+    means = e.groupBy("band").agg(F.count("*").alias("n"), F.avg(F.abs("err")).alias("mae"), F.avg("err").alias("bias"), share(off <= 0.1).alias("within_10"), share(off <= 0.2).alias("within_20"))
+    return with_quantiles(means, e, "band", off, {"median_relative": 0.5})
 
 
 @query("""WITH t AS (SELECT least(floor(l_discount * 50), 4)::INT AS i, 'time' AS kind, l_tax AS v FROM lineitem UNION ALL
@@ -146,7 +150,8 @@ SELECT event_type, avg((value > 90)::INT)::DOUBLE AS clipping_share, median(valu
 def evaluation_summary(spark, sf):
     """Share of clipping files, median level, how often a selection changed, counts of each factor."""
     e = table(spark, sf, "events")
-    one = e.groupBy("event_type").agg(share(F.col("value") > 90).alias("clipping_share"), F.percentile("value", F.lit(0.5)).alias("median_level"), F.count(F.when(F.col("event_id") % 7 == 0, 1)).alias("selection_changed"))
+    one = e.groupBy("event_type").agg(share(F.col("value") > 90).alias("clipping_share"), F.count(F.when(F.col("event_id") % 7 == 0, 1)).alias("selection_changed"))
+    one = with_quantiles(one, e, "event_type", "value", {"median_level": 0.5})
     f = e.groupBy("event_type", (F.col("user_id") % 3).alias("f")).agg(F.count("*").alias("n")).groupBy("event_type").agg(F.sort_array(F.collect_list(F.concat_ws(":", "f", "n"))).alias("factors"))  # three factors
     return one.join(f, "event_type")
 
@@ -175,7 +180,7 @@ def arm_table(spark, sf):
     """Last validation value, median seconds an update, mean frames of each arm."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     s = table(spark, sf, "events").withColumn("t", at).withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("event_type").orderBy("ts", "event_id")))
-    return s.groupBy("event_type").agg(F.max_by("value", "ts").alias("last_value"), F.percentile("gap", F.lit(0.5)).alias("seconds_per_update"), F.avg("value").alias("mean_frames"))
+    return with_quantiles(s.groupBy("event_type").agg(F.max_by("value", "ts").alias("last_value"), F.avg("value").alias("mean_frames")), s, "event_type", "gap", {"seconds_per_update": 0.5})
 
 
 @query("""WITH p AS (SELECT source, min(doc_id) AS prompt FROM documents GROUP BY 1), x AS (SELECT doc_id FROM labels WHERE toxic = 1),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexloom.functions import turkish
+from lexloom.functions.alignment import word_edits
 from lexloom.functions.expr import ascii_metric_text, ngrams, pause_seconds, text_units, tr_lower, tr_upper, word_distance, words
 from lexloom.plans.curation import KEY, NGRAMS
 from lexloom.plans.registry import query, table
@@ -46,7 +48,6 @@ NEXT = "n AS (SELECT conv_id, turn, text AS r, lead(text) OVER (PARTITION BY con
 
 
 def _next(spark, sf):
-    from pyspark.sql.window import Window
 
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.col("text").alias("r"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("h")).filter("h is not null")
@@ -67,6 +68,17 @@ def cer_wer(spark, sf):
     return x.groupBy("conv_id").agg((F.sum("we") / F.sum("w")).alias("wer"), (F.sum("ce") / F.sum("c")).alias("cer"), F.count("*").alias("n"))
 
 
+@query()
+def word_edit_kinds(spark, sf):
+    """Substituted, deleted and inserted words from each turn to the next, by role, with the corpus rate."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations").select("role", "text", F.lead("text").over(w).alias("h")).filter("h is not null")
+    c = c.select("role", words(ascii_metric_text(F.col("text"))).alias("r"), words(ascii_metric_text(F.col("h"))).alias("h"))
+    e = c.select("role", F.size("r").alias("words"), word_edits(F.col("r"), F.col("h")).alias("e"))
+    sums = e.groupBy("role").agg(F.sum("words").alias("words"), *(F.sum(f"e.{k}").alias(k) for k in ("substitutions", "deletions", "insertions")))
+    return sums.withColumn("wer", (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("words"))
+
+
 @query()
 def number_words(spark, sf):
     spoken = turkish.columns()["number_words_v2"](F.concat_ws(" ", F.col("doc_id").cast("string"), "text"))

@@ -214,8 +214,10 @@ def resume(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small report as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small report as a Markdown table; one of more than ``limit`` rows is an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows is not one to read: write it as a table")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows])
 

@@ -26,7 +26,7 @@ SF = "/root/testdata/sf0.001"
 def first_of_two(rows):
     x, y, out = set(), set(), {}
     for o, a, b in sorted(rows):
-        out[o] = a in x or b in y
+        out[o] = (a is not None and a in x) or (b is not None and b in y)
         if not out[o]:
             x.add(a)
             y.add(b)
@@ -41,6 +41,25 @@ def test_first_of_two_keys(spark, seed):
     assert {x["o"]: x["duplicate"] for x in got} == first_of_two(rows)
 
 
+@pytest.mark.parametrize("bound", [1, 1 << 20])
+def test_first_of_two_keys_with_nulls_chains_and_hot_keys(spark, monkeypatch, bound):
+    """Null keys are like no other; a chain is settled in order inside its component, or in rounds where that is too large."""
+    monkeypatch.setattr(P, "PASS_ROWS", bound)
+    r = random.Random(8)
+    rows = [(i, r.choice([None, r.randrange(40)]), r.choice([None, r.randrange(40)])) for i in range(120)]
+    rows += [(1000 + i, 1000 + i // 2, 1000 + (i + 1) // 2) for i in range(12 if bound == 1 else 1500)]  # each shares a key with the one before
+    rows += [(5000 + i, 77777, 5000 + i) for i in range(100)]
+    df = spark.createDataFrame(rows, "o long, a long, b long")
+    assert {x["o"]: x["duplicate"] for x in P.first_of_two(df, "a", "b", "o").collect()} == first_of_two(rows)
+    assert P.first_of_two(df.limit(0), "a", "b", "o").count() == 0
+
+
+def test_first_of_two_keys_by_an_order_that_is_no_number(spark):
+    rows = [(f"{i:03}", r, s) for i, (r, s) in enumerate([(1, 1), (1, 2), (2, 2), (3, 1), (4, None), (None, None)])]
+    got = P.first_of_two(spark.createDataFrame(rows, "o string, a long, b long"), "a", "b", "o").collect()
+    assert {x["o"]: x["duplicate"] for x in got} == first_of_two(rows)
+
+
 def test_two_key_query(spark):
     docs = [(r["doc_id"], r["doc_id"] // 2, r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert {x["doc_id"]: x["duplicate"] for x in catalogue.queries()["two_key_dedup"](spark, SF).collect()} == first_of_two(docs)

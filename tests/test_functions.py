@@ -1,7 +1,13 @@
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import chunks, expr, numbers, turkish
-from lexloom.operators import curate, intervals, ranges
+from lexloom.functions.alignment import edit_kinds, word_edits
+from lexloom.operators import curate, intervals, quantiles, ranges
+from lexloom.operators.order import places
 
 
 def one(spark, column, **values):
@@ -68,3 +74,59 @@ def test_partition_invariance(spark):
     df = spark.range(2000)
     few = curate.hash_sample(df.repartition(1), "id", 0.3).orderBy("id").collect()
     assert few == curate.hash_sample(df.repartition(16), "id", 0.3).orderBy("id").collect()
+
+
+def table_edits(a, b):
+    """The whole table; where paths tie a match or substitution comes first, then a deletion."""
+    t = {(0, j): (j, 0, 0, j) for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        t[i, 0] = (i, 0, i, 0)
+        for j in range(1, len(b) + 1):
+            d, u, w = t[i - 1, j - 1], t[i - 1, j], t[i, j - 1]
+            wrong = a[i - 1] != b[j - 1]
+            options = [(d[0] + wrong, d[1] + wrong, d[2], d[3]), (u[0] + 1, u[1], u[2] + 1, u[3]), (w[0] + 1, w[1], w[2], w[3] + 1)]
+            t[i, j] = min(options, key=lambda x: x[0])
+    return t[len(a), len(b)][1:]
+
+
+def test_word_edit_kinds(spark):
+    r = random.Random(6)
+    pairs = [([r.choice("abcd") for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(300)]
+    pairs += [([], []), (None, ["a"]), (["a"], None)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a array<string>, b array<string>")
+    got = {x["i"]: tuple(x["e"]) for x in df.select("i", word_edits(F.col("a"), F.col("b")).alias("e")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == ((None, None, None) if a is None or b is None else table_edits(a, b))
+
+
+def test_distances_of_many_distinct_words(spark):
+    """20,000 distinct words, 16 of them out of place."""
+    a = [f"w{i}" for i in range(20_000)]
+    b = [f"x{w}" if i % 1250 == 7 else w for i, w in enumerate(a)]
+    assert edit_kinds(np.arange(20_000), np.where(np.arange(20_000) % 1250 == 7, -1, np.arange(20_000))) == (16, 0, 0)
+    df = spark.createDataFrame([(a[:9000], b[:9000])], "a array<string>, b array<string>")
+    assert df.select(expr.word_distance(F.col("a"), F.col("b"))).first()[0] == 8
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_exact_quantiles(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    r = random.Random(9)
+    rows = [(g, v) for g in (None, "a", "b") for v in [r.choice([r.gauss(0, 1), r.gauss(0, 1e-300), r.gauss(0, 1e200), 0.0, -0.0, 2.5]) for _ in range(200)]]
+    rows += [("one", 4.0), ("none", None), ("a", float("nan"))]
+    got = {x["g"]: x["q"] for x in quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (0.0, 0.05, 0.5, 0.9, 1.0)).collect()}
+    assert set(got) == {None, "a", "b", "one"}
+    for g, q in got.items():
+        values = [v for h, v in rows if h == g and v is not None and v == v]
+        assert np.allclose(q, np.quantile(values, (0.0, 0.05, 0.5, 0.9, 1.0)), rtol=1e-12)
+    everything = quantiles.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), (), "v", (0.5,)).first()
+    assert np.isclose(everything["q"][0], np.nanmedian([v for _, v in rows if v is not None]))
+
+
+def test_places(spark):
+    r = random.Random(2)
+    values = [r.randint(0, 10**6) for _ in range(3000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long").repartition(7)
+    got = {x["i"]: x["place"] for x in places(df, "v", "i").collect()}
+    assert got == {i: p for p, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    assert places(df.limit(0), "v").count() == 0
