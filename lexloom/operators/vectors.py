@@ -1,7 +1,9 @@
-"""Embedding analytics: centroids, blocked similarity, nearest labels, outliers, components, average linkage."""
+"""Embedding analytics: centroids, similarity joins by pivots, nearest labels, outliers, components, average linkage."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.expr import dot, unit
 from lexloom.operators import graph
+from lexloom.session import cut
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -18,54 +21,155 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return mean.select(label, unit(F.col("v")).alias("centroid"))
 
 
-BLOCK_ROWS = 4000
+#: Vectors of a block at most, vectors for each pivot, pivots at most. Pivots change what is compared, never the result.
+BLOCK_ROWS, FOR_PIVOT, PIVOTS = 4000, 256, 256
+#: Slack of angles, above the rounding of arccos near 0.
+SLACK = 1e-6
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles of rows with pivots."""
+    length = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(pivots, axis=1)[None]
+    return np.arccos(np.clip(np.divide(x @ pivots.T, length, out=np.zeros((len(x), len(pivots))), where=length > 0), -1, 1))
+
+
+class _Groups:
+    """Vectors by their nearest pivot: the pivots (a bounded sample by hash), and for each group its radius as an angle, least and greatest
+    length, and number of blocks. At most ``PIVOTS`` rows, whatever the input."""
+
+    def __init__(self, df: DataFrame):
+        kind = dict(df.dtypes)["id"]
+        n = df.count()
+        k = min(PIVOTS, max(1, -(-n // FOR_PIVOT)))
+        self.pivots = np.array([r["v"] for r in df.orderBy(F.xxhash64("id"), "id").limit(k).collect()], float)
+        pivots = self.pivots
+
+        def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    x = _stack(f["v"])
+                    a = _angles(x, pivots)
+                    yield pd.DataFrame({"id": f["id"], "v": f["v"], "h": a.argmin(1), "near": a.min(1), "norm": np.linalg.norm(x, axis=1)})
+
+        homes = cut(df.select("id", "v").mapInPandas(home, f"id {kind}, v array<double>, h int, near double, norm double")) if n else None
+        found = homes.groupBy("h").agg(F.max("near").alias("r"), F.min("norm").alias("lo"), F.max("norm").alias("hi"), F.count("*").alias("n")).collect() if n else []
+        self.radius, self.lo, self.hi, self.blocks = np.full(k, -np.inf), np.zeros(k), np.zeros(k), np.zeros(k, int)
+        for r in found:
+            self.radius[r["h"]], self.lo[r["h"]], self.hi[r["h"]], self.blocks[r["h"]] = r["r"], r["lo"], r["hi"], -(-r["n"] // BLOCK_ROWS)
+        self.homes = homes
+        if n:
+            many = F.element_at(F.array(*map(F.lit, self.blocks.tolist())), F.col("h") + 1)
+            self.homes = homes.withColumn("b", F.when(many > 1, F.pmod(F.xxhash64("id"), many)).otherwise(0).cast("int")).select("id", "v", "h", "b")
+
+
+def _visits(rows: DataFrame, groups: _Groups, near, own: bool) -> DataFrame:
+    """id, v, g, b (the row's own group and block), h, c (a block that it has to meet): ``near(v)`` says which groups may hold partners.
+    ``own``: rows meet later groups, and of their own the blocks up to theirs, so that two rows meet once."""
+    kind, blocks = dict(rows.dtypes)["id"], groups.blocks
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                meets = near(_stack(f["v"])) & (blocks > 0)[None]
+                if own:
+                    meets &= np.arange(len(blocks))[None] >= f["h"].to_numpy()[:, None]
+                i, h = np.nonzero(meets)
+                many = np.where(own & (f["h"].to_numpy()[i] == h), f["b"].to_numpy()[i] + 1, blocks[h])
+                at = np.repeat(np.arange(len(i)), many)
+                c = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                part = f.iloc[i[at]]
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "g": part["h"], "b": part["b"], "h": h[at], "c": c})
+
+    return rows.mapInPandas(deal, f"id {kind}, v array<double>, g int, b int, h int, c int")
+
+
+def _meetings(visits: DataFrame, homes: DataFrame) -> DataFrame:
+    """Visitors and the blocks that they visit, side by side; a block goes only where it is visited."""
+    met = visits.select("h", "c", "g", "b").distinct()
+    at_home = homes.select("id", "v", "h", F.col("b").alias("c")).join(met, ["h", "c"])
+    return visits.withColumn("home", F.lit(False)).unionByName(at_home.withColumn("home", F.lit(True)))
+
+
+def _pairs_by_angle(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The visits of a join of ``rows`` (id, v) with itself, and what meets."""
+    groups = _Groups(rows)
+    reach = np.arccos(np.clip(threshold, -1, 1)) + groups.radius + SLACK
+    pivots = groups.pivots
+    visits = cut(_visits(groups.homes, groups, lambda x: _angles(x, pivots) <= reach[None], True))
+    return visits, _meetings(visits, groups.homes)
+
+
+def meetings(df: DataFrame, uid: str, vector: str, threshold: float) -> int:
+    """How many pairs of blocks ``similar_pairs`` compares."""
+    visits, _ = _pairs_by_angle(df.select(F.col(uid).alias("id"), unit(F.col(vector)).alias("v")), threshold)
+    return visits.select("h", "c", "g", "b").distinct().count()
 
 
 def similar_pairs(df: DataFrame, uid: str, vector: str, threshold: float) -> DataFrame:
-    """All pairs with cosine >= threshold, by blocks: every block meets every other once inside numpy, no row a pair is made below it.
+    """a, b, cosine of all pairs with cosine >= threshold; equal vectors are one class, paired by its least id, with a row for each other member.
 
-    A block has about ``BLOCK_ROWS`` vectors at every size, so a task's matrix stays the same and the number of tasks grows.
+    Vectors belong to their nearest pivot. By the triangle inequality on angles a vector can have partners only in groups whose pivot is no
+    further away than the threshold's angle and the group's radius together, so it is sent there and nowhere else, and
+    meets blocks of at most ``BLOCK_ROWS`` vectors inside numpy. The pruning is exact; it saves most where vectors have clusters and the threshold
+    is high, and in spread-out vectors of many dimensions little.
     """
-    blocks = max(1, -(-df.count() // BLOCK_ROWS))
-    tagged = df.select(F.col(uid).alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(uid), F.lit(blocks)).cast("int").alias("b"))
-    other = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("b", k).alias("r"), F.greatest("b", k).alias("c")))
-    dealt = tagged.select("id", "v", "b", F.explode(other).alias("p")).select("id", "v", "b", "p.r", "p.c")
+    rows = cut(df.select(F.col(uid).alias("id"), unit(F.col(vector)).alias("v")))
+    classes = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "n"))
+    kind = dict(rows.dtypes)["id"]
+    copies = rows.join(classes.filter("n > 1").select(F.col("id").alias("a"), "v"), "v").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    if threshold > 1 or classes.isEmpty():
+        return copies.filter(F.lit(threshold <= 1))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].iloc[0], pdf["c"].iloc[0]
-        left, right = pdf[pdf["b"] == r], pdf[pdf["b"] == c]
-        a, b = np.stack(left["v"].to_numpy()) if len(left) else np.zeros((0, 1)), np.stack(right["v"].to_numpy()) if len(right) else np.zeros((0, 1))
-        if not len(a) or not len(b):
+        left, right = pdf[~pdf["home"]], pdf[pdf["home"]]
+        if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        s = a @ b.T
+        s = _stack(left["v"]) @ _stack(right["v"]).T
         i, j = np.nonzero(s >= threshold)
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = x < y if r == c else np.ones(len(x), bool)
+        same = (pdf["h"].iloc[0], pdf["c"].iloc[0]) == (pdf["g"].iloc[0], pdf["b"].iloc[0])
+        keep = x < y if same else np.ones(len(x), bool)
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": s[i, j][keep]})
 
-    return dealt.groupBy("r", "c").applyInPandas(meet, "a long, b long, cosine double")
+    _, met = _pairs_by_angle(classes.select("id", "v"), threshold)
+    return met.groupBy("h", "c", "g", "b").applyInPandas(meet, f"a {kind}, b {kind}, cosine double").unionByName(copies)
 
 
 def nearest(left: DataFrame, right: DataFrame, label: str, vector: str) -> DataFrame:
-    """label, nearest, cosine: the greatest dot product with a row of ``right``, the least label on ties; blocks meet in numpy, one row each is returned."""
-    blocks = [max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right)]
-    dealt = None
-    for side, mine, other, name in ((left, *blocks, "r"), (right, *blocks[::-1], "c")):
-        at = F.pmod(F.xxhash64(label), F.lit(mine)).cast("int").alias("mine")
-        part = side.select(F.col(label).alias("id"), F.col(vector).alias("v"), at, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("theirs"), F.lit(name).alias("side"))
-        part = part.select("id", "v", "side", F.col("mine" if name == "r" else "theirs").alias("r"), F.col("theirs" if name == "r" else "mine").alias("c"))
-        dealt = part if dealt is None else dealt.unionByName(part)
+    """label, nearest, cosine: the greatest dot product with a row of ``right``, the least label on ties.
+
+    The best dot product with a pivot, which is a row of ``right``, is what others have to reach; a group is met only where its angle,
+    radius and lengths allow that.
+    """
+    kind = dict(left.dtypes)[label]
+    a, b = (cut(side.select(F.col(label).alias("id"), F.col(vector).cast("array<double>").alias("v"))) for side in (left, right))
+    groups = _Groups(b)
+    if groups.homes is None or a.isEmpty():
+        return a.select(F.col("id").alias(label), F.col("id").alias("nearest"), F.lit(0.0).alias("cosine")).limit(0)
+    pivots, radius, lo, hi = groups.pivots, groups.radius, groups.lo, groups.hi
+
+    def near(x: np.ndarray) -> np.ndarray:
+        most = np.cos(np.maximum(_angles(x, pivots) - radius[None] - SLACK, 0))
+        bound = np.linalg.norm(x, axis=1)[:, None] * np.where(most >= 0, hi[None] * most, lo[None] * most)
+        best = (x @ pivots.T).max(1)
+        return bound + SLACK * np.maximum(1, np.abs(best))[:, None] >= best[:, None]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == "r"], pdf[pdf["side"] == "c"].sort_values("id")
-        if not len(a) or not len(b):
+        x, y = pdf[~pdf["home"]], pdf[pdf["home"]].sort_values("id")
+        if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "nearest": [], "cosine": []})
-        s = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        s = _stack(x["v"]) @ _stack(y["v"]).T
         at = s.argmax(1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "nearest": b["id"].to_numpy()[at], "cosine": s[np.arange(len(a)), at]})
+        return pd.DataFrame({"id": x["id"].to_numpy(), "nearest": y["id"].to_numpy()[at], "cosine": s[np.arange(len(x)), at]})
 
-    kind = dict(left.dtypes)[label]
-    best = dealt.groupBy("r", "c").applyInPandas(meet, f"id {kind}, nearest {kind}, cosine double")
+    parts = max(1, -(-a.count() // BLOCK_ROWS))
+    asked = a.select("id", "v", F.lit(0).alias("h"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("b"))
+    visits = cut(_visits(asked, groups, near, False))
+    best = _meetings(visits, groups.homes).groupBy("h", "c", "g", "b").applyInPandas(meet, f"id {kind}, nearest {kind}, cosine double")
     return best.groupBy(F.col("id").alias(label)).agg(F.max_by("nearest", F.struct("cosine", -F.col("nearest"))).alias("nearest"), F.max("cosine").alias("cosine"))
 
 

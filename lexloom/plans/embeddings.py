@@ -15,7 +15,9 @@ from lexloom.session import cut
 UNIT = """u AS (SELECT vec_id, label, [x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) for x in embedding] AS v FROM embeddings),
 m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM u) GROUP BY 1, 2),
 c0 AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1), c AS (SELECT label, [x / sqrt(list_dot_product(v, v)) for x in v] AS v FROM c0)"""
-PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4)"
+# equal vectors are one class, paired by its least id, with a row for each other member
+PAIRS = """cl AS (SELECT min(vec_id) AS vec_id, v FROM u GROUP BY v), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS cosine FROM cl a JOIN cl b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4
+UNION ALL SELECT cl.vec_id, u.vec_id, 1.0 FROM u JOIN cl ON u.v = cl.v AND u.vec_id <> cl.vec_id)"""
 
 
 def vectors(spark, sf):

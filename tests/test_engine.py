@@ -163,6 +163,27 @@ def test_components_to_convergence(spark, monkeypatch, rows):
     assert got == plain_components([e for e in edges if e[0] != e[1]])
 
 
+@pytest.mark.parametrize("block", [7, 4000])
+def test_similarity_join_prunes_and_stays_exact(spark, monkeypatch, block):
+    """Clusters, equal vectors and a cluster larger than a block; fewer blocks meet as the threshold rises."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", block)
+    monkeypatch.setattr(V, "FOR_PIVOT", 10)
+    r = np.random.default_rng(5)
+    middle = r.standard_normal((8, 16))
+    x = np.concatenate([middle[k] + 0.15 * r.standard_normal((40 if k == 0 else 15, 16)) for k in range(8)])
+    x[50] = x[60] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for t in (0.3, 0.9):
+        got = {(p["a"], p["b"]) for p in V.similar_pairs(df, "uid", "v", t).collect()}
+        assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if u[i] @ u[j] >= t and not {i, j} & {50, 60}} | {(3, 50), (3, 60)}
+    assert V.meetings(df, "uid", "v", 0.9) < V.meetings(df, "uid", "v", 0.5) < V.meetings(df, "uid", "v", -1.0)
+    near = {n["uid"]: n["nearest"] for n in V.nearest(df.filter("uid % 3 = 0"), df.filter("uid % 3 != 0"), "uid", "v").collect()}
+    right = [j for j in range(len(x)) if j % 3]
+    assert near == {i: right[int((x[i] @ x[right].T).argmax())] for i in range(0, len(x), 3)}
+    assert V.similar_pairs(df.limit(0), "uid", "v", 0.5).count() == 0 and V.nearest(df, df.limit(0), "uid", "v").count() == 0
+
+
 def test_vectors_against_plain(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 6))
