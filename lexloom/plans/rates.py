@@ -86,7 +86,7 @@ def leaderboard_pivot(spark, sf):
 
 
 @query("""WITH d AS (SELECT event_type, user_id % 3 AS seed, datediff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) // 7 AS step, value FROM events), s AS (SELECT event_type, step, seed, avg(value) AS v FROM d GROUP BY ALL), p AS (SELECT event_type, step, avg(v) AS v, count(*) AS seeds FROM s GROUP BY ALL)
-SELECT event_type, """ + ", ".join(f"avg(v) FILTER (WHERE step = {k}) AS step_{k}" for k in range(4)) + ", max_by(v, step) FILTER (WHERE seeds = 3) AS last_full FROM p GROUP BY 1")
+SELECT event_type, """ + ", ".join(f"avg(v) FILTER (WHERE step = {k}) AS step_{k}" for k in range(5)) + ", max_by(v, step) FILTER (WHERE seeds = 3) AS last_full FROM p GROUP BY 1")
 def trajectory_pivot(spark, sf):
     """Each system's course over the steps, seeds pooled, and its value at the last step that all seeds reached."""
     e = table(spark, sf, "events")
@@ -94,7 +94,7 @@ def trajectory_pivot(spark, sf):
     d = e.crossJoin(start).select("event_type", (F.col("user_id") % 3).alias("seed"), F.floor(F.datediff(F.to_date("ts"), F.col("start")) / 7).alias("step"), "value")
     p = d.groupBy("event_type", "step", "seed").agg(F.avg("value").alias("v")).groupBy("event_type", "step").agg(F.avg("v").alias("v"), F.count("*").alias("seeds"))
     full = F.max_by(F.when(F.col("seeds") == 3, F.col("v")), F.when(F.col("seeds") == 3, F.col("step")))
-    return p.groupBy("event_type").agg(*(F.avg(F.when(F.col("step") == k, F.col("v"))).alias(f"step_{k}") for k in range(4)), full.alias("last_full"))
+    return p.groupBy("event_type").agg(*(F.avg(F.when(F.col("step") == k, F.col("v"))).alias(f"step_{k}") for k in range(5)), full.alias("last_full"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_discount * l_quantity) / sum(l_quantity) AS rate FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))")

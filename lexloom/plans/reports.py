@@ -25,7 +25,7 @@ def failure_shares(spark, sf):
     return x.groupBy("l_shipmode").agg(share(F.col("l_discount") > 0.05).alias("over_half"), share(F.col("l_discount") == 0).alias("error_free"), share(F.col("l_tax") > 0.07).alias("hallucinated"), share(F.col("l_returnflag") == "R").alias("failed"))
 
 
-CHANNEL = "x AS (SELECT vec_id, label, vec_id % 2 = 0 AS made, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 9) t(i))"
+CHANNEL = "x AS (SELECT vec_id, label, vec_id % 2 = 0 AS made, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))"
 
 
 @query(f"""WITH {CHANNEL}, m AS (SELECT label, i, made, avg(v) AS mean, stddev_pop(v) AS std, kurtosis_pop(v) AS kurt, avg(v * v) AS sq FROM x GROUP BY ALL),
@@ -43,7 +43,7 @@ def moment_ratios(spark, sf):
 
 def _moments(spark, sf):
     """label, i and the moments of both sides: one aggregation, the sides in columns, no join."""
-    x = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2 == 0).alias("made"), F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    x = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2 == 0).alias("made"), F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     g, r = (F.when(F.col("made") == side, F.col("v")) for side in (True, False))
     aggs = [f(c * c if n == "sq" else c).alias(f"{s}_{n}") for s, c in (("g", g), ("r", r)) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("kurt", F.kurtosis), ("sq", F.avg))]
     m = x.groupBy("label", "i").agg(*aggs).filter("g_mean is not null and r_mean is not null")
@@ -56,7 +56,7 @@ SELECT x.vec_id, x.i::INT AS i, (x.v - g.mean) * least(greatest(r.std / greatest
 def matched_moments(spark, sf):
     """Generated channels brought to the reference's spread around their own means, by factors between 0.5 and 2."""
     m = _moments(spark, sf).select("label", (F.col("i") + 1).alias("i"), "g_mean", F.least(F.greatest(F.col("r_std") / F.greatest(F.col("g_std"), F.lit(1e-6)), F.lit(0.5)), F.lit(2.0)).alias("factor"))
-    x = table(spark, sf, "embeddings").filter("vec_id % 2 = 0").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v")).withColumn("i", F.col("i") + 1)
+    x = table(spark, sf, "embeddings").filter("vec_id % 2 = 0").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("i", F.col("i") + 1)
     return x.join(m, ["label", "i"]).select("vec_id", "i", ((F.col("v").cast("double") - F.col("g_mean")) * F.col("factor") + F.col("g_mean")).alias("matched"))
 
 

@@ -8,17 +8,18 @@ from pyspark.sql.window import Window
 from lexloom.functions.expr import hash01, split_of
 from lexloom.functions.specs import split_key
 from lexloom.operators import splits as S
+from lexloom.operators.order import places
 from lexloom.plans.curation import HASH, SPLIT
 from lexloom.plans.registry import query, table
 
 SPLIT_OF = "CASE WHEN {0} < 0.01 THEN 'test' WHEN {0} < 0.02 THEN 'val' ELSE 'train' END"
-LABELS = "s AS (SELECT s_suppkey AS label, s_nationkey AS key, s_suppkey // 7 AS cluster, CASE WHEN s_suppkey % 9 = 0 THEN 'train' WHEN s_suppkey % 2 = 0 THEN 'val' ELSE 'test' END AS split, 1 + s_suppkey % 4 AS n FROM supplier WHERE s_suppkey % 3 = 0)"
+LABELS = "s AS (SELECT s_suppkey AS label, s_nationkey AS key, s_suppkey // 7 AS cluster, CASE WHEN s_suppkey % 9 = 0 THEN 'train' WHEN s_suppkey % 2 = 0 THEN 'val' ELSE 'test' END AS split, 1 + s_suppkey % 4 AS n FROM supplier)"
 GROUPS = f"""{LABELS}, e AS (SELECT a.label AS x, b.label AS y FROM s a JOIN s b ON a.key = b.key AND a.key < 6 UNION SELECT a.label, b.label FROM s a JOIN s b ON a.cluster = b.cluster),
 r(label, reach) AS (SELECT label, label FROM s UNION SELECT r.label, e.y FROM r JOIN e ON e.x = r.reach), g AS (SELECT label, min('' || reach) AS grp FROM r GROUP BY 1)"""
 
 
 def labels(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0")
+    s = table(spark, sf, "supplier")
     split = F.when(F.col("s_suppkey") % 9 == 0, "train").when(F.col("s_suppkey") % 2 == 0, "val").otherwise("test")
     return s.select(F.col("s_suppkey").alias("label"), F.when(F.col("s_nationkey") < 6, F.col("s_nationkey")).alias("key"), F.floor(F.col("s_suppkey") / 7).alias("cluster"), split.alias("split"), (1 + F.col("s_suppkey") % 4).alias("n"))
 
@@ -78,7 +79,7 @@ def cross_session_pairs(spark, sf):
     return pairs.select(F.col("doc_id").alias("target"), "reference").distinct()
 
 
-SPAN = "e AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + 3600 * floor(value) AS f FROM events WHERE user_id % 10 = 0)"
+SPAN = "e AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + 3600 * floor(value) AS f FROM events)"
 
 
 @query(f"""WITH RECURSIVE {SPAN}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f, event_id) AS k FROM e), g(user_id, k, last, taken) AS (SELECT DISTINCT user_id, 0::BIGINT, -1e18::DOUBLE, []::BIGINT[] FROM o UNION ALL
@@ -87,7 +88,7 @@ SELECT user_id, max_by(taken, k) AS taken FROM g GROUP BY 1""")
 def free_of_conflict(spark, sf):
     """Intervals that conflict with none chosen before them, by their ends; one recording's intervals fold inside a row."""
     start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    e = table(spark, sf, "events").filter("user_id % 10 = 0").select("user_id", F.struct((start + 3600 * F.floor("value")).alias("f"), F.col("event_id").alias("id"), start.alias("s")).alias("x"))
+    e = table(spark, sf, "events").select("user_id", F.struct((start + 3600 * F.floor("value")).alias("f"), F.col("event_id").alias("id"), start.alias("s")).alias("x"))
     rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("rows"))
     zero = F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<bigint>").alias("taken"))
 
@@ -98,7 +99,7 @@ def free_of_conflict(spark, sf):
     return rows.select("user_id", F.aggregate("rows", zero, step)["taken"].alias("taken"))
 
 
-@query(f"""WITH {SPAN.replace(' WHERE user_id % 10 = 0', ' WHERE floor(value) > 0')}, c AS (SELECT user_id, greatest(s - (SELECT min(epoch(ts)) FROM events) - 86400, 0) AS s, least(f - (SELECT min(epoch(ts)) FROM events) - 86400, 604800.0) AS f FROM e), v AS (SELECT * FROM c WHERE f > s),
+@query(f"""WITH {SPAN.replace('FROM events', 'FROM events WHERE floor(value) > 0')}, c AS (SELECT user_id, greatest(s - (SELECT min(epoch(ts)) FROM events) - 86400, 0) AS s, least(f - (SELECT min(epoch(ts)) FROM events) - 86400, 604800.0) AS f FROM e), v AS (SELECT * FROM c WHERE f > s),
 m AS (SELECT *, max(f) OVER (PARTITION BY user_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM v), i AS (SELECT *, sum((r IS NULL OR s > r)::INT) OVER (PARTITION BY user_id ORDER BY s, f) AS k FROM m),
 u AS (SELECT user_id, max(f) - min(s) AS n FROM i GROUP BY user_id, k) SELECT user_id, round(sum(n) / 604800.0, 9) AS ratio FROM u GROUP BY 1""")
 def clipped_union_ratio(spark, sf):
@@ -129,28 +130,22 @@ def audit_report(spark, sf):
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {HASH.format("'21:' || doc_id")}, doc_id) - 1 AS place FROM documents")
 def shuffled_places(spark, sf):
-    """A seeded permutation: each row's place. Ranges of the hash are numbered by themselves, then offset by the ranges before them."""
-    d = table(spark, sf, "documents").select("doc_id", hash01(F.lit("21"), F.col("doc_id").cast("string")).alias("h")).withColumn("b", F.floor(F.col("h") * 64).cast("int"))
-    ahead = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    base = d.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(ahead, F.lit(0)).alias("base"))  # 64 rows
-    within = F.row_number().over(Window.partitionBy("b").orderBy("h", "doc_id"))
-    return d.withColumn("k", within).join(F.broadcast(base), "b").select("doc_id", (F.col("base") + F.col("k") - 1).cast("long").alias("place"))
+    """A seeded permutation: each row's place in the order of a hash."""
+    d = table(spark, sf, "documents").select("doc_id", hash01(F.lit("21"), F.col("doc_id").cast("string")).alias("h"))
+    return places(d, "h", "doc_id").select("doc_id", "place")
 
 
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn, length(text)) - 1 AS place, length(text) AS n FROM conversations")
 def ordered_map(spark, sf):
-    """A parallel map whose results keep the order of their rows: places come from ranges of the key, numbered apart and then offset."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n")).withColumn("b", F.floor(F.col("conv_id") / 16))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    base = c.groupBy("b").agg(F.count("*").alias("m")).select("b", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("base"))
-    k = F.row_number().over(Window.partitionBy("b").orderBy("conv_id", "turn", "n"))
-    return c.withColumn("k", k).join(base, "b").select("conv_id", "turn", (F.col("base") + F.col("k") - 1).cast("long").alias("place"), "n")
+    """A parallel map whose results keep the order of their rows: places come from sampled ranges of the key."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return places(c, "conv_id", "turn", "n")
 
 
-@query("""WITH m AS (SELECT doc_id % 3 AS part, any_value('v1') AS version, count(*) AS n FROM documents GROUP BY 1) SELECT part, version, n, count(DISTINCT version) OVER () = 1 AS compatible FROM m""".replace("count(DISTINCT version) OVER () = 1", "(SELECT count(DISTINCT version) FROM m) = 1"))
+@query("""WITH m AS (SELECT doc_id % 3 AS part, string_agg(DISTINCT lang, '/' ORDER BY lang) || ':' || (max(n_chars) // 100000) AS version, count(*) AS n FROM documents GROUP BY 1) SELECT part, version, n, count(DISTINCT version) OVER () = 1 AS compatible FROM m""".replace("count(DISTINCT version) OVER () = 1", "(SELECT count(DISTINCT version) FROM m) = 1"))
 def compatible_partitions(spark, sf):
-    """Partitions with the settings they were made with; they may be united only if those are equal."""
-    m = table(spark, sf, "documents").groupBy((F.col("doc_id") % 3).alias("part")).agg(F.count("*").alias("n")).withColumn("version", F.lit("v1"))
+    """Partitions with what they hold (languages, size class of the longest text); they may be united only if that is equal."""
+    m = table(spark, sf, "documents").groupBy((F.col("doc_id") % 3).alias("part")).agg(F.count("*").alias("n"), F.concat_ws(":", F.array_join(F.array_sort(F.collect_set("lang")), "/"), F.floor(F.max("n_chars") / 100000).cast("string")).alias("version"))
     kinds = m.agg((F.count_distinct("version") == 1).alias("compatible"))
     return m.crossJoin(kinds).select("part", "version", "n", "compatible")
 

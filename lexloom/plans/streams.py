@@ -87,7 +87,7 @@ def polled_work(spark, sf):
     at = _folder(spark)
     found = spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang")
     score = lambda df: df.withColumn("score", F.length("source"))
-    poll(found.filter("lang = 'en'"), score, f"{at}/done", ["source", "lang"])
-    poll(found, score, f"{at}/done", ["source", "lang"])
-    poll(found, score, f"{at}/done", ["source", "lang"])
+    poll(found.filter("lang = 'en'"), score, at, ["source", "lang"])
+    poll(found, score, at, ["source", "lang"])
+    poll(found, score, at, ["source", "lang"])
     return spark.read.parquet(f"{at}/done").groupBy("source").agg(F.count("lang").alias("scored"))

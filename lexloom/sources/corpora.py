@@ -131,19 +131,3 @@ def speaker_list(spark: SparkSession, path: str) -> DataFrame:
     if not all(isinstance(x, str) for x in found):
         raise ValueError(f"{path}: expected a list of names or an object of them")
     return spark.createDataFrame([(x,) for x in sorted(set(found))], "speaker string")
-
-
-def row_group_chunks(spark: SparkSession, path: str, columns: list[str], chunk_bytes: int = 64 << 20) -> DataFrame:
-    """Columns of Parquet files in input splits of bounded bytes: a split is whole row groups, and the vectorised reader holds a batch of it.
-
-    The setting applies to this scan's plan and is put back.
-    """
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(chunk_bytes))
-    try:
-        rows = spark.read.parquet(path).select(*columns)
-        rows._jdf.queryExecution().executedPlan()  # splits are planned under this setting
-        return rows
-    finally:
-        spark.conf.set(key, before)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
-import tarfile
 import uuid
 from collections.abc import Iterator
 
@@ -48,15 +46,23 @@ def manifest(spark: SparkSession, path: str, schema: StructType | str | None = N
     tree = spark.read.option("recursiveFileLookup", "true")
     if path.endswith((".jsonl", ".json")) or not path.endswith(".parquet") and schema is not None:
         rows = tree.schema(_schema(schema)).json(path) if schema is not None else tree.json(path)
-        return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    return tree.parquet(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+        return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_row", F.monotonically_increasing_id())
+    return tree.parquet(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.lit(-1).cast("long")).withColumn("_row", F.col("_metadata.row_index"))
+
+
+def indexed(df: DataFrame, name: str) -> DataFrame:
+    """Rows of ``manifest`` with their number in their file. Parquet knows it; lines are numbered within their block of the file, from the
+    counts of the blocks in front of it, so no task holds a file."""
+    sizes = df.groupBy("_file", "_block").agg(F.min("_row").alias("_lo"), F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.withColumn("_ahead", ahead).drop("_n")  # a row for each block of a file
+    return df.join(blocks, ["_file", "_block"]).withColumn(name, F.when(F.col("_block") < 0, F.col("_row")).otherwise(F.col("_row") - F.col("_lo") + F.col("_ahead"))).drop("_lo", "_ahead")
 
 
 def with_row_ids(df: DataFrame, root: str) -> DataFrame:
     """Rows of ``manifest`` with ``<relative file>:<index>``; the index counts a file's rows by their place in it."""
     name = F.regexp_replace("_file", f"^(file:/*)?/?{root.strip('/')}/", "")
-    index = F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1
-    return df.withColumn("_index", index).withColumn("row_id", F.concat_ws(":", name, F.col("_index").cast("string")))
+    return indexed(df, "_index").withColumn("row_id", F.concat_ws(":", name, F.col("_index").cast("string")))
 
 
 def shard_slice(df: DataFrame, index: Column, shard: int, shards: int) -> DataFrame:
@@ -70,8 +76,7 @@ def partition_rows(df: DataFrame, rank: int, ranks: int) -> DataFrame:
     files = sorted({r[0] for r in df.select("_file").distinct().collect()})  # one row a file
     if len(files) >= ranks:
         return df.filter(F.col("_file").isin(files[rank::ranks]))
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_row")) - 1)
-    return rows.filter(F.pmod("_n", F.lit(ranks)) == rank).drop("_n")
+    return indexed(df, "_n").filter(F.pmod("_n", F.lit(ranks)) == rank).drop("_n")
 
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -109,29 +114,6 @@ def utterance_parts(c: Column) -> dict[str, Column]:
     return {"video": at(1), "index": F.try_to_number(at(2), F.lit("9999999999")).cast("long"), "start": at(3).try_cast("double") / 100, "end": at(4).try_cast("double") / 100}
 
 
-MEMBER_ROWS = 64
-
-
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, content of every file in tar archives. An archive is one row of a task (at most 2 GB, Spark's bound); its members leave a few at a time."""
-
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            rows.append((name, m.name, tar.extractfile(m).read()))
-                        if len(rows) == MEMBER_ROWS:
-                            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(expand, "archive string, member string, content binary")
-
-
 def refuse_held_out(names: list[str], forbidden: tuple[str, ...] = ("eval", "test-only", "noncommercial")) -> None:
     """Stops before anything is read from a source that must not be used."""
     for name in names:

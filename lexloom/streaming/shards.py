@@ -46,22 +46,25 @@ def arriving(spark: SparkSession, path: str, schema, files: int = 1, archive: st
     return reader.parquet(path)
 
 
-def unscored(found: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Work that polling found and nothing has done yet: one row for each key."""
-    return found.dropDuplicates(keys).join(done.select(*keys).distinct(), keys, "left_anti")
+def poll(found: DataFrame, score: Transform, at: str, keys: list[str]) -> int:
+    """Score what was never found before, and return how many rows that is. Results are in ``<at>/done``, each key once.
 
-
-def poll(found: DataFrame, score: Transform, done: str, keys: list[str]) -> int:
-    """Score what is not in the store at ``done`` and append it; the number of rows. Running it again does nothing more."""
+    What polling finds is appended to an inbox, and a stream over it keeps the keys it has seen as state (deduplication) and writes to a sink that
+    lists each batch once. So a poll that is killed anywhere goes on where its checkpoint is: work that is found twice, or a batch that is
+    written but not committed, leaves no copy.
+    """
     spark = found.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(done)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        found = unscored(found, spark.read.parquet(done), keys)
-    else:
-        found = found.dropDuplicates(keys)
-    rows = score(found).cache()
-    n = rows.count()
-    if n:
-        rows.write.mode("append").parquet(done)
-    rows.unpersist()
-    return n
+    found.write.mode("append").parquet(f"{at}/inbox")
+    work = spark.readStream.schema(found.schema).parquet(f"{at}/inbox").dropDuplicates(keys)
+    rows = score(work)
+    before = scored(spark, at, rows.schema).count()
+    rows.writeStream.format("parquet").option("path", f"{at}/done").option("checkpointLocation", f"{at}/marks").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return scored(spark, at, rows.schema).count() - before
+
+
+def scored(spark: SparkSession, at: str, schema) -> DataFrame:
+    """What polling at ``at`` has scored so far."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/done")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{at}/done")

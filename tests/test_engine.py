@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import arrays as A
 from lexloom.functions import audio, duration, hooks, specs
 from lexloom.operators import compare as C
-from lexloom.operators import graph
+from lexloom.operators import curate, graph
 from lexloom.operators import intervals as I
 from lexloom.operators import prepare as P
 from lexloom.operators import splits as S
@@ -163,6 +164,23 @@ def test_components_to_convergence(spark, monkeypatch, rows):
     assert got == plain_components([e for e in edges if e[0] != e[1]])
 
 
+def test_contamination_beyond_the_broadcast(spark, monkeypatch):
+    """Without a broadcast the same rows: equal, contained, near from either side, and sentences shorter than a gram."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefghijkl")
+    held = [" ".join(word() for _ in range(r.randint(1, 14))) for _ in range(60)]
+    docs = []
+    for s in held:
+        w = s.split()
+        docs += [s, f"{word()} {s} {word()}", " ".join(w[:-1]), " ".join([*w, *(word() for _ in range(3))]), " ".join(x if r.random() > 0.1 else "zz" for x in w)]
+    docs += ["", "a", "a b", *(" ".join(word() for _ in range(20)) for _ in range(40))]
+    left = spark.createDataFrame(list(enumerate(docs)), "key long, norm string")
+    right = spark.createDataFrame([(s,) for s in [*held, held[0], ""]], "norm string")
+    want = sorted(map(tuple, curate.contaminated(left, right).collect()))
+    monkeypatch.setattr(curate, "BROADCAST_GRAMS", 0)
+    assert sorted(map(tuple, curate.contaminated(left, right).collect())) == want and {x[1] for x in want} == {"exact", "contains", "near"}
+
+
 @pytest.mark.parametrize("block", [7, 4000])
 def test_similarity_join_prunes_and_stays_exact(spark, monkeypatch, block):
     """Clusters, equal vectors and a cluster larger than a block; fewer blocks meet as the threshold rises."""
@@ -342,7 +360,17 @@ def test_stream_restarts_without_copies(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out/one").collect()) == list(range(15))
     assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/out/two").collect()) == [5, 10]
     score = lambda df: df.withColumn("s", F.lit(1.0))
-    assert [shards.poll(spark.range(4).union(spark.range(n)), score, f"{tmp_path}/done", ["id"]) for n in (2, 6, 6)] == [4, 2, 0]
+    assert [shards.poll(spark.range(4).union(spark.range(n)), score, f"{tmp_path}/poll", ["id"]) for n in (2, 6, 6)] == [4, 2, 0]
+
+    # a poll killed after it wrote and before its batch was committed, and one killed before its files were listed
+    for lost in (("marks/commits", "done/_spark_metadata"), ("marks/commits",)):
+        for folder in lost:
+            newest = max((f for f in os.listdir(tmp_path / "poll" / folder) if f.isdigit()), key=int)
+            for name in (newest, f".{newest}.crc"):
+                (tmp_path / "poll" / folder / name).unlink(missing_ok=True)
+        assert shards.poll(spark.range(7, 9), score, f"{tmp_path}/poll", ["id"]) >= 0
+        ids = [r["id"] for r in spark.read.parquet(f"{tmp_path}/poll/done").collect()]
+        assert sorted(ids) == sorted({*range(6), 7, 8})
 
 
 def test_signal_and_chunk_queries(spark):

@@ -6,11 +6,13 @@ import math
 import tarfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import prepare as P
-from lexloom.sources import corpora, readers
+from lexloom.sources import corpora, footers, readers
 
 
 def test_jsonl_names_the_broken_line(spark, tmp_path):
@@ -66,7 +68,6 @@ def test_small_readers(spark, tmp_path):
     readers.refuse_held_out(["train-a"])
     with pytest.raises(ValueError):
         readers.refuse_held_out(["my-eval-set"])
-    assert corpora.row_group_chunks(spark, "/root/testdata/sf0.001/documents.parquet", ["doc_id"], 1 << 20).columns == ["doc_id"]
 
 
 def test_voted_clips(spark, tmp_path):
@@ -103,7 +104,7 @@ def test_utterance_shards(spark, tmp_path):
     archive(tmp_path / "a.tar", {"x/v1-0-100-250.wav": b"one", "x/v1-1-300-400.wav": b"two", "x/v9-0-0-1.wav": b"none"})
     (tmp_path / "text").write_text("v1-0-100-250 Bir iki\nv1-1-300-400\n\n")
     (tmp_path / "dur").write_text("v1-0-100-250 1.5\nv1-1-300-400 x y\n")
-    got = {r["id"]: r for r in corpora.utterance_clips(readers.tar_members(spark, f"{tmp_path}/a.tar"), corpora.side_files(spark, f"{tmp_path}/text", f"{tmp_path}/dur"), "tr").collect()}
+    got = {r["id"]: r for r in corpora.utterance_clips(footers.tar_members(spark, f"{tmp_path}/a.tar"), corpora.side_files(spark, f"{tmp_path}/text", f"{tmp_path}/dur"), "tr").collect()}
     one, two = got["yodas/tr/v1-0-100-250"], got["yodas/tr/v1-1-300-400"]
     assert len(got) == 2 and (one["text"], one["duration"], one["session_id"], one["start_seconds"], bytes(one["content"])) == ("Bir iki", 1.5, "v1", 1.0, b"one")
     assert (two["text"], two["duration"]) == ("", None)
@@ -111,7 +112,7 @@ def test_utterance_shards(spark, tmp_path):
 
 def test_many_members_leave_in_parts(spark, tmp_path):
     archive(tmp_path / "m.tar", {f"f{i}": b"x" * i for i in range(150)})
-    assert readers.tar_members(spark, f"{tmp_path}/m.tar").agg(F.count("*"), F.sum(F.length("content"))).first()[:] == (150, 11175)
+    assert footers.tar_members(spark, f"{tmp_path}/m.tar").agg(F.count("*"), F.sum(F.length("content"))).first()[:] == (150, 11175)
 
 
 def test_long_recordings_and_pairs(spark, tmp_path):
@@ -122,7 +123,7 @@ def test_long_recordings_and_pairs(spark, tmp_path):
     assert cut == [2, 3, 4]
     meta = [{"utterances": [{"utt_id": "u1", "text": "Bir", "start": 0, "end": 1}]}, {"utterances": {"utt_id": ["u2", "u3"], "text": ["a", "b"], "start": [0, 1], "end": [1, 2]}}]
     archive(tmp_path / "p.tar", {"d/k1.flac": b"f1", "d/k1.metadata.json": json.dumps(meta[0]).encode(), "d/k2.metadata.json": json.dumps(meta[1]).encode(), "d/k2.flac": b"f2", "d/k3.flac": b"alone", "d/k3.txt": b"-"})
-    pairs = corpora.paired_members(readers.tar_members(spark, f"{tmp_path}/p.tar"))
+    pairs = corpora.paired_members(footers.tar_members(spark, f"{tmp_path}/p.tar"))
     assert pairs.count() == 2
     assert sorted(r["utt"] for r in corpora.paired_utterances(pairs).collect()) == ["u1", "u2", "u3"]
 
@@ -167,3 +168,47 @@ def test_packed_shards(spark, tmp_path):
     for r in rows:
         data = np.fromfile(r["shard"], "<f2").reshape(-1, 4)[r["offset"] : r["offset"] + r["frames"]]
         assert data.tolist() == frames[r["uid"]][1] and not math.isnan(data.sum())
+
+
+@pytest.mark.parametrize("files, group, ranks", [(3, 10, 2), (2, 10, 5), (1, 100, 7), (1, 100, 1)])
+def test_row_groups_are_complete_and_disjoint(spark, tmp_path, files, group, ranks):
+    """Shares by file, by row group and by row."""
+    for k in range(files):
+        pq.write_table(pa.table({"id": pa.array(range(k * 31, k * 31 + 31), pa.int64()), "t": [f"row {k}"] * 31, "at": pa.array([0] * 31, pa.timestamp("us"))}), f"{tmp_path}/{k}.parquet", row_group_size=group)
+    parts = [[r["id"] for r in footers.row_groups(spark, str(tmp_path), ["id"], rank=k, ranks=ranks).collect()] for k in range(ranks)]
+    assert sorted(sum(parts, [])) == list(range(31 * files)) and all(parts)
+    whole = footers.row_groups(spark, str(tmp_path), chunk_bytes=1)
+    assert whole.rdd.getNumPartitions() == files * -(-31 // group)  # a split for each row group
+    assert footers.row_groups(spark, str(tmp_path), chunk_bytes=1 << 30).rdd.getNumPartitions() == files
+    assert dict(whole.dtypes) == {"id": "bigint", "t": "string", "at": "timestamp_ntz"} and whole.count() == 31 * files
+    with pytest.raises(Exception, match="rank out of range"):
+        footers.row_groups(spark, str(tmp_path), rank=ranks, ranks=ranks).count()
+
+
+def test_archives_are_read_by_stretches(spark, tmp_path):
+    """Members with long names, folders and empty files; a task holds a run of members."""
+    names = ["a/", "a/one.txt", "a/empty.txt", "b/" + "long" * 60 + ".txt", *(f"c/{i}.bin" for i in range(40))]
+    for k in range(2):
+        with tarfile.open(f"{tmp_path}/{k}.tar", "w") as tar:
+            for i, name in enumerate(names):
+                info = tarfile.TarInfo(name)
+                body = b"" if name.endswith(("/", "empty.txt")) else bytes([i]) * (700 + i)
+                info.size, info.type = len(body), tarfile.DIRTYPE if name.endswith("/") else tarfile.REGTYPE
+                tar.addfile(info, io.BytesIO(body))
+    df = footers.tar_members(spark, str(tmp_path), 5000)
+    assert df.rdd.getNumPartitions() >= 20
+    got = {(r["archive"].rsplit("/")[-1], r["member"]): bytes(r["content"]) for r in df.collect()}
+    assert got == {(f"{k}.tar", n): b"" if n.endswith("empty.txt") else bytes([i]) * (700 + i) for k in range(2) for i, n in enumerate(names) if not n.endswith("/")}
+
+
+def test_lines_are_numbered_by_their_blocks(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.json").write_text("".join(f'{{"id": {i}}}\n' for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.manifest(spark, f"{tmp_path}/x", "id long")
+        assert rows.rdd.getNumPartitions() > 3
+        assert readers.indexed(rows, "n").filter("n = id").count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
