@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.chunks import sentences
 from lexloom.functions.specs import load
 
 
@@ -66,20 +67,35 @@ def selected(df: DataFrame, group: str, key: str, chooser: str, columns: Sequenc
     """group, key of the candidate that ``module:function`` picks by its place in each group (ordered by key)."""
     kinds = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        return pdf.loc[[int(load(chooser)(pdf))], [group, key]]
-
-    return df.select(group, key, *columns).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows: a group is whole once another one begins, so the last one of a frame waits for the next frame."""
+        choose, rest = load(chooser), None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            at = frame[group].to_numpy()
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
+            if len(starts):
+                yield picked(frame, [*starts], choose)
+                rest = frame.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield picked(rest, [0, len(rest)], choose)
+
+    def picked(frame: pd.DataFrame, cuts: list[int], choose) -> pd.DataFrame:
+        rows = [a + int(choose(frame.iloc[a:b].reset_index(drop=True))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return frame.iloc[rows][[group, key]]
+
+    rows = df.select(group, key, *columns).repartition(group).sortWithinPartitions(group, key)
+    return rows.mapInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}")
 
 
 @F.udtf(returnType="i int, chunk string, pause string")
 class SplitSentences:
-    """One row for each chunk of a text, for lateral joins in SQL: ``FROM t, LATERAL split_sentences(t.text)``."""
+    """One row for each sentence of a text, for lateral joins in SQL: ``FROM t, LATERAL split_sentences(t.text)``."""
 
     def eval(self, text: str):
-        for i, (chunk, pause) in enumerate(sentences(text or "")):
-            yield i, chunk, pause
+        parts = [p for p in re.split(r"(?<=[.!?…])\s+", (text or "").strip()) if p]
+        for i, part in enumerate(parts):
+            yield i, part, "sentence" if part[-1] in ".!?…" else "none"
 
 
 def register(spark) -> None:

@@ -1,4 +1,4 @@
-"""Durations, spoken text, audio measures over arrays, hooks and sentence chunks."""
+"""Durations, fits and hooks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions import arrays as A
-from lexloom.functions import audio, duration, hooks, turkish
+from lexloom.functions import duration, hooks
 from lexloom.functions.specs import parse_pairs
 from lexloom.plans.registry import query, table
 
@@ -69,43 +69,6 @@ def principal_components(spark, sf):
     return v.select("vec_id", A.projected(F.col("embedding"), mean.tolist(), parts.tolist()).alias("projected"))
 
 
-@query()
-def signal_measures(spark, sf):
-    """Bandwidth of each vector read as samples, and its 16-bit form."""
-    f = audio.columns(16_000)
-    return table(spark, sf, "embeddings").select("vec_id", f["bandwidth"](F.col("embedding")).alias("bandwidth"), f["pcm16"](F.col("embedding")).alias("pcm"))
-
-
-@query()
-def spoken_documents(spark, sf):
-    """Transcript text of every document or the reason why there is none, and its spoken characters."""
-    f = turkish.columns()
-    d = table(spark, sf, "documents").select("doc_id", f["transcript_v2"]("text").alias("t"), f["text_characters"]("text").alias("characters"))
-    return d.select("doc_id", F.length("t.text").alias("n"), "t.error", "characters")
-
-
-@query()
-def speakable_documents(spark, sf):
-    """Every document as a speaker would say it, and the number of changes."""
-    said = turkish.speakable_udf()
-    return table(spark, sf, "documents").select("doc_id", said("text").alias("s")).select("doc_id", "s.said", "s.notes")
-
-
-@query()
-def metric_documents(spark, sf):
-    """Every document in the metric texts and as a key."""
-    f = turkish.columns()
-    return table(spark, sf, "documents").select("doc_id", *(F.sha2(f[n]("text"), 256).alias(n) for n in ("metric_text", "metric_text_2", "english_metric", "match_key")))
-
-
-@query()
-def sentence_chunks(spark, sf):
-    """Chunks of every document with the pause behind each, by a table function."""
-    hooks.register(spark)
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.lateralJoin(hooks.SplitSentences(F.col("text").outer())).select("doc_id", "i", F.length("chunk").alias("n"), "pause")
-
-
 @query("SELECT doc_id, length(trim(text)) AS n FROM documents")
 def hooked_lengths(spark, sf):
     """A function named MODULE:FUNCTION over a column, imported once a worker."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.functions import turkish
 from lexloom.functions.alignment import word_edits
 from lexloom.functions.expr import ascii_metric_text, ngrams, pause_seconds, text_units, tr_lower, tr_upper, word_distance, words
 from lexloom.plans.curation import KEY, NGRAMS
@@ -77,27 +76,3 @@ def word_edit_kinds(spark, sf):
     e = c.select("role", F.size("r").alias("words"), word_edits(F.col("r"), F.col("h")).alias("e"))
     sums = e.groupBy("role").agg(F.sum("words").alias("words"), *(F.sum(f"e.{k}").alias(k) for k in ("substitutions", "deletions", "insertions")))
     return sums.withColumn("wer", (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("words"))
-
-
-@query()
-def number_words(spark, sf):
-    spoken = turkish.columns()["number_words_v2"](F.concat_ws(" ", F.col("doc_id").cast("string"), "text"))
-    return table(spark, sf, "documents").select("doc_id", spoken.alias("spoken"))
-
-
-@query()
-def metric_keys(spark, sf):
-    f = turkish.columns()
-    return table(spark, sf, "benchmark").select("item_id", f["metric_text"]("text").alias("metric"), f["match_key"]("text").alias("match_key"))
-
-
-@query()
-def sentence_split(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(turkish.columns()["sentences"]("text")).alias("i", "chunk"))
-    return d.select("doc_id", "i", F.length("chunk").alias("n"))
-
-
-@query()
-def caption_clean(spark, sf):
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]+>", " ")
-    return table(spark, sf, "pages").select("page_id", turkish.columns()["caption"](text).alias("caption"))

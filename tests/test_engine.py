@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import arrays as A
-from lexloom.functions import audio, duration, hooks, specs
+from lexloom.functions import duration, hooks, specs
 from lexloom.operators import compare as C
 from lexloom.operators import curate, graph
 from lexloom.operators import intervals as I
@@ -290,23 +290,6 @@ def test_arrays_refuse(spark):
     assert df.select(t.alias("t")).first()["t"][:] == ([1, 9, 36, 7, 8, 3], [1] * 6)
 
 
-def test_audio():
-    rate = 16_000
-    t = np.arange(rate) / rate
-    x = np.concatenate([np.zeros(rate), 0.5 * np.sin(2 * np.pi * 440 * t), np.zeros(rate)]).astype(np.float32)
-    cut, start, end = audio.trim(x, rate)
-    assert (start, end) == (rate - 1600, 2 * rate + 2400) and len(cut) == end - start
-    assert audio.trim(np.zeros(100, np.float32), rate)[1:] == (0, 100)
-    assert abs(audio.bandwidth(x[rate : 2 * rate], rate) - 440) < 150 and audio.bandwidth(np.zeros(10), rate) == 0.0 and abs(audio.welch_bandwidth(x[rate : 2 * rate], rate) - 440) < 200
-    y = audio.fade(np.ones(1000, np.float32), rate)
-    assert y[0] == 0 and y[-1] == 0 and (y[160:680] == 1).all() and audio.fade(np.ones(3), rate).tolist() == [1, 1, 1]
-    joined = audio.join([np.ones(1000)] * 2, rate, [0.1, 5.0])
-    assert len(joined) == 3600 and not joined[1000:2600].any() and len(audio.join([], rate, [])) == 0
-    assert audio.pcm16(np.array([0, 1, -2, 0.5])).tolist() == [0, 32767, -32767, 16384]
-    silence, size = audio.levels(np.zeros(320), rate)
-    assert size == 160 and len(silence) == 2 and (silence < -170).all()
-
-
 def test_ridge_and_components(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((200, 3))
@@ -336,7 +319,7 @@ def test_batch_packing(spark):
 def test_rates_of_turns(spark):
     import re
 
-    from tests.test_text_pack import edits_by_brute_force
+    from tests.test_functions import table_edits
 
     turns = {}
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
@@ -346,7 +329,7 @@ def test_rates_of_turns(spark):
         seq = [w for _, w in sorted(turns[conv])]
         pairs = [(a, b) for a, b in zip(seq, seq[1:], strict=False) if a]
         if pairs and all(len(a) < 80 and len(b) < 80 for a, b in pairs):
-            assert abs(got[conv]["wer"] - sum(edits_by_brute_force(a, b)[0] for a, b in pairs) / sum(len(a) for a, _ in pairs)) < 1e-12
+            assert abs(got[conv]["wer"] - sum(sum(table_edits(a, b)) for a, b in pairs) / sum(len(a) for a, _ in pairs)) < 1e-12
 
 
 def test_stream_restarts_without_copies(spark, tmp_path):
@@ -373,19 +356,13 @@ def test_stream_restarts_without_copies(spark, tmp_path):
         assert sorted(ids) == sorted({*range(6), 7, 8})
 
 
-def test_signal_and_chunk_queries(spark):
-    q = catalogue.queries()
-    rows = {r["vec_id"]: r for r in q["signal_measures"](spark, SF).collect()}
-    for v in spark.read.parquet(f"{SF}/embeddings.parquet").limit(5).collect():
-        x = np.array(v["embedding"], np.float32)
-        assert rows[v["vec_id"]]["pcm"] == audio.pcm16(x).tolist() and rows[v["vec_id"]]["bandwidth"] == audio.bandwidth(x, 16_000)
-    from lexloom.functions.chunks import sentences
-
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = pd.DataFrame([r.asDict() for r in q["sentence_chunks"](spark, SF).collect()])
-    for d, part in got.groupby("doc_id"):
-        want = sentences(texts[d] or "")
-        assert [(int(n), p) for n, p in part.sort_values("i")[["n", "pause"]].to_numpy() if p] == [(len(c), p) for c, p in want]
-    assert not math.isnan(q["ridge_fit"](spark, SF).agg(F.sum("weight")).first()[0])
-    page = q["caption_clean"](spark, SF).first()["caption"]
-    assert "<" not in page and json.dumps(page)
+def test_selected_over_frames(spark):
+    """Groups that lie across the frames of a task are whole."""
+    rows = [(g, k, (g * 7 + k * 5) % 11) for g in range(50) for k in range(1 + g % 9)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = hooks.selected(spark.createDataFrame(rows, "g long, k long, l_quantity long"), "g", "k", "lexloom.plans.speaking:most_quantity", ["l_quantity"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["g"]: r["k"] for r in got} == {g: max((k for h, k, _ in rows if h == g), key=lambda k: ((g * 7 + k * 5) % 11, -k)) for g in range(50)}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.functions import chunks, expr, numbers, turkish
+from lexloom.functions import expr, reading
 from lexloom.functions.alignment import edit_kinds, word_edits
 from lexloom.operators import curate, intervals, quantiles, ranges
 from lexloom.operators.order import places
@@ -14,22 +14,22 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column).first()[0]
 
 
-def test_number_words():
-    pins = {"4'e": "dörte", "%4'ü": "yüzde dörtü", "2'incisi": "ikiincisi", "-5 derece": "-beş derece", "1.250.001": "bir milyon iki yüz elli bin bir"}
-    assert {k: numbers.spell(k) for k in pins} == pins
-    pins = {"4'e": "dörde", "2'incisi": "ikincisi", "5'de": "beşte", "14:00'te": "on dörtte", "15.07.2016": "on beş temmuz iki bin on altı"}
-    assert {k: numbers.spell(numbers.dates_and_clocks(k), True) for k in pins} == pins
-    assert [numbers.ordinal(n) for n in (1, 2, 3, 4, 6, 10, 20, 100)] == ["birinci", "ikinci", "üçüncü", "dördüncü", "altıncı", "onuncu", "yirminci", "yüzüncü"]
+def test_number_words(spark):
+    pins = {0: "sıfır", 11: "on bir", 100: "yüz", 1000: "bin", 12345: "on iki bin üç yüz kırk beş", 1250001: "bir milyon iki yüz elli bin bir", 1001000: "bir milyon bin", 21000: "yirmi bir bin"}
+    df = spark.createDataFrame([(n, f"{n}") for n in pins], "n long, t string")
+    assert {r["n"]: r["w"] for r in df.select("n", reading.number_in_words(F.col("t")).alias("w")).collect()} == pins
+    assert one(spark, reading.numbers_in_words(F.col("t")), t="a12 b" + "9" * 16) == "aon iki b" + "9" * 16
 
 
-def test_text_keys():
-    assert turkish.match_key("Işık 3'te!") == "işik üçte"
-    assert len(turkish.metric_text("Saat 3'te, geldi!").replace(" ", "")) == 13
-    assert turkish.transcript("a ☃")[1].startswith("Unsupported")
-
-
-def test_word_edits():
-    assert turkish.word_edits("a b c".split(), "a x c d".split()) == (2, 1, 0, 1)
+def test_spoken_text(spark):
+    assert one(spark, reading.spoken(F.col("t")), t="%5 ve $12, 7 km & 3€") == "yüzde beş ve on iki dolar, yedi kilometre ve üç avro"
+    said, removed = reading.speakable(F.col("t"))
+    row = spark.createDataFrame([("iyi ☃ gün ♪",)], "t string").select(said.alias("s"), removed.alias("n")).first()
+    assert (row["s"], row["n"]) == ("iyi gün", 2)
+    assert one(spark, reading.match_key(F.col("t")), t="Işık 3'e!") == "işik üçe"
+    assert one(spark, reading.metric_text(F.col("t")), t="İstanbul’da  86 KİŞİ") == "istanbulda seksen altı kişi"
+    assert one(spark, reading.sentences(F.col("t")), t=" Bir 3.5 iki. Üç?!  Dört… beş") == ["Bir 3.5 iki.", "Üç?!", "Dört…", "beş"]
+    assert one(spark, reading.caption(F.col("t")), t="a &amp;lt; b&nbsp; c&#39;s") == "a &lt; b c's"
 
 
 def test_word_distance(spark):
@@ -44,12 +44,6 @@ def test_ngrams_and_tokens(spark):
     assert one(spark, expr.byte_tokens(F.col("a")), a="é") == [1, 0xC3 + 4, 0xA9 + 4, 2]
 
 
-def test_sentences():
-    found = chunks.sentence_texts("A b c. " * 60 + "x" * 400)
-    assert max(map(len, found)) <= 180
-    assert chunks.sentences(" ") == []
-
-
 def test_interval_union(spark):
     df = spark.createDataFrame([("a", 0, 100), ("a", 50, 150), ("a", 300, 400)], "k string, s int, e int")
     assert ranges.islands(df, "k", "s", "e").agg(F.sum(F.col("e") - F.col("s"))).first()[0] == 250
