@@ -143,11 +143,13 @@ def fit(labelled: DataFrame, max_docs: int = 20_000, alpha: float = 0.5, max_byt
     n = rows.count()
     if n > max_docs:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+    kinds = rows.agg(F.countDistinct("lang")).first()[0]
+    if kinds * 4 << BITS > max_bytes:
+        raise ValueError(f"{kinds} languages need more than {max_bytes} bytes")
+    # at most max_bytes / 4 counts, by the test above
     counted = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_counts, "lang string, feature long, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toPandas()
     groups = dict(tuple(counted.groupby("lang")))
     langs = sorted(groups)
-    if len(langs) * 4 << BITS > max_bytes:
-        raise ValueError(f"{len(langs)} languages need more than {max_bytes} bytes")
     prior, blocks = np.zeros(len(langs)), []
     for first in range(0, len(langs), BLOCK):
         names = langs[first : first + BLOCK]

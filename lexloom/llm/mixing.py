@@ -11,10 +11,12 @@ emitted once for each integer it crosses, hence at most ``limit`` times. Documen
 class, so that each class is sampled evenly and the taken words come near the target.
 
 The prefix sum is taken in two levels, over about sqrt(n) buckets in each class and within a bucket, so
-that no task holds a source. Reruns agree: nothing depends on partitions.
+that no task holds a source. Reruns agree: within a bucket rows come by size, doc_id and a digest of the text, then of the carried
+columns, so rows that differ at all have one order, whatever the partitions.
 
 Edge cases: null or wordless texts have size 0, null sources form one source, null doc_ids are ordinary
-rows; rows that repeat each other are sampled one by one; an empty table gives an empty result.
+rows and spread by their text; rows that repeat each other are sampled one by one; a very long text is one row, of which only its size and
+digest are sorted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,17 +53,18 @@ def uniform(name: str, seed: str):
 def mix_sources(docs: DataFrame, seed: str = "mix", limit: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row; ``keep`` names further columns to carry."""
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0))
-    slim = docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), *keep)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    slim = docs.select("doc_id", "source", F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("size"), digest.alias("_digest"), *keep)
     slim = cut(slim.withColumn("_class", F.length(F.bin("size"))))
     n = F.broadcast(slim.agg(F.greatest(F.ceil(F.sqrt(F.count("*")) / 8), F.lit(1)).cast("long").alias("_n")))  # one row
-    rows = slim.join(n).withColumn("_bucket", F.coalesce(F.pmod("doc_id", "_n"), F.lit(0))).drop("_n")
+    rows = slim.join(n).withColumn("_bucket", F.coalesce(F.pmod("doc_id", "_n"), F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") % F.col("_n"))).drop("_n")
     part = ["source", "_class", "_bucket"]
     cells = rows.groupBy(*part).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words"))
     ahead = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
     table = targets(cells.groupBy("source").agg(F.sum("_words").alias("source_size")), limit).withColumnRenamed("source", "_source")
     cells = cells.join(table, F.col("source").eqNullSafe(F.col("_source"))).select(*(F.col(c).alias(f"_{c}") for c in part), "_ahead", "source_size", "target")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy("size", "doc_id")))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy("size", "doc_id", "_digest", F.xxhash64(*keep) if keep else F.lit(0))))
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("__class")) & (F.col("_bucket") == F.col("__bucket"))
     placed = ranked.join(cells, on)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

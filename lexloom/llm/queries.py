@@ -128,9 +128,9 @@ FROM a{rounds} a JOIN c{rounds} c ON c.c = a.cluster"""
 _W = r"[^\x20\x09-\x0D]+"
 ORACLES = {
     "op2_mix_sources": rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 k AS (SELECT greatest(ceil(sqrt(count(*)) / 8), 1)::BIGINT AS k FROM d),
-r AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), coalesce((doc_id % k + k) % k, 0), size, doc_id) AS rank FROM d, k),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), coalesce((doc_id % k + k) % k, ('0x' || substr(digest, 1, 8))::UBIGINT::BIGINT % k), size, doc_id, digest) AS rank FROM d, k),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT source, source_size, ([5, 2, 1])[i % 3 + 1] AS weight, 3 * source_size AS cap FROM s),
 f AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level,

@@ -43,6 +43,7 @@ class Trie:
             tails = node.setdefault("tails", {})
             if tails.get(tail, ("", ""))[0] != "block":
                 tails[tail] = (verdict, host + path)
+            node["longest"] = max(node.get("longest", 0), len(tail))  # prefixes beyond it end no rule
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """verdict and text of the longest rule that fits."""
@@ -57,7 +58,7 @@ class Trie:
             for segment in segments:
                 tails = inner.get("tails")
                 if tails:
-                    for length in range(len(segment) + 1):
+                    for length in range(min(len(segment), inner["longest"]) + 1):
                         got = tails.get(segment[:length])
                         if got and (best is None or (len(got[1]), got[0] == "block") > best[0]):
                             best = ((len(got[1]), got[0] == "block"), got)

@@ -2,14 +2,17 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, clusters, turns
+from lexloom.llm import bpe, clusters, language, turns
+from lexloom.llm.mixing import mix_sources
 from lexloom.llm.queries import BLANK_OR_RUN, op13_byte_bpe, ranks_path
+from lexloom.llm.urls import judge_urls
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +198,28 @@ def test_deliveries(spark):
             if h % 7 < 2:
                 want.append((c, t, "user", f"user|{text or ''}", (h + 3) % 12))
     assert got == sorted(want)
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    """Ties of id and size: any partitions give the same rows, null ids too."""
+    texts = [f"{'abcdefghij'[i % 10]}{i} two three" for i in range(40)]
+    rows = [(None if i % 5 == 0 else 7, "s" if i % 3 else "t", t, "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
+    got = [sorted(tuple(r) for r in mix_sources(df.repartition(n), keep=("text", "lang")).select("text", "copies").collect()) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 40
+
+
+def test_long_urls(spark):
+    """Time grows with the url, not with its square; repeated rows and further columns are ordinary."""
+    rules = [("allow", "net", "/"), ("block", "net", "/abc"), ("block", "net", "/abc/d")]
+    long = "http://x.net/abc" + "z" * 2_000_000
+    start = time.time()
+    rows = judge_urls(spark.createDataFrame([(1, long, "r"), (1, long, "r"), (2, "http://net/ab", "r"), (3, "http://net/abc/de", "r")], "page_id long, url string, rule string"), rules).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows) == [(1, "net/abc", "block"), (1, "net/abc", "block"), (2, "net/", "allow"), (3, "net/abc/d", "block")]
+    assert time.time() - start < 30
+
+
+def test_too_many_languages_are_refused_before_they_are_counted(spark):
+    rows = spark.createDataFrame([(i, "text", f"l{i}") for i in range(50)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="50 languages"):
+        language.fit(rows, max_bytes=1 << 20)
