@@ -38,6 +38,13 @@ def capped(df: DataFrame, group: str, order: Sequence[Column | str], limit: int)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def quota(df: DataFrame, group: str, order: Sequence[Column | str], each: int, total: int) -> DataFrame:
+    """At most ``total`` rows: the best ``each`` of every group first, then, where groups have fewer, the best of what is left of the others."""
+    best = capped(df, group, order, total)  # no group gives more
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return best.withColumn("_over", (rank > each).cast("int")).orderBy("_over", *order).limit(total).drop("_over")
+
+
 def fences(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """Tukey fences by group, with exact linear percentiles."""
     q = exact_quantiles(df, group, value, (0.25, 0.75))

@@ -173,11 +173,12 @@ def check_partitions(metas: Sequence[dict], same: Sequence[str]) -> None:
             raise ValueError(f"missing partitions for {source}: expected {n}, found {sorted(seen)}")
 
 
-def merged(samples: DataFrame, drop_conflicts: bool = False, drop_uids: DataFrame | None = None, keep_singletons: bool = False, speaker: str = "speaker") -> tuple[DataFrame, dict]:
+def merged(samples: DataFrame, drop_conflicts: bool = False, drop_uids: DataFrame | None = None, keep_singletons: bool = False, speaker: str = "speaker", split_map: DataFrame | None = None, vector: str | None = None) -> tuple[DataFrame, dict]:
     """Samples of all partitions as one catalogue, and what went: copies by digest (first wins), conflicting copies, dropped ids, single speakers.
 
     ``samples`` has uid, digest, speaker, text, split and a unique ``arrival``. One uid with two digests, a copy with other labels (unless
-    ``drop_conflicts``) and a speaker in two splits are errors.
+    ``drop_conflicts``) and a speaker in two splits are errors. ``split_map`` (the speaker's column and ``mapped``) gives speakers another split first;
+    with ``vector`` the report has count, mean and deviation of each channel over the train rows that are left, from sums that add up.
     """
     samples = cut(samples)
     clash = samples.groupBy("uid").agg(F.count_distinct("digest").alias("n")).filter("n > 1").select("uid").first()
@@ -191,6 +192,11 @@ def merged(samples: DataFrame, drop_conflicts: bool = False, drop_uids: DataFram
     if conflicts and not drop_conflicts:
         raise ValueError(f"duplicate content has inconsistent labels: {named.filter('not _same').first()['uid']}")
     kept = named.filter("_first").drop("_first", "_same")
+    moved = 0
+    if split_map is not None:
+        kept = cut(kept.join(split_map.select(speaker, "mapped"), speaker, "left"))
+        moved = kept.filter("mapped != split").count()
+        kept = kept.withColumn("split", F.coalesce("mapped", "split")).drop("mapped")
     divided = kept.groupBy(speaker).agg(F.count_distinct("split").alias("n")).filter("n > 1").first()
     if divided:
         raise ValueError(f"speaker appears across splits: {divided[0]}")
@@ -203,7 +209,30 @@ def merged(samples: DataFrame, drop_conflicts: bool = False, drop_uids: DataFram
         kept = kept.join(many, speaker, "left_semi")
     kept = cut(kept)
     n = kept.count()
-    return kept, {"duplicates": named.count() - before - conflicts, "conflicts": conflicts, "dropped": before - after_drop, "singletons": after_drop - n, "samples": n}
+    report = {"duplicates": named.count() - before - conflicts, "conflicts": conflicts, "dropped": before - after_drop, "singletons": after_drop - n, "samples": n, "reassigned": moved}
+    if vector:
+        sums = channel_sums(kept.filter("split = 'train'"), vector).orderBy("channel").collect()  # a row a channel
+        report["channels"] = [(r["n"], r["s"] / r["n"], max(max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0) ** 0.5, 1e-6)) for r in sums]
+    return kept, report
+
+
+def cleaned(side: DataFrame, kept: DataFrame, uid: str) -> tuple[DataFrame, int]:
+    """Rows of a side table whose sample is still there, and how many went."""
+    rows = cut(side.join(kept.select(uid), uid, "left_semi"))
+    return rows, side.count() - rows.count()
+
+
+def side_store(parts: Sequence[tuple[DataFrame, dict]], same: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Parts of a side store (table, metadata) as one table. Incomplete or missing parts, parts made with other settings, and a key that two parts have are errors."""
+    check_partitions([meta for _, meta in parts], same)
+    store = parts[0][0]
+    for part, _ in parts[1:]:
+        store = store.unionByName(part)
+    store = cut(store)
+    twice = store.groupBy(*keys).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"two parts have {tuple(twice)[: len(keys)]}")
+    return store
 
 
 def build_manifest(candidates: DataFrame, metadata: Sequence[tuple[str, Column]], measured: Sequence[tuple[str, Column]], rate: str, keep: Column | None = None, cap: tuple[str, int] | None = None, k: float = 1.5) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,13 @@ def overlaps(df: DataFrame, key: str, uid: str, start: str, end: str, width: flo
     return met.filter(F.col("_bin") == F.floor(F.greatest("_s1", "_s2") / width)).select(key, "left_id", "right_id")
 
 
+def checked_overlaps(df: DataFrame, key: str, uid: str, start: str, end: str, width: float) -> tuple[DataFrame, DataFrame]:
+    """Rows whose interval is none (a bound missing, not finite, before 0, or an end that is not after the start), and the overlapping pairs of the others."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    ok = F.coalesce(finite(start) & finite(end) & (F.col(start) >= 0) & (F.col(end) > F.col(start)), F.lit(False))
+    return df.filter(~ok), overlaps(df.filter(ok), key, uid, start, end, width)
+
+
 def islands(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Merged intervals of each key, as start and end; touching ones merge."""
     order = Window.partitionBy(key).orderBy(start, end)

@@ -60,20 +60,27 @@ def two_key_dedup(spark, sf):
     return P.first_of_two(rows, "uid", "digest", "doc_id").select("doc_id", "duplicate")
 
 
-MERGED = """m AS (SELECT doc_id, source, lang, sha256(coalesce(text, '')) AS digest, doc_id % 4 AS part FROM documents), a AS (SELECT *, row_number() OVER (ORDER BY part, doc_id) AS arrival FROM m),
+MERGED = f"""m AS (SELECT doc_id, source, lang, n_chars, CASE WHEN lang = 'de' THEN 'test' ELSE 'train' END AS split, {HASH.format("'3:' || source || '/' || lang")} < 0.3 AS moves, sha256(coalesce(text, '')) AS digest, doc_id % 4 AS part FROM documents), a AS (SELECT *, row_number() OVER (ORDER BY part, doc_id) AS arrival FROM m),
 f AS (SELECT *, first_value(source || '/' || lang) OVER w AS fl, row_number() OVER w AS k FROM a WINDOW w AS (PARTITION BY digest ORDER BY arrival)),
-c AS (SELECT * FROM f WHERE k = 1), d AS (SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), s AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n FROM d)"""
+c AS (SELECT * FROM f WHERE k = 1), d AS (SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), s AS (SELECT *, count(*) OVER (PARTITION BY source, lang) AS n FROM d),
+t AS (SELECT n_chars::DOUBLE AS v FROM s WHERE n >= 2 AND split = 'train' AND NOT moves)"""
 
 
 @query(f"""WITH {MERGED} SELECT (SELECT count(*) FROM f WHERE k > 1 AND source || '/' || lang = fl) AS duplicates, (SELECT count(*) FROM f WHERE source || '/' || lang <> fl) AS conflicts,
-(SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS dropped, (SELECT count(*) FROM s WHERE n < 2) AS singletons, (SELECT count(*) FROM s WHERE n >= 2) AS samples""")
+(SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS dropped, (SELECT count(*) FROM s WHERE n < 2) AS singletons, (SELECT count(*) FROM s WHERE n >= 2) AS samples,
+(SELECT count(*) FROM c WHERE moves AND split <> 'val') AS reassigned, (SELECT count(*) FROM t) AS train_rows, (SELECT round(avg(v), 6) FROM t) AS train_mean, (SELECT round(stddev_pop(v), 4) FROM t) AS train_std, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE n >= 2)) AS orphans""")
 def merge_report(spark, sf):
-    """Four partitions merged in order: copies, conflicting copies, dropped ids, single speakers, what is left."""
+    """Four partitions merged in order: copies, conflicting copies, dropped ids, single speakers, what is left; splits by a map, statistics of train rows, side rows that lost their sample."""
     speaker = F.concat_ws("/", "source", "lang")
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), speaker.alias("speaker"), F.lit("").alias("text"), F.lit("train").alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct((F.col("doc_id") % 4).alias("part"), "doc_id").alias("arrival"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), speaker.alias("speaker"), F.lit("").alias("text"), F.when(F.col("lang") == "de", "test").otherwise("train").alias("split"), F.array(F.col("n_chars").cast("double")).alias("z"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct((F.col("doc_id") % 4).alias("part"), "doc_id").alias("arrival"))
     drop = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("uid"))
-    _, gone = P.merged(rows, True, drop)
-    return spark.createDataFrame([tuple(gone[c] for c in ("duplicates", "conflicts", "dropped", "singletons", "samples"))], "duplicates long, conflicts long, dropped long, singletons long, samples long")
+    names = rows.select("speaker").distinct()
+    moves = names.filter(hash01(F.lit("3"), "speaker") < 0.3).withColumn("mapped", F.lit("val"))
+    kept, gone = P.merged(rows, True, drop, split_map=moves, vector="z")
+    _, orphans = P.cleaned(table(spark, sf, "labels").withColumnRenamed("doc_id", "uid"), kept, "uid")
+    n, mean, std = gone["channels"][0]
+    counts = ("duplicates", "conflicts", "dropped", "singletons", "samples", "reassigned")
+    return spark.createDataFrame([(*(gone[c] for c in counts), n, round(mean, 6), round(std, 4), orphans)], ", ".join(f"{c} long" for c in counts) + ", train_rows long, train_mean double, train_std double, orphans long")
 
 
 MANIFEST = rf"""c AS (SELECT doc_id AS id, source, text, n_chars, n_chars / 15.0::DOUBLE AS seconds, (doc_id % 23) * 1000 AS bandwidth, n_chars::DOUBLE / greatest(len(string_split(text, ' ')), 1) AS rate FROM documents WHERE {HASH.format("'0:' || doc_id")} < 0.8),

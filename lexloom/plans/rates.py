@@ -114,3 +114,33 @@ SELECT count(*) AS n, sum(w::DOUBLE * w) AS xx, sum(w)::DOUBLE AS x, sum(w * y)
 def ridge_normal_equations(spark, sf):
     f = table(spark, sf, "documents").select(F.ln(F.col("n_chars") + 1).alias("y"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("w"))
     return f.agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("w")).alias("xx"), F.sum("w").alias("x"), F.sum(F.col("w") * F.col("y")).alias("xy"), F.sum("y").alias("y"))
+
+
+YIELD = """s AS (SELECT d.doc_id, d.source, d.n_chars / 36000.0::DOUBLE AS hours, l.quality, (d.doc_id * 7 % 10) / 10.0::DOUBLE AS error FROM documents d LEFT JOIN labels l USING (doc_id)),
+g AS (SELECT * FROM (VALUES (0), (1)) a(least), (VALUES (0.2), (0.5), (0.9)) b(most))"""
+
+
+@query(f"""WITH {YIELD}, k AS (SELECT source, count(*) AS clips, sum(hours) AS hours, quantile_cont(hours, 0.5) AS median FROM s GROUP BY 1)
+SELECT 'grid' AS part, least || '/' || most::DOUBLE AS name, round(coalesce(sum(hours) FILTER (WHERE quality >= least AND error <= most), 0), 6) AS hours, round(coalesce(sum(hours) FILTER (WHERE quality >= least AND error <= most), 0) / sum(hours), 6) AS share,
+count(DISTINCT CASE WHEN quality >= least AND error <= most THEN source END) AS speakers, NULL::DOUBLE AS median FROM s, g GROUP BY least, most
+UNION ALL SELECT 'unscored', 'all', round(coalesce(sum(hours) FILTER (WHERE quality IS NULL), 0), 6), round(coalesce(sum(hours) FILTER (WHERE quality IS NULL), 0) / sum(hours), 6), count(DISTINCT CASE WHEN quality IS NULL THEN source END), NULL FROM s
+UNION ALL (SELECT 'program', source, round(hours, 6), round(hours / (SELECT sum(hours) FROM s), 6), clips, round(median, 9) FROM k ORDER BY k.hours DESC, source LIMIT 30)""")
+def filter_yield(spark, sf):
+    """One report of what thresholds keep: samples with their scores, hours, share and speakers for each pair of thresholds, what has no score, and the largest programs with their medians."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    s = d.select("source", (F.col("n_chars") / 36000.0).alias("hours"), "quality", (F.col("doc_id") * 7 % 10 / 10.0).alias("error"))
+    small = s.groupBy("source", "quality", "error").agg(F.sum("hours").alias("hours"))
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("least"), F.lit(b).alias("most")) for a in (0, 1) for b in (0.2, 0.5, 0.9))))
+    each = small.withColumn("g", grid).select("source", "quality", "hours", "error", "g.least", "g.most")
+
+    def kept(ok):
+        hours = F.coalesce(F.sum(F.when(ok, F.col("hours"))), F.lit(0.0))
+        return F.round(hours, 6).alias("hours"), F.round(hours / F.sum("hours"), 6).alias("share"), F.count_distinct(F.when(ok, F.col("source"))).alias("speakers"), F.lit(None).cast("double").alias("median")
+
+    cells = each.groupBy("least", "most").agg(*kept((F.col("quality") >= F.col("least")) & (F.col("error") <= F.col("most"))))
+    cells = cells.select(F.lit("grid").alias("part"), F.concat_ws("/", F.col("least").cast("string"), F.col("most").cast("string")).alias("name"), "hours", "share", "speakers", "median")
+    none = small.agg(*kept(F.col("quality").isNull())).select(F.lit("unscored").alias("part"), F.lit("all").alias("name"), "hours", "share", "speakers", "median")
+    programs = with_quantiles(s.groupBy("source").agg(F.count("*").alias("clips"), F.sum("hours").alias("hours")), s, "source", "hours", {"median": 0.5}).orderBy(F.desc("hours"), "source").limit(30)
+    total = F.broadcast(s.agg(F.sum("hours").alias("total")))  # one row
+    programs = programs.join(total).select(F.lit("program").alias("part"), F.col("source").alias("name"), F.round("hours", 6).alias("hours"), F.round(F.col("hours") / F.col("total"), 6).alias("share"), F.col("clips").alias("speakers"), F.round("median", 9).alias("median"))
+    return cells.unionByName(none).unionByName(programs)

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.expr import hash01, split_of
+from lexloom.functions import reading as R
 from lexloom.functions.specs import split_key
 from lexloom.operators import splits as S
+from lexloom.operators.curate import quota
 from lexloom.operators.order import places
+from lexloom.operators.prepare import side_store
+from lexloom.operators.ranges import checked_overlaps
 from lexloom.plans.curation import HASH, SPLIT
+from lexloom.plans.reading import _spoken
 from lexloom.plans.registry import query, table
 
 SPLIT_OF = "CASE WHEN {0} < 0.01 THEN 'test' WHEN {0} < 0.02 THEN 'val' ELSE 'train' END"
@@ -113,18 +118,23 @@ def clipped_union_ratio(spark, sf):
     return islands(x, "user_id", "s", "e").groupBy("user_id").agg(F.round(F.sum(F.col("e") - F.col("s")) / 604800.0, 9).alias("ratio"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, {SPLIT} AS split, sha256(coalesce(text, '')) AS digest, n_chars FROM documents), l AS (SELECT source FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1), g AS (SELECT digest, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1)
-SELECT 'rows' AS finding, count(*)::BIGINT AS n FROM d UNION ALL SELECT 'speakers', count(DISTINCT source) FROM d UNION ALL SELECT 'speakers_across_splits', count(*) FROM l UNION ALL SELECT 'duplicate_groups', count(*) FROM g
+@query(f"""WITH d AS (SELECT doc_id, source, {SPLIT} AS split, sha256(coalesce(text, '')) AS digest, n_chars FROM documents), l AS (SELECT source FROM d GROUP BY 1 HAVING count(DISTINCT split) > 1), g AS (SELECT digest, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1),
+v AS (SELECT user_id, event_id, CASE WHEN event_id % 83 = 0 THEN -1.0 WHEN event_id % 89 = 0 THEN 'nan'::DOUBLE ELSE epoch(ts) END AS s, epoch(ts) + 3600 * floor(value) AS e FROM events),
+w AS (SELECT *, coalesce(isfinite(s) AND isfinite(e) AND s >= 0 AND e > s, false) AS ok FROM v)
+SELECT 'rows' AS finding, count(*)::BIGINT AS n FROM d UNION ALL SELECT 'broken_intervals', count(*) FROM w WHERE NOT ok UNION ALL SELECT 'overlapping_pairs', count(*) FROM w a JOIN w b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e AND a.ok AND b.ok UNION ALL SELECT 'speakers', count(DISTINCT source) FROM d UNION ALL SELECT 'speakers_across_splits', count(*) FROM l UNION ALL SELECT 'duplicate_groups', count(*) FROM g
 UNION ALL SELECT 'duplicate_rows', coalesce(sum(n), 0)::BIGINT FROM g UNION ALL SELECT 'invalid_intervals', count(*) FROM d WHERE n_chars IS NULL OR n_chars <= 0 OR n_chars % 97 = 0 UNION ALL SELECT 'unlabelled', count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def audit_report(spark, sf):
-    """One report: rows, speakers, leakage across splits, duplicates, invalid intervals, rows without a label."""
+    """One report: rows, speakers, leakage across splits, duplicates, invalid lengths, rows without a label, broken intervals of recordings and pairs that overlap."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", split_of(F.col("doc_id")).alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     bad = F.col("n_chars").isNull() | (F.col("n_chars") <= 0) | (F.col("n_chars") % 97 == 0)
     lone = d.join(table(spark, sf, "labels").select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
     one = lone.agg(F.count("*").alias("rows"), F.count_distinct("source").alias("speakers"), F.count_if(bad).alias("invalid_intervals"), F.count_if(F.col("has").isNull()).alias("unlabelled"))
     across = d.groupBy("source").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("speakers_across_splits"))
     twice = d.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").agg(F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("k"), F.lit(0)).alias("duplicate_rows"))
-    row = one.crossJoin(across).crossJoin(twice)  # one row each
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    s = F.when(F.col("event_id") % 83 == 0, -1.0).when(F.col("event_id") % 89 == 0, float("nan")).otherwise(start)
+    broken, pairs = checked_overlaps(table(spark, sf, "events").select("user_id", "event_id", s.alias("s"), (start + 3600 * F.floor("value")).alias("e")), "user_id", "event_id", "s", "e", 24 * 3600.0)
+    row = one.crossJoin(across).crossJoin(twice).crossJoin(broken.agg(F.count("*").alias("broken_intervals"))).crossJoin(pairs.agg(F.count("*").alias("overlapping_pairs")))  # one row each
     return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("finding"), F.col(c).cast("bigint").alias("n")) for c in row.columns))))
 
 
@@ -157,25 +167,35 @@ def circular_partners(spark, sf):
     return S.circular_partner(table(spark, sf, "conversations"), "conv_id", "turn", 5)
 
 
-@query(f"""WITH e AS (SELECT source, doc_id, epoch, {HASH.format("'31:' || epoch || ':' || doc_id")} AS u, {HASH.format("'32:' || epoch || ':' || doc_id")} AS v FROM documents, range(0, 2) t(epoch))
-SELECT doc_id, epoch, u < 0.3 AS crossed, CASE WHEN v < 0.25 THEN 900 WHEN v < 0.75 THEN 1000 ELSE 1100 END AS tempo, floor(u * 10)::BIGINT AS tail_frames FROM e""")
+@query(f"""WITH e AS (SELECT source, doc_id, epoch, {HASH.format("'31:' || epoch || ':' || doc_id")} AS u, {HASH.format("'32:' || epoch || ':' || doc_id")} AS v FROM documents, range(0, 2) t(epoch)),
+h AS (SELECT source, doc_id, epoch, {HASH.format("epoch || ':' || source || ':' || doc_id")} AS h FROM documents, range(0, 2) t(epoch)),
+k AS (SELECT *, lead(doc_id) OVER w AS nx, first_value(doc_id) OVER w AS head FROM h WINDOW w AS (PARTITION BY epoch, source ORDER BY h, doc_id)),
+c AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents)
+SELECT e.doc_id, epoch, u < 0.3 AS crossed, CASE WHEN u < 0.3 THEN nullif(coalesce(nx, head), e.doc_id) END AS partner, CASE WHEN v < 0.25 THEN 900 WHEN v < 0.75 THEN 1000 ELSE 1100 END AS tempo, floor(u * 10)::BIGINT AS tail_frames,
+CASE WHEN v >= 0.5 THEN before END AS context FROM e JOIN k USING (doc_id, epoch) JOIN c USING (doc_id)""")
 def epoch_plan(spark, sf):
-    """What each row gets in each epoch, as a pure function of seed, epoch and row: cross prompt, tempo, tail silence."""
+    """What each row gets in each epoch, as a pure function of seed, epoch and row: whether its prompt is crossed and with which other row of its source, tempo, tail silence, and the row before it as context."""
     e = table(spark, sf, "documents").select("doc_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"))
     u, v = (hash01(F.lit(s), F.col("epoch").cast("string"), F.col("doc_id").cast("string")) for s in ("31", "32"))
-    return e.select("doc_id", "epoch", (u < 0.3).alias("crossed"), F.when(v < 0.25, 900).when(v < 0.75, 1000).otherwise(1100).alias("tempo"), F.floor(u * 10).alias("tail_frames"))
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    partners = [S.circular_partner(d, "source", "doc_id", k).select("doc_id", "partner", F.lit(k).cast("long").alias("epoch")) for k in range(2)]
+    before = d.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("before"))
+    e = e.join(partners[0].unionByName(partners[1]), ["doc_id", "epoch"], "left").join(before, "doc_id")
+    return e.select(
+        "doc_id", "epoch", (u < 0.3).alias("crossed"), F.when(u < 0.3, F.col("partner")).alias("partner"), F.when(v < 0.25, 900).when(v < 0.75, 1000).otherwise(1100).alias("tempo"), F.floor(u * 10).alias("tail_frames"),
+        F.when(v >= 0.5, F.col("before")).alias("context"),
+    )
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS k FROM conversations WHERE length(text) BETWEEN 40 AND 900 AND NOT regexp_matches(text, '\\d')),
-x AS (SELECT * FROM p WHERE k = 1 AND text NOT IN (SELECT text FROM benchmark)), q AS (SELECT *, conv_id % 2 AS gender, row_number() OVER (PARTITION BY conv_id % 2 ORDER BY length(text) DESC, conv_id) AS r FROM x)
-SELECT conv_id, turn, gender FROM q WHERE r <= 5""")
+x AS (SELECT * FROM p WHERE k = 1 AND text NOT IN (SELECT text FROM benchmark)), q AS (SELECT *, (conv_id % 7 = 0)::INT AS gender, row_number() OVER (PARTITION BY conv_id % 7 = 0 ORDER BY length(text) DESC, conv_id) AS r FROM x)
+SELECT conv_id, turn, gender FROM q ORDER BY r > 20, length(text) DESC, conv_id LIMIT 40""")
 def prompt_set(spark, sf):
-    """Prompts of bounded length without digits or held-out text: the longest of each speaker, then an equal number of each gender."""
+    """Prompts of bounded length without digits or held-out text: the longest of each speaker, then an equal number of each gender, with the other one where one has too few."""
     c = table(spark, sf, "conversations").withColumn("n", F.length("text")).filter(F.col("n").between(40, 900) & ~F.col("text").rlike(r"\d"))
     best = c.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text", "n"), F.struct("n", -F.col("turn"))).alias("b")).select("conv_id", "b.*")
-    free = best.join(table(spark, sf, "benchmark").select("text"), "text", "left_anti").withColumn("gender", F.col("conv_id") % 2)
-    r = F.row_number().over(Window.partitionBy("gender").orderBy(F.desc("n"), "conv_id"))
-    return free.withColumn("r", r).filter("r <= 5").select("conv_id", "turn", "gender")
+    free = best.join(table(spark, sf, "benchmark").select("text"), "text", "left_anti").withColumn("gender", (F.col("conv_id") % 7 == 0).cast("int"))
+    return quota(free, "gender", [F.desc("n"), "conv_id"], 20, 40).select("conv_id", "turn", "gender")
 
 
 @query("""WITH s AS (SELECT vec_id, label, vec_id % 3 AS part FROM embeddings WHERE vec_id % 17 <> 3), w AS (SELECT vec_id, t.tempo FROM embeddings, (VALUES (900), (1000)) t(tempo)), u AS (SELECT vec_id, part, 'part-' || part || '/' || vec_id AS path FROM s)
@@ -184,16 +204,17 @@ def merged_side_store(spark, sf):
     """Parts of a side store united with their paths, against all keys of the split; what is missing has no path."""
     v = table(spark, sf, "embeddings")
     parts = [v.filter((F.col("vec_id") % 3 == p) & (F.col("vec_id") % 17 != 3)).select("vec_id", F.concat(F.lit(f"part-{p}/"), F.col("vec_id").cast("string")).alias("path")) for p in range(3)]
-    store = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    metas = [{"complete": True, "partition": p, "partitions": 3, "source": "embeddings", "dims": 64} for p in range(3)]
+    store = side_store(list(zip(parts, metas, strict=True)), ["dims"], ["vec_id"])
     wanted = v.select("vec_id", F.explode(F.array(F.lit(900), F.lit(1000))).alias("tempo"))
     return wanted.join(store, "vec_id", "left")
 
 
-@query("""WITH o AS (SELECT doc_id, source, coalesce(text, '') AS before, trim(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g')) AS after FROM documents), k AS (SELECT *, CASE WHEN after = '' THEN 'rejected' WHEN after <> before THEN 'changed' ELSE 'same' END AS state FROM o),
+@query(f"""WITH o AS (SELECT doc_id, source, coalesce(text, '') AS before, {_spoken("coalesce(text, '')")} AS after FROM documents), k AS (SELECT *, CASE WHEN after = '' THEN 'rejected' WHEN after <> before THEN 'changed' ELSE 'same' END AS state FROM o),
 n AS (SELECT source, count(*) FILTER (WHERE state <> 'rejected') AS left_over FROM k GROUP BY 1) SELECT source, state, count(*) AS n, any_value(left_over) < 2 AS single FROM k JOIN n USING (source) GROUP BY ALL""")
 def renormalize_report(spark, sf):
-    """A catalogue under a new text version: unchanged, changed and rejected rows by speaker, and speakers left with one."""
-    o = table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("before")).withColumn("after", F.trim(F.regexp_replace("before", r"[ \t]+", " ")))
+    """A catalogue under a new text version, in which all is spelt out: unchanged, changed and rejected rows by speaker, and speakers left with one."""
+    o = table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("before")).withColumn("after", R.spoken(F.col("before")))
     k = o.withColumn("state", F.when(F.col("after") == "", "rejected").when(F.col("after") != F.col("before"), "changed").otherwise("same"))
     counts = k.groupBy("source", "state").agg(F.count("*").alias("n"))
     left = counts.groupBy("source").agg((F.sum(F.when(F.col("state") != "rejected", F.col("n")).otherwise(0)) < 2).alias("single"))

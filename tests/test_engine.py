@@ -16,6 +16,7 @@ from lexloom.operators import compare as C
 from lexloom.operators import curate, graph
 from lexloom.operators import intervals as I
 from lexloom.operators import prepare as P
+from lexloom.operators import ranges as I_ranges
 from lexloom.operators import splits as S
 from lexloom.operators import vectors as V
 from lexloom.plans import catalogue
@@ -91,7 +92,7 @@ def test_prepare_and_merge(spark, tmp_path):
         P.not_empty(spark.range(0), "x")
     both = spark.read.parquet(f"{tmp_path}/p0/samples", f"{tmp_path}/p1/samples")
     merged, gone = P.merged(both, drop_uids=spark.createDataFrame([("u0",)], "uid string"))
-    assert gone == {"duplicates": 0, "conflicts": 0, "dropped": 1, "singletons": 0, "samples": both.count() - 1} == gone | {"samples": merged.count()}
+    assert gone == {"duplicates": 0, "conflicts": 0, "dropped": 1, "singletons": 0, "samples": both.count() - 1, "reassigned": 0} == gone | {"samples": merged.count()}
     twice = both.unionByName(both.withColumn("uid", F.concat("uid", F.lit("x"))).withColumn("arrival", F.col("arrival") + 1000))
     assert P.merged(twice)[1]["duplicates"] == both.count()
     first = both.first()
@@ -366,3 +367,29 @@ def test_selected_over_frames(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {r["g"]: r["k"] for r in got} == {g: max((k for h, k, _ in rows if h == g), key=lambda k: ((g * 7 + k * 5) % 11, -k)) for g in range(50)}
+
+
+def test_side_stores_refuse(spark):
+    part = lambda *ids: spark.createDataFrame([(i,) for i in ids], "k long")
+    meta = lambda p, **more: {"complete": True, "partition": p, "partitions": 2, "source": "x", "dims": 4, **more}
+    assert P.side_store([(part(1, 2), meta(0)), (part(3), meta(1))], ["dims"], ["k"]).count() == 3
+    for parts, what in (
+        ([(part(1), meta(0))], "missing"), ([(part(1), meta(0)), (part(2), meta(1, complete=False))], "incomplete"),
+        ([(part(1), meta(0)), (part(2), meta(1, dims=8))], "incompatible"), ([(part(1), meta(0)), (part(1), meta(1))], "two parts have"),
+    ):
+        with pytest.raises(ValueError, match=what):
+            P.side_store(parts, ["dims"], ["k"])
+
+
+def test_quota_backfills(spark):
+    df = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(12)], "i long, g string")
+    got = {r["i"] for r in curate.quota(df, "g", ["i"], 4, 8).collect()}
+    assert got == {0, 1, 2, 3, 4, 5, 6, 7}
+    assert {r["i"] for r in curate.quota(df, "g", ["i"], 2, 4).collect()} == {0, 1, 3, 4}
+
+
+def test_broken_intervals(spark):
+    rows = [(1, 1, 0.0, 5.0), (1, 2, 4.0, 6.0), (1, 3, 5.0, 7.0), (1, 4, -1.0, 2.0), (1, 5, 3.0, 3.0), (1, 6, float("nan"), 3.0), (1, 7, 1.0, float("inf")), (1, 8, None, 2.0), (2, 9, 0.0, 9.0)]
+    broken, pairs = I_ranges.checked_overlaps(spark.createDataFrame(rows, "k long, u long, s double, e double"), "k", "u", "s", "e", 2.0)
+    assert {r["u"] for r in broken.collect()} == {4, 5, 6, 7, 8}
+    assert {(r["left_id"], r["right_id"]) for r in pairs.collect()} == {(1, 2), (2, 3)}
