@@ -17,6 +17,7 @@ ordinary; an empty table gives an empty result; one pre-token may be a whole tex
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -65,32 +66,40 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
-    rank = [get(piece[i : i + 2], -1) for i in range(n)]  # of the pair that starts here, -1: none; the last byte alone is no pair
-    rank[-1] = -1
-    after, before = range(1, n + 1), range(-1, n - 1)
+    after, before, rank = range(1, n + 1), range(-1, n - 1), [-1] * n  # rank: of the pair that starts here, -1: none
     after, before, rank = (list(after), list(before), rank) if n < 4096 else (array("q", after), array("q", before), array("q", rank))
     buckets: dict[int, list[int]] = {}
     lower: dict[int, int] = {}
     upper = 0
-    for i, r in enumerate(rank):
-        if r >= 0:
+    for i in range(n - 1):
+        r = get(piece[i : i + 2])
+        if r is not None:
+            rank[i] = r
             if r in buckets:
                 buckets[r].append(i)
             else:
                 buckets[r] = [i]
                 word = r >> 8
-                lower[word] = lower.get(word, 0) | BIT[r & 255]
-                upper |= 1 << word
+                if word in lower:
+                    lower[word] |= BIT[r & 255]
+                else:
+                    lower[word] = BIT[r & 255]
+                upper |= BIT[word] if word < 256 else 1 << word
     while upper:
         word = (upper & -upper).bit_length() - 1
         bits = lower[word]
         first = bits & -bits
         r = word << 8 | first.bit_length() - 1
-        lower[word] = bits ^ first
         if bits == first:
-            upper ^= 1 << word
+            del lower[word]
+            upper &= upper - 1
+        else:
+            lower[word] = bits ^ first
         positions = buckets.pop(r)
-        if len(positions) > 1:
+        if len(positions) == 1:
+            if rank[positions[0]] != r:
+                continue  # stale
+        else:
             positions.sort()
         for at, i in enumerate(positions):
             if rank[i] != r:
@@ -111,7 +120,7 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
                         buckets[new] = [i]
                         word = new >> 8
                         lower[word] = lower.get(word, 0) | BIT[new & 255]
-                        upper |= 1 << word
+                        upper |= BIT[word] if word < 256 else 1 << word
             if p >= 0:
                 rank[p] = new = get(piece[p:k], -1)
                 if new >= 0:
@@ -122,11 +131,11 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
                         buckets[new] = [p]
                         word = new >> 8
                         lower[word] = lower.get(word, 0) | BIT[new & 255]
-                        upper |= 1 << word
+                        upper |= BIT[word] if word < 256 else 1 << word
             if sooner and at + 1 < len(positions):  # a lesser rank has come up: it goes first
                 buckets[r] = positions[at + 1 :]
                 word = r >> 8
-                lower[word] |= BIT[r & 255]
+                lower[word] = lower.get(word, 0) | BIT[r & 255]
                 upper |= 1 << word
                 break
     ids, i = [], 0
@@ -164,7 +173,7 @@ class Coder:
 
         def of_word(s: str) -> bytes:
             """Ids of a blank and what stands between it and the next one. Pieces that are a blank and a word are remembered by the word."""
-            parts = split(" " + s)
+            parts = (s,) if s.isalpha() else split(" " + s)  # letters are one piece
             if len(parts) == 1:
                 return packed(merge(self.ranks, b" " + s.encode()))
             return b"".join(self.after_space[x[1:]] if x[0] == " " and len(x) > 1 else pieces[x] for x in parts)
@@ -177,6 +186,7 @@ class Coder:
         for b, i in self.ranks.items():
             self.lengths[i] = len(b)
         self.places = np.cumsum(self.lengths) - self.lengths
+        gc.set_threshold(100_000)  # merging makes many small lists and no cycles
         self.bytes_of = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.get)), np.uint8)
         self.ready = True
 
