@@ -1,8 +1,7 @@
-"""Splits that divide neither a voice nor an episode, held-out checks, greedy cases, round-robin pairs."""
+"""Splits that divide neither a voice nor an episode, held-out checks, round-robin pairs."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,56 +52,6 @@ def not_held_out(train: DataFrame, held: DataFrame, uid: str, speaker: str) -> D
     return by_id.unionByName(by_speaker).distinct()
 
 
-def greedy_cases(rows: DataFrame, speaker: str, uid: str, digest: str, seed: int = 0, session: str | None = None, recording: str | None = None, limit: int | None = None) -> DataFrame:
-    """speaker, uid, reference: pairs of one speaker in which no recording, no content and no stretch of a recording is used twice.
-
-    Targets come in order of a seeded hash, and each takes the free reference with the least hash for it. Content that several speakers
-    have stays with the one whose row comes first, so a speaker is a task of its own; ``recording`` (with start and end) is checked
-    inside a speaker, as are sessions. A speaker's rows are one group in memory: that is the algorithm's state.
-    """
-    order = hash01(F.lit(str(seed)), F.col(uid).cast("string"))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        spans: list[tuple] = []
-        out = []
-        pdf = pdf.sort_values(["h", "uid"])
-        items = pdf.to_dict("records")
-
-        def free(x):
-            if x["uid"] in used or ("d", x["digest"]) in used:
-                return False
-            return not (recording and any(x["rec"] == r and x["start"] < e and s < x["end"] for r, s, e in spans))
-
-        def apart(a, b):
-            if a["digest"] == b["digest"] or (session and (not a["session"] or not b["session"] or a["session"] == b["session"])):
-                return False
-            return not (recording and a["rec"] == b["rec"] and a["start"] < b["end"] and b["start"] < a["end"])
-
-        for t in items:
-            if not free(t):
-                continue
-            found = [r for r in items if r["uid"] != t["uid"] and free(r) and apart(t, r)]
-            if found:
-                r = min(found, key=lambda x: ((x["n"] * 2654435761 + t["n"] * 40503) % 4294967296, x["uid"]))
-                for x in (t, r):
-                    used.update((x["uid"], ("d", x["digest"])))
-                    if recording:
-                        spans.append((x["rec"], x["start"], x["end"]))
-                out.append((t["speaker"], t["uid"], r["uid"], t["h"]))
-        return pd.DataFrame(out, columns=["speaker", "uid", "reference", "h"])
-
-    src = rows.select(
-        F.col(speaker).alias("speaker"), F.col(uid).alias("uid"), F.col(digest).alias("digest"), order.alias("h"), F.pmod(F.xxhash64(uid), F.lit(1 << 31)).alias("n"),
-        *([F.col(session).alias("session")] if session else []), *([F.col(recording).alias("rec"), "start", "end"] if recording else []),
-    )
-    owner = src.groupBy("digest").agg(F.min_by("speaker", F.struct("h", "uid")).alias("owner"))
-    src = src.join(owner, "digest").filter(F.col("speaker") == F.col("owner")).drop("owner")
-    kind = dict(src.dtypes)
-    out = src.groupBy("speaker").applyInPandas(pick, f"speaker {kind['speaker']}, uid {kind['uid']}, reference {kind['uid']}, h double")
-    return (out.orderBy("h", "uid").limit(limit) if limit else out).drop("h")
-
-
 def round_robin(rows: DataFrame, speaker: str, uid: str, count: int, seed: int = 0) -> DataFrame:
     """speaker, uid, prompt: targets taken from the speakers in turn, each at most once; the prompt is the speaker's next row in the same order.
 

@@ -9,6 +9,7 @@ from lexloom.functions.expr import hash01, split_of
 from lexloom.functions import reading as R
 from lexloom.functions.specs import split_key
 from lexloom.operators import splits as S
+from lexloom.operators.cases import greedy_cases
 from lexloom.operators.curate import quota
 from lexloom.operators.order import places
 from lexloom.operators.prepare import side_store
@@ -65,7 +66,7 @@ def split_key_group(spark, sf):
 def make_cases(spark, sf):
     """Pairs of one speaker without reuse of a recording or its content, across sessions."""
     d = table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), (F.col("doc_id") % 7).cast("string").alias("session"))
-    return S.greedy_cases(d, "source", "doc_id", "digest", 3, session="session")
+    return greedy_cases(d, "source", "doc_id", "digest", 3, session="session")
 
 
 @query(f"""WITH h AS (SELECT source, doc_id, {HASH.format("'4:' || doc_id")} AS h FROM documents), k AS (SELECT *, row_number() OVER w AS k, lead(doc_id) OVER w AS nx, count(*) OVER (PARTITION BY source) AS n, first_value(doc_id) OVER w AS head FROM h WINDOW w AS (PARTITION BY source ORDER BY h, doc_id))

@@ -19,6 +19,7 @@ from lexloom.operators import prepare as P
 from lexloom.operators import ranges as I_ranges
 from lexloom.operators import splits as S
 from lexloom.operators import vectors as V
+from lexloom.operators.cases import greedy_cases
 from lexloom.plans import catalogue
 from lexloom.streaming import shards
 
@@ -224,20 +225,50 @@ def test_vectors_against_plain(spark):
     assert len(got) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
-def test_cases_use_nothing_twice(spark):
-    r = random.Random(5)
-    rows = [(f"s{r.randrange(5)}", i, f"d{r.randrange(70)}", f"r{r.randrange(4)}", (a := r.random() * 100), a + 5, r.choice(["m", "n", None])) for i in range(120)]
+def _cases_hold(rows, got, session=True, spans=True):
+    """Pairs are right, nothing is used twice, and no pair could be added. Rows: speaker, uid, digest, rec, start, end, session."""
     by = {x[1]: x for x in rows}
-    df = spark.createDataFrame(rows, "speaker string, uid long, digest string, rec string, start double, end double, session string")
-    got = [(g["uid"], g["reference"]) for g in S.greedy_cases(df, "speaker", "uid", "digest", 1, "session", "rec").collect()]
-    used = [u for pair in got for u in pair]
-    assert got and len(set(used)) == len(used) == len({by[u][2] for u in used})
-    for t, ref in got:
-        assert by[t][0] == by[ref][0] and by[t][6] and by[ref][6] and by[t][6] != by[ref][6]
-    for speaker in {x[0] for x in rows}:
-        spans = [by[u][3:6] for u in used if by[u][0] == speaker]
-        assert not any(a[0] == b[0] and a[1] < b[2] and b[1] < a[2] for i, a in enumerate(spans) for b in spans[:i])
-    assert S.greedy_cases(df, "speaker", "uid", "digest", 1, limit=3).count() == 3
+    meet = lambda a, b: spans and None not in (a[3], b[3]) and a[3] == b[3] and a[4] < b[5] and b[4] < a[5]
+    apart = lambda a, b: a[0] == b[0] and a[2] != b[2] and not meet(a, b) and (not session or bool(a[6] and b[6] and a[6] != b[6]))
+    used = [by[u] for pair in got for u in pair]
+    assert len({x[1] for x in used}) == len(used) == len({x[2] for x in used})
+    assert not any(meet(a, b) for i, a in enumerate(used) for b in used[:i])
+    assert all(apart(by[t], by[ref]) for t, ref in got)
+    digests = {x[2] for x in used}
+    free = [x for x in rows if x[0] and x[2] not in digests and not any(meet(x, u) for u in used)]
+    assert not any(apart(a, b) for i, a in enumerate(free) for b in free[:i])
+
+
+def test_cases_use_nothing_twice(spark):
+    kind = "speaker string, uid long, digest string, rec string, start double, end double, session string"
+    pairs = lambda d: [(g["uid"], g["reference"]) for g in d.collect()]
+    for seed in (5, 6):
+        r = random.Random(seed)
+        rows = [(r.choice(["s0", "s0", "s1", "s2", None]), i, f"d{r.randrange(70)}", r.choice(["r0", "r1", "r2", None]), (a := r.random() * 100), a + r.choice([0.01, 1, 5, 40]), r.choice(["m", "m", "m", "n", "o", None])) for i in range(120)]
+        df = spark.createDataFrame(rows, kind)
+        got = pairs(greedy_cases(df, "speaker", "uid", "digest", seed, "session", "rec"))
+        assert got
+        _cases_hold(rows, got)
+        assert sorted(got) == sorted(pairs(greedy_cases(df.repartition(7, "digest"), "speaker", "uid", "digest", seed, "session", "rec")))
+    _cases_hold(rows, pairs(greedy_cases(df, "speaker", "uid", "digest", 1)), session=False, spans=False)
+    assert greedy_cases(df, "speaker", "uid", "digest", 1, limit=3).count() == 3
+    assert greedy_cases(df.limit(0), "speaker", "uid", "digest", 1, "session", "rec").count() == 0
+
+
+def test_cases_where_few_rows_can_pair(spark):
+    kind = "speaker string, uid long, digest string, rec string, start double, end double, session string"
+    pairs = lambda d: [(g["uid"], g["reference"]) for g in d.collect()]
+    one_session = [("s", i, f"d{i}", None, None, None, "m") for i in range(200)] + [("s", 500 + i, "d3", None, None, None, "n") for i in range(3)] + [("s", 900, "x", None, None, None, "o")]
+    got = pairs(greedy_cases(spark.createDataFrame(one_session, kind), "speaker", "uid", "digest", 0, "session"))
+    _cases_hold(one_session, got)
+    assert len(got) in (1, 2)
+    # every row overlaps every other of its recording, but for one
+    heap = [("s", i, f"d{i}", "r", 0.0, 50.0 + i, "m") for i in range(70)] + [("t", 99, "q", "r", 60.0, 70.0, "m"), ("s", 100, "z", "r", 200.0, 201.0, "m")]
+    got = pairs(greedy_cases(spark.createDataFrame(heap, kind), "speaker", "uid", "digest", 0, None, "rec"))
+    _cases_hold(heap, got, session=False)
+    assert len(got) == 1
+    with pytest.raises(Exception, match="invalid source interval"):
+        greedy_cases(spark.createDataFrame([("s", 1, "d", "r", 3.0, 2.0, "m")], kind), "speaker", "uid", "digest", 0, None, "rec")
 
 
 def test_specifications(spark):
