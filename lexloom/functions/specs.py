@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.expr import let
+
 # Measures and whether more (1) or less (-1) of them is better; families of models.
 DIRECTION = {"cer": -1, "wer": -1, "dnsmos": 1, "dnsmos_sig": 1, "dnsmos_bak": 1, "utmos": 1, "sim": 1, "clip": -1}
 FAMILIES = ("whisper", "wavlm", "unispeech", "wav2vec2", "hubert", "ecapa", "titanet", "dnsmos", "utmos")
@@ -59,9 +61,26 @@ def model_family(name: str) -> str:
     return next((f for f in FAMILIES if f in name.lower()), name.lower())
 
 
-def family_of(name: Column) -> Column:
+def family_of(name: Column, families: tuple[str, ...] = FAMILIES) -> Column:
     low = F.lower(name)
-    return F.coalesce(*(F.when(low.contains(f), F.lit(f)) for f in FAMILIES), low)
+    return F.coalesce(*(F.when(low.contains(f), F.lit(f)) for f in families), low)
+
+
+def named_values(spec: Column, between: str = ",") -> Column:
+    """The parts of ``name=value,name=value`` as (name, value, problem); a part without name or value sign, or a name given twice, has a problem instead of an error."""
+
+    def of(part: Column) -> Column:
+        at = F.locate("=", part)
+        name = F.when(at > 0, F.trim(F.substring(part, F.lit(1), at - 1)))
+        return F.struct(name.alias("name"), F.when(at > 0, F.substring(part, at + 1, F.length(part))).alias("value"))
+
+    def judged(found: Column) -> Column:
+        again = lambda x: F.size(F.filter(found, lambda y: y["name"] == x["name"])) > 1
+        problem = lambda x: F.when(F.coalesce(x["name"], F.lit("")) == "", "no name").when(again(x), "repeated")
+        return F.transform(found, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), problem(x).alias("problem")))
+
+    parts = F.filter(F.split(spec, between), lambda p: F.trim(p) != "")
+    return let(F.transform(parts, of), judged)
 
 
 def split_key(label: Column, pattern: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.expr import hash01
+from lexloom.operators.graph import fit
 from lexloom.operators.order import places
 from lexloom.session import cut
 
@@ -104,36 +105,36 @@ def greedy_cases(rows: DataFrame, speaker: str, uid: str, digest: str, seed: int
         src = src.select("*", F.lit(None).cast("string").alias("rec"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
     src = src.filter("speaker is not null and uid is not null and digest is not null and session <> ''")
     rest = [c for c in src.columns if c != "uid"]
-    live = cut(src.groupBy("uid").agg(F.min(F.struct(*rest)).alias("x")).select("uid", "x.*").select(*src.columns))
+    live, left = fit(src.groupBy("uid").agg(F.min(F.struct(*rest)).alias("x")).select("uid", "x.*").select(*src.columns))
     top = None
     if recording:
         top = live.filter("rec is not null").agg(F.max(_level(F.col("start"), F.col("end")))).first()[0]
     row = F.struct("uid", "session", "digest", "rec", "start", "end")
     found, r = None, 0
-    while True:
+    while left:
         h = F.xxhash64(F.lit(seed), F.lit(r), F.col("uid"))
-        kinds = cut(live.groupBy("speaker", "session", "digest").agg(F.min_by(row, F.struct(h, "uid")).alias("x")))
+        kinds = fit(live.groupBy("speaker", "session", "digest").agg(F.min_by(row, F.struct(h, "uid")).alias("x")))[0]
         n = {k: kinds.groupBy("speaker", *k).agg(F.count("*").alias(f"n{i}")) for i, k in enumerate(((), ("session",), ("digest",)))}
         for k, counts in n.items():
             kinds = kinds.join(counts, ["speaker", *k])
         alive = kinds.filter("n0 - n1 - n2 + 1 > 0").select("speaker", "session", "digest", "x", F.xxhash64(F.lit(seed), F.lit(r), "session").alias("sh"), F.xxhash64(F.lit(seed), F.lit(r), "x.uid").alias("h"))
-        placed = cut(places(alive, "speaker", "sh", "session", "h", F.col("x.uid")))
+        placed = places(alive, "speaker", "sh", "session", "h", F.col("x.uid"))
         firsts = placed.groupBy("speaker").agg(F.min("place").alias("first"), F.floor(F.count("*") / 2).alias("k"))
         i = F.col("place") - F.col("first")
         met = placed.join(firsts, "speaker").filter(i < 2 * F.col("k")).groupBy("speaker", F.pmod(i, F.col("k")).alias("slot")).agg(F.min_by("x", "place").alias("a"), F.max_by("x", "place").alias("b"))
-        live = cut(live.join(placed.select("speaker", "session", "digest"), ["speaker", "session", "digest"], "left_semi"))
-        if live.isEmpty():
+        live, left = fit(live.join(placed.select("speaker", "session", "digest"), ["speaker", "session", "digest"], "left_semi"))
+        if not left:
             break
         key = F.struct(F.xxhash64(F.lit(seed), F.lit(r), F.col("a.uid"), F.col("b.uid")).alias("h"), F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).alias("key")
-        pairs = cut(met.filter(_apart()).select("speaker", key, "a", "b"))
+        pairs, n_pairs = fit(met.filter(_apart()).select("speaker", key, "a", "b"))
         lone = None
-        if pairs.isEmpty():
+        if not n_pairs:
             w = Window.partitionBy("speaker").orderBy(h, "uid")
             some = live.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= PROBES).select("speaker", row.alias("a"))
             tried = some.join(live.select("speaker", row.alias("b")), "speaker").groupBy("speaker", "a").agg(F.min(F.when(_apart(), F.struct(F.xxhash64(F.lit(r), F.col("b.uid")).alias("h"), F.col("b").alias("b")))).alias("m"))
             tried = cut(tried.select("speaker", "a", F.col("m.b").alias("b")))
             lone = tried.filter("b is null").select(F.col("a.uid").alias("uid"))
-            pairs = cut(tried.filter("b is not null").select("speaker", key, "a", "b"))
+            pairs = fit(tried.filter("b is not null").select("speaker", key, "a", "b"))[0]
         taken = cut(_without_conflict(pairs, top).select("speaker", "a", "b"))
         ends = taken.select(F.explode(F.array("a", "b")).alias("x"))
         live = live.join(ends.select("x.digest").distinct(), "digest", "left_anti")
@@ -142,10 +143,10 @@ def greedy_cases(rows: DataFrame, speaker: str, uid: str, digest: str, seed: int
         if top is not None:
             live = cut(live)
             live = live.join(_crossed(live, ends), "uid", "left_anti")
-        live = cut(live.select(*src.columns))
+        live, left = fit(live.select(*src.columns))
         found, r = taken if found is None else found.union(taken), r + 1
     if found is None:
-        found = pairs = live.select("speaker", row.alias("a"), row.alias("b"))
+        found = live.select("speaker", row.alias("a"), row.alias("b"))
     # the target is the row that comes first in a seeded order
     place = lambda side: F.struct(hash01(F.lit(str(seed)), F.col(f"{side}.uid").cast("string")).alias("h"), F.col(f"{side}.uid").alias("uid"))
     out = found.select("speaker", F.least(place("a"), place("b")).alias("t"), F.greatest(place("a"), place("b")).alias("p"))

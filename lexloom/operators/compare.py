@@ -1,12 +1,10 @@
-"""Comparing systems: replicates, pairs, scorer gates, key sets, gates with intervals, coverage simulation."""
+"""Comparing systems: replicates, pairs, scorer gates, key sets, gates with intervals."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,27 +98,3 @@ def gate(before: DataFrame, after: DataFrame, keys: Sequence[str], cluster: str,
     if out.filter("clusters < 2").limit(1).count():
         raise ValueError("at least two clusters are needed")
     return out.select("metric", "delta", "clusters", "low", "high")
-
-
-def coverage(spark: SparkSession, replicates: int, clusters: int, items: int, truth: float, seed: int = 0) -> DataFrame:
-    """method, covered: share of simulated corpora whose interval holds the truth. A corpus is a row; its numbers come from its own seed."""
-    quantile = I.t_quantile(0.975, clusters - 1)
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for r in frame["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                rate = np.clip(truth + 0.05 * rng.standard_normal(clusters), 0, 1)
-                den = rng.integers(5, 20, (clusters, items))
-                num = rng.binomial(den, rate[:, None]).sum(1).astype(float)
-                den = den.sum(1).astype(float)
-                leave = (num.sum() - num) / (den.sum() - den)
-                error = np.sqrt((clusters - 1) * leave.var())
-                estimate = num.sum() / den.sum()
-                draws = I.bootstrap(num, den, 200, int(r))
-                low, high = np.quantile(draws, [0.025, 0.975])
-                rows += [("jackknife_t", bool(abs(estimate - truth) <= quantile * error)), ("percentile", bool(low <= truth <= high))]
-            yield pd.DataFrame(rows, columns=["method", "hit"])
-
-    return spark.range(replicates).mapInPandas(run, "method string, hit boolean").groupBy("method").agg(F.avg(F.col("hit").cast("double")).alias("covered"), F.count("*").alias("n"))

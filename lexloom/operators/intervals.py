@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.functions.expr import hash01
+from lexloom.operators.ranks import running
+from lexloom.session import cut
+
 
 def _upper(t: float, df: int) -> float:
     """P(T > t) by Simpson's rule over the angle: T = sqrt(df) tan(a) has a density proportional to cos(a)**(df - 1)."""
@@ -62,9 +66,32 @@ def verdict(low: Column, high: Column, better: str = "higher") -> Column:
     return F.when(low.isNull() | high.isNull(), "n/a").when((low <= 0) & (high >= 0), "tie").when(gain, "win").otherwise("loss")
 
 
-def bootstrap(num: np.ndarray, den: np.ndarray, draws: int = 2000, seed: int = 0) -> np.ndarray:
-    """Ratio estimates of resampled clusters; input is one row a cluster."""
-    rng = np.random.default_rng(seed)
-    counts = np.stack([np.bincount(rng.integers(0, len(num), len(num)), minlength=len(num)) for _ in range(draws)])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (counts @ num) / (counts @ den)
+def bootstrap(sums: DataFrame, by: list[str], cluster: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """by, replicate, estimate: ratios of resampled clusters, as many clusters a replicate as the group has, with replacement.
+
+    Clusters have places in their group (by the SHA-256 of their name, in two levels, so a group of any size is spread), and each of a replicate's draws is
+    a hash, so that no task holds a group and reruns agree. The shuffle carries one small row for each draw; sums are taken before the last one.
+    """
+    name = hash01(F.lit(str(seed)), F.col(cluster).cast("string"))
+    rows = cut(running(sums.select(*by, cluster, "num", "den").withColumn("h", name), by, F.floor(F.col("h") * 1024), ["h", cluster], F.lit(1), "place"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    slots = rows.select(*by, "place").join(sizes, by).select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
+    u = hash01(F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("replicate").cast("string"), F.col("place").cast("string"))
+    drawn = slots.select(*by, "replicate", F.floor(u * F.col("n")).cast("long").alias("place"))
+    return drawn.join(rows.select(*by, "place", "num", "den"), [*by, "place"]).groupBy(*by, "replicate").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0))).alias("estimate"))
+
+
+def percentile_interval(drawn: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
+    """by, low, high: quantiles of the replicates' estimates, of which a group has as many as were drawn."""
+    q = F.percentile("estimate", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return drawn.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def covered(sums: DataFrame, corpus: str, cluster: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """method, covered, n: share of corpora (parts of one table) whose jackknife and percentile intervals hold the ratio of the whole table."""
+    sums = cut(sums)
+    whole = F.broadcast(sums.agg((F.sum("num") / F.sum("den")).alias("truth")))  # one row
+    t = interval(jackknife(sums, [corpus]), level).select(corpus, F.lit("jackknife_t").alias("method"), "low", "high")
+    p = percentile_interval(bootstrap(sums, [corpus], cluster, draws, seed), [corpus], level).select(corpus, F.lit("percentile").alias("method"), "low", "high")
+    hit = F.coalesce(F.col("truth").between(F.col("low"), F.col("high")), F.lit(False))
+    return t.union(p).crossJoin(whole).groupBy("method").agg(F.avg(hit.cast("double")).alias("covered"), F.count("*").alias("n"))

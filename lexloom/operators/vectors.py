@@ -210,3 +210,21 @@ def average_linkage(sim: np.ndarray, threshold: float) -> np.ndarray:
         alive[j] = False
         owner[owner == j] = i
     return owner
+
+
+def partial_moments(df: DataFrame, vector: str) -> DataFrame:
+    """i, j (i <= j), product, total (of i), n: each partition's sums over its vectors; vectors of one length are taken together."""
+
+    def add(frames):
+        held: dict[int, tuple] = {}
+        for frame in frames:
+            by = frame[vector].dropna()
+            for size, part in by.groupby(by.map(len)):
+                x = np.stack(part.to_list()).astype(float)
+                product, total, n = held.get(size, (0.0, 0.0, 0))
+                held[size] = (product + x.T @ x, total + x.sum(0), n + len(x))
+        for size, (product, total, n) in held.items():
+            i, j = np.triu_indices(size)
+            yield pd.DataFrame({"i": i, "j": j, "product": product[i, j], "total": total[i], "n": n}) if size else pd.DataFrame(columns=["i", "j", "product", "total", "n"])
+
+    return df.select(vector).mapInPandas(add, "i int, j int, product double, total double, n long")

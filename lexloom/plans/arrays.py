@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lexloom.functions import arrays as A
 from lexloom.functions.expr import byte_tokens, hash01, words
 from lexloom.plans.curation import HASH
+from lexloom.operators.vectors import partial_moments
 from lexloom.plans.registry import query, table
 
 D = "d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings)"
@@ -103,16 +104,15 @@ def pad_to_multiple(spark, sf):
     return word_sizes(spark, sf).select("conv_id", "turn", A.padded(F.col("a"), A.padded_cost(F.size("a"), 8).cast("int"), F.lit(0).cast("long")).alias("values"))
 
 
-@query("""WITH m AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x > -0.15) AS v, list_transform(embedding[1:8], lambda x: x > 0.1) AS r0, (vec_id % 3) AS kind FROM embeddings),
-n AS (SELECT vec_id, CASE WHEN kind = 0 THEN v ELSE list_concat([true, true, true], [false, false, false, false, false]) END AS v, CASE WHEN kind = 1 THEN r0 WHEN kind = 2 THEN list_concat([true], [false, false, false, false, false, false, false]) ELSE list_transform(r0, lambda x: false) END AS r FROM m)
-SELECT vec_id, CASE WHEN list_bool_or(list_transform(range(1, 9), lambda i: r[i] AND NOT v[i])) THEN 'reference outside valid' WHEN list_bool_or(list_transform(range(1, 8), lambda i: NOT v[i] AND v[i + 1])) THEN 'valid is no prefix'
-WHEN NOT list_bool_or(list_transform(range(1, 9), lambda i: v[i] AND NOT r[i])) THEN 'no target' END AS violation FROM n""")
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: x > -0.15) AS v, list_transform(embedding, lambda x: x > 0.1) AS r0, (vec_id % 3) AS kind, len(embedding) AS k FROM embeddings),
+n AS (SELECT vec_id, k, CASE WHEN kind = 0 THEN v ELSE list_transform(range(0, k), lambda i: i < k // 2) END AS v, CASE WHEN kind = 1 THEN r0 WHEN kind = 2 THEN list_transform(range(0, k), lambda i: i < 1 + vec_id % 40) ELSE list_transform(r0, lambda x: false) END AS r FROM m)
+SELECT vec_id, CASE WHEN list_bool_or(list_transform(range(1, k + 1), lambda i: r[i] AND NOT v[i])) THEN 'reference outside valid' WHEN list_bool_or(list_transform(range(1, k), lambda i: NOT v[i] AND v[i + 1])) THEN 'valid is no prefix'
+WHEN NOT list_bool_or(list_transform(range(1, k + 1), lambda i: v[i] AND NOT r[i])) THEN 'no target' END AS violation FROM n""")
 def mask_contract(spark, sf):
     """Masks that break a rule: reference frames are valid ones, valid frames a prefix, and one target frame is left."""
-    head = F.slice("embedding", 1, 8)
-    kind = F.pmod("vec_id", F.lit(3))
-    v = F.when(kind == 0, F.transform(head, lambda x: x.cast("double") > -0.15)).otherwise(F.array(*(F.lit(i < 3) for i in range(8))))
-    r = F.when(kind == 1, F.transform(head, lambda x: x.cast("double") > 0.1)).when(kind == 2, F.array(*(F.lit(i < 1) for i in range(8)))).otherwise(F.array_repeat(F.lit(False), 8))
+    kind, k = F.pmod("vec_id", F.lit(3)), F.size("embedding")
+    v = F.when(kind == 0, F.transform("embedding", lambda x: x.cast("double") > -0.15)).otherwise(F.transform("embedding", lambda x, i: i < F.floor(k / 2)))
+    r = F.when(kind == 1, F.transform("embedding", lambda x: x.cast("double") > 0.1)).otherwise(F.transform("embedding", lambda x, i: (kind == 2) & (i < 1 + F.pmod("vec_id", F.lit(40)))))
     return vectors(spark, sf).select("vec_id", v.alias("v"), r.alias("r")).select("vec_id", A.mask_violation(F.col("v"), F.col("r")).alias("violation"))
 
 
@@ -151,13 +151,12 @@ def teacher_slice(spark, sf):
     return vectors(spark, sf).select("vec_id", A.doubles(F.slice("embedding", at + 1, 20)).alias("frames"))
 
 
-@query("SELECT i::INT AS i, j::INT AS j, sum(list_extract(embedding, i + 1)::DOUBLE * list_extract(embedding, j + 1)::DOUBLE) AS product, sum(list_extract(embedding, i + 1)::DOUBLE) AS total, count(*) AS n FROM embeddings, range(0, 8) a(i), range(0, 8) b(j) WHERE i <= j GROUP BY 1, 2")
+@query("""WITH e AS (SELECT embedding AS v, len(embedding) AS k FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.i, b.j, v[a.i + 1]::DOUBLE AS x, v[b.j + 1]::DOUBLE AS y FROM e, range(0, 64) a(i), range(0, 64) b(j) WHERE a.i <= b.j AND b.j < k)
+SELECT i::INT AS i, j::INT AS j, round(sum(x * y), 6) AS product, round(sum(x), 6) AS total, count(*) AS n FROM p GROUP BY 1, 2""")
 def second_moments(spark, sf):
-    """Sums and products that a principal component analysis needs, of the first eight dimensions, in one row of aggregates."""
-    x = [F.col("embedding")[i].cast("double") for i in range(8)]
-    at = [(i, j) for i in range(8) for j in range(i, 8)]
-    one = vectors(spark, sf).agg(F.count("*").alias("n"), *(F.sum(v).alias(f"t{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in at))
-    return one.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("product"), F.col(f"t{i}").alias("total"), F.col("n").alias("n")) for i, j in at))))
+    """Sums and products that a principal component analysis needs, of every pair of dimensions: each partition adds up its own matrix, the shuffle joins them."""
+    sums = partial_moments(vectors(spark, sf), "embedding").groupBy("i", "j").agg(F.sum("product").alias("product"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.select("i", "j", F.round("product", 6).alias("product"), F.round("total", 6).alias("total"), "n")
 
 
 BODY = "list_transform(range(0, strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), i * 2 + 1, 2))::INT + 4)"

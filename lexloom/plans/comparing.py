@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.specs import family_of
 from lexloom.operators import compare as C
 from lexloom.operators import intervals as I
+from lexloom.plans.curation import HASH
 from lexloom.plans.registry import query, table
 
 #: Student's quantiles at 97.5 % for the degrees of freedom that occur, as rows of the SQL.
@@ -83,18 +84,33 @@ def promotion_gate(spark, sf):
     return changes.agg(F.bool_and(passed).alias("passed"), F.count("*").alias("metrics"))
 
 
-FAMILY = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{f}') THEN '{f}'" for f in ("whisper", "wavlm", "unispeech", "wav2vec2", "hubert", "ecapa", "titanet", "dnsmos", "utmos")) + " ELSE lower({0}) END"
-MODELS = "m(measure, selector, judge) AS (VALUES ('cer', 'Whisper-turbo', 'openai/whisper-large-v3'), ('dnsmos', 'DNSMOS-port', 'UTMOSv2'), ('sim', 'WavLM-large', 'microsoft/wavlm-base'), ('clip', 'peak', 'Peak'))"
+NAMES = ("widget", "gizmo", "bolt", "plate", "ring", "gear")
+FAMILY = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{f}') THEN '{f}'" for f in NAMES) + " ELSE lower({0}) END"
 
 
-@query(f"WITH {MODELS} SELECT measure, selector, judge FROM m WHERE {FAMILY.format('selector')} = {FAMILY.format('judge')}")
+@query(f"SELECT item_id, i.name AS selector, p_name AS judge FROM items i JOIN part ON item_id = p_partkey WHERE {FAMILY.format('i.name')} = {FAMILY.format('p_name')}")
 def judge_family_overlap(spark, sf):
-    """Measures that are selected and judged by models of one family."""
-    m = spark.createDataFrame([("cer", "Whisper-turbo", "openai/whisper-large-v3"), ("dnsmos", "DNSMOS-port", "UTMOSv2"), ("sim", "WavLM-large", "microsoft/wavlm-base"), ("clip", "peak", "Peak")], "measure string, selector string, judge string")
-    return m.filter(family_of(F.col("selector")) == family_of(F.col("judge")))
+    """Things that are selected and judged by models of one family; a name of no known family is a family of its own."""
+    i = table(spark, sf, "items").select("item_id", F.col("name").alias("selector"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("judge"))
+    return i.join(p, "item_id").filter(family_of(F.col("selector"), NAMES) == family_of(F.col("judge"), NAMES))
 
 
-@query()
+CORPORA = "s AS (SELECT l_partkey % 60 AS g, l_suppkey % 12 AS cluster, sum(l_discount * l_quantity) AS num, sum(l_quantity) AS den FROM lineitem GROUP BY 1, 2)"
+
+
+def drawn_sql(draws: int, key: str = "'0:' || g || ':'") -> str:
+    """The bootstrap in SQL over ``s`` (g, cluster, num, den): ``d`` (g, replicate, estimate)."""
+    u = HASH.format(key + " || b || ':' || place")
+    return f"""h AS (SELECT *, {HASH.format("'0:' || cluster")} AS h FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY h, cluster) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM h),
+k AS (SELECT g, b, floor({u} * n)::BIGINT AS pick FROM o, range({draws}) r(b)), d AS (SELECT k.g, b AS replicate, sum(num) / sum(den) AS estimate FROM k JOIN o ON o.g = k.g AND o.place = k.pick GROUP BY ALL)"""
+
+
+@query(f"""WITH {T}, {CORPORA}, {drawn_sql(200)}, a AS (SELECT sum(num) / sum(den) AS truth FROM s), l AS (SELECT g, sum(num) OVER w / sum(den) OVER w AS estimate, (sum(num) OVER w - num) / (sum(den) OVER w - den) AS leave FROM s WINDOW w AS (PARTITION BY g)),
+j AS (SELECT g, any_value(estimate) AS estimate, count(*) AS clusters, sqrt((count(*) - 1) * var_pop(leave)) AS error FROM l GROUP BY 1),
+i AS (SELECT 'jackknife_t' AS method, estimate - q * error AS low, estimate + q * error AS high FROM j LEFT JOIN t ON t.df = clusters - 1 UNION ALL SELECT 'percentile', quantile_cont(estimate, 0.025), quantile_cont(estimate, 0.975) FROM d GROUP BY g)
+SELECT method, avg(coalesce(truth BETWEEN low AND high, false)::INT) AS covered, count(*) AS n FROM i, a GROUP BY 1""")
 def interval_coverage(spark, sf):
-    """How often t and percentile intervals over clusters hold the truth, in simulated corpora; each replicate is a row of its own."""
-    return C.coverage(spark, replicates=200, clusters=12, items=6, truth=0.2)
+    """How often t and percentile intervals over clusters hold the truth: sixty parts of the table, each against the ratio of the whole."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("g"), (F.col("l_suppkey") % 12).alias("cluster"), "l_discount", "l_quantity")
+    return I.covered(I.cluster_sums(rows, ["g"], "cluster", F.col("l_discount") * F.col("l_quantity"), F.col("l_quantity")), "g", "cluster")

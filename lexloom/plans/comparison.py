@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lexloom.operators import intervals as I
-from lexloom.plans.comparing import T
+from lexloom.plans.comparing import T, drawn_sql
 from lexloom.plans.registry import query, table
 
-MOST_CLUSTERS = 1_000_000
 SUMS = "s AS (SELECT l_returnflag AS system, l_suppkey AS cluster, sum(l_discount * l_quantity) AS num, sum(l_quantity) AS den FROM lineitem GROUP BY 1, 2)"
 
 
@@ -66,18 +64,14 @@ def strata_report(spark, sf):
     return I.jackknife(sums(spark, sf, "system", "stratum"), ["system", "stratum"])
 
 
-@query()
+@query(f"""WITH {SUMS.replace('AS system', 'AS g')}, {drawn_sql(200)}, e AS (SELECT g, sum(num) / sum(den) AS estimate FROM s GROUP BY 1)
+SELECT g AS system, round(any_value(e.estimate), 9) AS estimate, round(quantile_cont(d.estimate, 0.025), 8) AS low, round(quantile_cont(d.estimate, 0.975), 8) AS high FROM d JOIN e USING (g) GROUP BY 1""")
 def bootstrap(spark, sf):
-    """Percentile intervals of resampled clusters; the draws run over one row a cluster on the driver, whose number is checked."""
-    out, rows = [], sums(spark, sf, "system")
-    if rows.count() > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters: use the jackknife")
-    table_ = rows.toPandas().sort_values(["system", "cluster"])
-    for system, part in table_.groupby("system"):
-        draws = I.bootstrap(part["num"].to_numpy(), part["den"].to_numpy())
-        low, high = np.nanquantile(draws, [0.025, 0.975])
-        out.append((system, float(part["num"].sum() / part["den"].sum()), float(low), float(high)))
-    return spark.createDataFrame(out, "system string, estimate double, low double, high double")
+    """Percentile intervals of ratios over resampled clusters, 200 replicates a system."""
+    s = sums(spark, sf, "system")
+    whole = s.groupBy("system").agg((F.sum("num") / F.sum("den")).alias("estimate"))
+    out = I.percentile_interval(I.bootstrap(s, ["system"], "cluster", 200), ["system"]).join(whole, "system")
+    return out.select("system", *(F.round(c, n).alias(c) for c, n in (("estimate", 9), ("low", 8), ("high", 8))))
 
 
 @query("""WITH v AS (SELECT l_returnflag AS system, count(DISTINCT l_linestatus) AS identities, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS names FROM lineitem GROUP BY 1)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import arrays as A
 from lexloom.functions import duration, hooks
-from lexloom.functions.specs import parse_pairs
+from lexloom.functions.specs import named_values
 from lexloom.plans.registry import query, table
 
 PAIR = "p AS (SELECT conv_id, turn, text AS t, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations), x AS (SELECT *, (length(r) * (1 + (conv_id + turn) % 9) / 3.0)::DOUBLE AS frames FROM p WHERE r IS NOT NULL AND length(r) > 0)"
@@ -87,9 +87,13 @@ def most_quantity(frame) -> int:
     return int(frame["l_quantity"].to_numpy().argmax())
 
 
-@query("SELECT 'b' AS name, '2' AS value UNION ALL SELECT 'a', '1'")
+@query(r"""WITH q AS (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages WHERE contains(url, '?')), p AS (SELECT page_id, unnest(list_filter(string_split(q, '&'), lambda x: trim(x) <> '')) AS part FROM q),
+n AS (SELECT page_id, CASE WHEN contains(part, '=') THEN trim(substr(part, 1, strpos(part, '=') - 1)) END AS name, CASE WHEN contains(part, '=') THEN substr(part, strpos(part, '=') + 1) END AS value FROM p)
+SELECT page_id, name, value, CASE WHEN coalesce(name, '') = '' THEN 'no name' WHEN count(*) OVER (PARTITION BY page_id, name) > 1 THEN 'repeated' END AS problem FROM n""")
 def parsed_specification(spark, sf):
-    return spark.createDataFrame(sorted(parse_pairs("a=1, b=2").items()), "name string, value string")
+    """The name=value specification in each page's address, with what is wrong in it."""
+    q = table(spark, sf, "pages").filter(F.col("url").contains("?")).select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("q"))
+    return q.select("page_id", F.inline(named_values(F.col("q"), "&")))
 
 
 assert len(WEIGHTS) == len(duration.FEATURES) and not any(map(math.isnan, WEIGHTS))

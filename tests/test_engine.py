@@ -127,11 +127,14 @@ def test_comparisons_refuse_and_note(spark):
 
 
 def test_interval_coverage_and_bootstrap(spark):
-    got = {r["method"]: r["covered"] for r in C.coverage(spark, 120, 12, 6, 0.2).collect()}
+    r = np.random.default_rng(4)  # parts whose clusters share one rate: intervals hold it about as often as they say
+    cells = [(g, c, float(r.binomial(60, 0.2)), 60.0) for g in range(80) for c in range(12)]
+    got = {x["method"]: x["covered"] for x in I.covered(spark.createDataFrame(cells, "g long, c long, num double, den double"), "g", "c").collect()}
     assert got["jackknife_t"] >= got["percentile"] and got["jackknife_t"] > 0.88
-    draws = I.bootstrap(np.array([4.0, 0.0]), np.array([8.0, 8.0]), 4000)
-    values, n = np.unique(draws, return_counts=True)
+    two = I.bootstrap(spark.createDataFrame([("s", 1, 4.0, 8.0), ("s", 2, 0.0, 8.0), ("one", 1, 1.0, 0.0)], "s string, c long, num double, den double"), ["s"], "c", 4000).toPandas()
+    values, n = np.unique(two[two.s == "s"].estimate, return_counts=True)
     assert values.tolist() == [0.0, 0.25, 0.5] and np.allclose(n / 4000, [0.25, 0.5, 0.25], atol=0.03)
+    assert two[two.s == "one"].estimate.isna().all() and (two.s == "one").sum() == 4000
     q = catalogue.queries()
     for r in q["bootstrap"](spark, SF).collect():
         assert r["low"] < r["estimate"] < r["high"]
@@ -239,6 +242,12 @@ def _cases_hold(rows, got, session=True, spans=True):
     assert not any(apart(a, b) for i, a in enumerate(free) for b in free[:i])
 
 
+def test_moments_of_odd_vectors(spark):
+    rows = [([1.0, 2.0],), ([3.0, 4.0],), (None,), ([5.0],), ([],)]
+    got = V.partial_moments(spark.createDataFrame(rows, "v array<double>").repartition(3), "v").groupBy("i", "j").sum("product", "total", "n").collect()
+    assert {tuple(g) for g in got} == {(0, 0, 35.0, 9.0, 3), (0, 1, 14.0, 4.0, 2), (1, 1, 20.0, 6.0, 2)}
+
+
 def test_cases_use_nothing_twice(spark):
     kind = "speaker string, uid long, digest string, rec string, start double, end double, session string"
     pairs = lambda d: [(g["uid"], g["reference"]) for g in d.collect()]
@@ -290,6 +299,9 @@ def test_specifications(spark):
         with pytest.raises(ValueError):
             specs.load(bad)
     assert specs.model_family("openai/Whisper-large") == "whisper"
+    odd = spark.createDataFrame([("a=1, b=x=y,, =3,c,a=2",), ("",), (None,)], "t string").select(specs.named_values(F.col("t")).alias("v")).collect()
+    assert [tuple(x) for x in odd[0]["v"]] == [("a", "1", "repeated"), ("b", "x=y", None), ("", "3", "no name"), (None, None, "no name"), ("a", "2", "repeated")]
+    assert odd[1]["v"] == [] and odd[2]["v"] is None
 
 
 def pool_of(settings=2):
