@@ -61,13 +61,13 @@ def group_max_cost(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", (F.length("text") + F.max(F.length("text")).over(Window.partitionBy("conv_id"))).cast("long").alias("cost"))
 
 
-@query("""WITH d AS (SELECT user_id, CASE WHEN row_number() OVER w > 10 THEN epoch(ts) - lag(epoch(ts)) OVER w END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+@query("""WITH d AS (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT user_id, quantile_cont(gap, 0.5) AS median_gap, count(gap) AS n FROM d GROUP BY 1""")
 def lag_rate_median(spark, sf):
-    """Median seconds from one update to the next; the first ten are left out, as a run warms up."""
+    """Median seconds from one update to the next, over all of them."""
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = table(spark, sf, "events").select("user_id", F.when(F.row_number().over(w) > 10, t - F.lag(t).over(w)).alias("gap"))
+    d = table(spark, sf, "events").select("user_id", (t - F.lag(t).over(w)).alias("gap"))
     return with_quantiles(d.groupBy("user_id").agg(F.count("gap").alias("n")), d, "user_id", "gap", {"median_gap": 0.5})
 
 

@@ -436,3 +436,8 @@ def test_broken_intervals(spark):
     broken, pairs = I_ranges.checked_overlaps(spark.createDataFrame(rows, "k long, u long, s double, e double"), "k", "u", "s", "e", 2.0)
     assert {r["u"] for r in broken.collect()} == {4, 5, 6, 7, 8}
     assert {(r["left_id"], r["right_id"]) for r in pairs.collect()} == {(1, 2), (2, 3)}
+
+
+def test_lag_rate_median_counts_every_gap(spark):
+    n = {x["user_id"]: x["k"] for x in spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg((F.count("*") - 1).alias("k")).collect()}
+    assert {x["user_id"]: x["n"] for x in catalogue.queries()["lag_rate_median"](spark, SF).collect()} == n
