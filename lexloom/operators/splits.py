@@ -10,6 +10,9 @@ from lexloom.functions.expr import hash01, split_of
 from lexloom.operators import graph
 from lexloom.session import cut
 
+#: Stretches of a group's seeded order that are sorted on their own.
+STRETCHES = 1024
+
 
 def joined_groups(labels: DataFrame, label: str, *keys: str) -> DataFrame:
     """label, group: labels that share any key, directly or through others, have one group (the least label).
@@ -68,11 +71,27 @@ def round_robin(rows: DataFrame, speaker: str, uid: str, count: int, seed: int =
 def circular_partner(rows: DataFrame, group: str, uid: str, seed: int, eligible: Column | None = None) -> DataFrame:
     """group, uid, partner: the next eligible row of the group in a seeded order, the first after the last, never the row itself.
 
-    One sort by group instead of a pair for every two rows.
+    Stretches of the order are sorted on their own, each row sees what comes after it as a running value from the end, and a table of
+    the stretches' first rows joins them, so that no task holds a group of any size and the work is linear.
     """
     h = hash01(F.lit(str(seed)), F.col(group).cast("string"), F.col(uid).cast("string"))
-    x = rows.select(group, uid, h.alias("h"), (F.lit(True) if eligible is None else eligible).alias("ok"))
-    ahead = Window.partitionBy(group).orderBy("h", uid).rowsBetween(1, Window.unboundedFollowing)
-    x = x.withColumn("next", F.first(F.when(F.col("ok"), F.col(uid)), ignorenulls=True).over(ahead))
-    head = x.filter("ok").groupBy(group).agg(F.min_by(uid, F.struct("h", uid)).alias("head"))
-    return x.join(head, group).select(group, uid, F.coalesce("next", "head").alias("partner")).filter(F.col("partner") != F.col(uid))
+    x = rows.select(group, uid, h.alias("h"), (F.lit(True) if eligible is None else eligible).alias("ok")).withColumn("_b", F.floor(F.col("h") * STRETCHES))
+    after = Window.partitionBy(group, "_b").orderBy(F.desc("h"), F.desc(uid)).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("next", F.last(F.when(F.col("ok"), F.col(uid)), ignorenulls=True).over(after))
+    firsts = x.groupBy(group, "_b").agg(F.min(F.when(F.col("ok"), F.struct("h", uid))).alias("first"))
+    later = Window.partitionBy(group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    head = F.coalesce(F.last("first", ignorenulls=True).over(later), F.min("first").over(Window.partitionBy(group)))[uid]
+    firsts = firsts.select(F.col(group).alias("_g"), F.col("_b").alias("_gb"), head.alias("head"))
+    met = x.join(firsts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    return met.select(group, uid, F.coalesce("next", "head").alias("partner")).filter(F.col("partner") != F.col(uid))
+
+
+def previous(rows: DataFrame, group: str, uid: str) -> DataFrame:
+    """group, uid, before: the row before each one of its group in the order of ``uid`` (a whole number), by stretches of ids and a table of their last rows."""
+    x = rows.select(group, uid, F.shiftright(F.col(uid).cast("long"), 16).alias("_b"))
+    x = x.withColumn("before", F.lag(uid).over(Window.partitionBy(group, "_b").orderBy(uid)))
+    lasts = x.groupBy(group, "_b").agg(F.max(uid).alias("last"))
+    ahead = F.lag("last").over(Window.partitionBy(group).orderBy("_b"))
+    lasts = lasts.select(F.col(group).alias("_g"), F.col("_b").alias("_gb"), ahead.alias("ahead"))
+    met = x.join(lasts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_gb")))
+    return met.select(group, uid, F.coalesce("before", "ahead").alias("before"))

@@ -180,7 +180,7 @@ def epoch_plan(spark, sf):
     u, v = (hash01(F.lit(s), F.col("epoch").cast("string"), F.col("doc_id").cast("string")) for s in ("31", "32"))
     d = table(spark, sf, "documents").select("doc_id", "source")
     partners = [S.circular_partner(d, "source", "doc_id", k).select("doc_id", "partner", F.lit(k).cast("long").alias("epoch")) for k in range(2)]
-    before = d.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("before"))
+    before = S.previous(d, "source", "doc_id").select("doc_id", "before")
     e = e.join(partners[0].unionByName(partners[1]), ["doc_id", "epoch"], "left").join(before, "doc_id")
     return e.select(
         "doc_id", "epoch", (u < 0.3).alias("crossed"), F.when(u < 0.3, F.col("partner")).alias("partner"), F.when(v < 0.25, 900).when(v < 0.75, 1000).otherwise(1100).alias("tempo"), F.floor(u * 10).alias("tail_frames"),

@@ -441,3 +441,22 @@ def test_broken_intervals(spark):
 def test_lag_rate_median_counts_every_gap(spark):
     n = {x["user_id"]: x["k"] for x in spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg((F.count("*") - 1).alias("k")).collect()}
     assert {x["user_id"]: x["n"] for x in catalogue.queries()["lag_rate_median"](spark, SF).collect()} == n
+
+
+def test_partners_and_rows_before_of_a_large_group(spark):
+    """Work that is linear in a group: 120,000 rows of one source; stretches without eligible rows and a null source among them."""
+    df = spark.range(120_000).selectExpr("id * 7 as uid", "if(id % 1000 = 0, null, 'a') as g")
+    for g, n in (("a", 119_880), (None, 120)):
+        got = S.circular_partner(df, "g", "uid", 3).filter(F.col("g").eqNullSafe(g)).toPandas()
+        step = dict(zip(got.uid, got.partner, strict=True))
+        at, seen = next(iter(step)), 0
+        while seen < n:
+            at, seen = step[at], seen + 1
+            if at == got.uid[0]:
+                break
+        assert seen == n == len(step)
+    few = S.circular_partner(df.limit(3000), "g", "uid", 3, F.col("uid") % 700 == 0)
+    assert few.filter("g = 'a' and partner % 700 != 0").isEmpty() and few.filter("g = 'a'").count() == 2997
+    before = {x["uid"]: x["before"] for x in S.previous(df, "g", "uid").filter("g = 'a'").collect()}
+    ids = sorted(before)
+    assert before == dict(zip(ids, [None, *ids[:-1]], strict=True))
