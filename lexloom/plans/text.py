@@ -71,8 +71,8 @@ def cer_wer(spark, sf):
 def word_edit_kinds(spark, sf):
     """Substituted, deleted and inserted words from each turn to the next, by role, with the corpus rate."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").select("role", "text", F.lead("text").over(w).alias("h")).filter("h is not null")
-    c = c.select("role", words(ascii_metric_text(F.col("text"))).alias("r"), words(ascii_metric_text(F.col("h"))).alias("h"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", ascii_metric_text(F.col("text")).alias("text"))
+    c = c.select("role", "text", F.lead("text").over(w).alias("h")).filter("h is not null").select("role", words(F.col("text")).alias("r"), words(F.col("h")).alias("h"))
     e = c.select("role", F.size("r").alias("words"), word_edits(F.col("r"), F.col("h")).alias("e"))
     sums = e.groupBy("role").agg(F.sum("words").alias("words"), *(F.sum(f"e.{k}").alias(k) for k in ("substitutions", "deletions", "insertions")))
     return sums.withColumn("wer", (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("words"))

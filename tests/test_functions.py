@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import expr, reading
-from lexloom.functions.alignment import edit_kinds, word_edits
+from lexloom.functions.alignment import edit_kinds, edit_kinds_of, word_edits
 from lexloom.operators import curate, intervals, quantiles, ranges
 from lexloom.operators.order import places
 
@@ -93,6 +94,18 @@ def test_word_edit_kinds(spark):
         assert got[i] == ((None, None, None) if a is None or b is None else table_edits(a, b))
 
 
+def test_edit_kinds_of_many_pairs_at_once():
+    """Pairs of unlike lengths together, in few whole-array steps: 3,000 pairs of about 60 words in far less than a millisecond each."""
+    r = np.random.default_rng(2)
+    pairs = [tuple(r.integers(0, 6, r.integers(0, 40)) for _ in "ab") for _ in range(150)]
+    got = edit_kinds_of([a for a, _ in pairs], [b for _, b in pairs])
+    assert [tuple(x) for x in got] == [tuple(table_edits(list(a), list(b))) for a, b in pairs]
+    a, b = ([r.integers(0, 50, 60) for _ in range(3000)] for _ in "ab")
+    start = time.process_time()
+    edit_kinds_of(a, b)
+    assert time.process_time() - start < 1.5
+
+
 def test_distances_of_many_distinct_words(spark):
     """20,000 distinct words, 16 of them out of place."""
     a = [f"w{i}" for i in range(20_000)]
