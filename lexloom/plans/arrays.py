@@ -167,8 +167,8 @@ SELECT conv_id, turn, list_concat([1], list_concat(r, list_concat([2], list_conc
 list_concat([1], list_concat(r, list_concat([36], list_concat(t, [3])))) AS joined FROM b""")
 def token_layouts(spark, sf):
     """A turn after the one before it: kept apart by a mark with segment numbers, or joined into one stream."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", byte_tokens(F.col("text"), 4, 1, 3).alias("t"))
-    c = c.withColumn("r", F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("r is not null")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before")).filter("before is not null")
+    c = c.select("conv_id", "turn", *(byte_tokens(F.col(x), 4, 1, 3).alias(n) for x, n in (("before", "r"), ("text", "t"))))
     s, j = A.assembled(F.col("r"), F.col("t")), A.joined_ids(F.array("r", "t"))
     return c.select("conv_id", "turn", s["tokens"].alias("segmented"), s["segments"].alias("marks"), j.alias("joined"))
 

@@ -84,6 +84,16 @@ def table_edits(a, b):
     return t[len(a), len(b)][1:]
 
 
+def test_byte_tokens_of_long_text(spark):
+    """Linear in a text: 400,000 bytes, every byte value that UTF-8 has, empty and null text."""
+    text = "".join(map(chr, range(1, 0x800))) + "日本😀" + "aé" * 130_000
+    want = [x + 4 for x in text.encode()]
+    start = time.time()
+    assert one(spark, expr.byte_tokens(F.col("a")), a=text) == [1, *want, 2]
+    assert time.time() - start < 20
+    assert one(spark, expr.byte_tokens(F.col("a")), a="") == [1, 2]
+
+
 def test_word_edit_kinds(spark):
     r = random.Random(6)
     pairs = [([r.choice("abcd") for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(300)]
