@@ -207,6 +207,21 @@ def test_similarity_join_prunes_and_stays_exact(spark, monkeypatch, block):
     assert V.similar_pairs(df.limit(0), "uid", "v", 0.5).count() == 0 and V.nearest(df, df.limit(0), "uid", "v").count() == 0
 
 
+def test_similarity_join_sends_a_row_once_a_bundle(spark, monkeypatch):
+    """Where pruning does nothing, rows travel by bundles, not by cells, and products come in bounded strips."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(V, "FOR_PIVOT", 8)
+    x = np.random.default_rng(8).standard_normal((300, 12))
+    groups = V._Groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"))
+    near, bundles = V._by_angle(groups, -1.0), int(groups.bundle.max()) + 1
+    assert len(groups.group) > 3 * bundles
+    assert V._together(groups.homes, groups, near, True).count() <= 300 * (bundles + 1)
+    monkeypatch.setattr(V, "STRIP", 64)
+    cell = np.repeat(np.arange(30), 10)
+    parts = [s.size for *_, s in V._products(x, None, x, cell, lambda v: np.ones((len(v), 30), bool), np.arange(30))]
+    assert max(parts) <= 64 and sum(parts) == 300 * 300
+
+
 def test_vectors_against_plain(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 6))
