@@ -169,6 +169,18 @@ def test_components_to_convergence(spark, monkeypatch, rows):
     assert got == plain_components([e for e in edges if e[0] != e[1]])
 
 
+def test_stars_of_a_large_partition_are_folded(monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 100)
+    seen = []
+    monkeypatch.setattr(graph, "local_stars", lambda u, v, whole=graph.local_stars: (seen.append(len(u)), whole(u, v))[1])
+    r = random.Random(3)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(1000)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(300)]
+    frames = [pd.DataFrame(edges[i : i + 40], columns=["u", "v"]) for i in range(0, len(edges), 40)]
+    stars = pd.concat(graph._local(iter(frames)))
+    assert max(seen) <= 140
+    assert plain_components([e for e in edges if e[0] != e[1]]) == plain_components(list(stars.itertuples(index=False, name=None)))
+
+
 def test_contamination_beyond_the_broadcast(spark, monkeypatch):
     """Without a broadcast the same rows: equal, contained, near from either side, and sentences shorter than a gram."""
     r = random.Random(12)
