@@ -234,6 +234,20 @@ def test_similarity_join_sends_a_row_once_a_bundle(spark, monkeypatch):
     assert max(parts) <= 64 and sum(parts) == 300 * 300
 
 
+def test_average_linkage_of_large_components(spark, monkeypatch):
+    """In rounds over tables and then over links at hand, the same clusters as one pair after the other; copies of a vector too."""
+    monkeypatch.setattr(V, "SMALL", 3)
+    monkeypatch.setattr(V, "LINKS", 250)
+    r = np.random.default_rng(11)
+    middle = r.standard_normal((6, 10))
+    x = np.concatenate([middle[k] + 0.8 * r.standard_normal((25, 10)) for k in range(6)])
+    x[10] = x[20] = x[70] = x[3]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    owner = V.average_linkage(u @ u.T, 0.4)
+    got = {c["node"]: c["cluster"] for c in V.average_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, v array<double>"), "uid", "v", 0.4).collect()}
+    assert got == dict(enumerate(owner.tolist())) and 6 <= len(set(owner)) < 60
+
+
 def test_vectors_against_plain(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 6))
