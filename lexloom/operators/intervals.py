@@ -14,6 +14,9 @@ from lexloom.functions.expr import hash01
 from lexloom.operators.ranks import running
 from lexloom.session import cut
 
+#: Draws of a bootstrap that one task makes.
+DRAWS = 1 << 20
+
 
 def _upper(t: float, df: int) -> float:
     """P(T > t) by Simpson's rule over the angle: T = sqrt(df) tan(a) has a density proportional to cos(a)**(df - 1)."""
@@ -66,19 +69,29 @@ def verdict(low: Column, high: Column, better: str = "higher") -> Column:
     return F.when(low.isNull() | high.isNull(), "n/a").when((low <= 0) & (high >= 0), "tie").when(gain, "win").otherwise("loss")
 
 
+def picks(rows: DataFrame, by: list[str], draws: int, seed: int = 0) -> DataFrame:
+    """by, replicate, place: what the clusters' replicates draw, from by, place and n (the group's size); as many rows as clusters times ``draws``.
+
+    Clusters are few next to their draws, so they are dealt by (group, place) before they are drawn for, into partitions counted by draws and not by bytes.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * draws // DRAWS))
+    slots = rows.select(*by, "place", "n").repartition(parts, *by, "place").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = hash01(F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("replicate").cast("string"), F.col("place").cast("string"))
+    pick = F.coalesce(F.floor(u * F.col("n")).cast("long"), F.lit(-1))  # never null: a join would hash once more to filter nulls
+    return slots.select(*by, "replicate", pick.alias("place"))
+
+
 def bootstrap(sums: DataFrame, by: list[str], cluster: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """by, replicate, estimate: ratios of resampled clusters, as many clusters a replicate as the group has, with replacement.
 
     Clusters have places in their group (by the SHA-256 of their name, in two levels, so a group of any size is spread), and each of a replicate's draws is
-    a hash, so that no task holds a group and reruns agree. The shuffle carries one small row for each draw; sums are taken before the last one.
+    a hash, so that no task holds a group and reruns agree. The shuffle carries one small row for each draw, which a task looks up in its share of the
+    clusters; sums are taken before the last one.
     """
     name = hash01(F.lit(str(seed)), F.col(cluster).cast("string"))
-    rows = cut(running(sums.select(*by, cluster, "num", "den").withColumn("h", name), by, F.floor(F.col("h") * 1024), ["h", cluster], F.lit(1), "place"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    slots = rows.select(*by, "place").join(sizes, by).select(*by, "place", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate"))
-    u = hash01(F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("replicate").cast("string"), F.col("place").cast("string"))
-    drawn = slots.select(*by, "replicate", F.floor(u * F.col("n")).cast("long").alias("place"))
-    return drawn.join(rows.select(*by, "place", "num", "den"), [*by, "place"]).groupBy(*by, "replicate").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0))).alias("estimate"))
+    rows = cut(running(sums.select(*by, cluster, "num", "den").withColumn("h", name), by, F.floor(F.col("h") * 1024), ["h", cluster], F.lit(1), "place", "n"))
+    drawn = picks(rows, by, draws, seed).join(rows.select(*by, "place", "num", "den").hint("shuffle_hash"), [*by, "place"])
+    return drawn.groupBy(*by, "replicate").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0))).alias("estimate"))
 
 
 def percentile_interval(drawn: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:

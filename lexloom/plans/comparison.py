@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import intervals as I
 from lexloom.plans.comparing import T, drawn_sql
 from lexloom.plans.registry import query, table
+from lexloom.session import cut
 
 SUMS = "s AS (SELECT l_returnflag AS system, l_suppkey AS cluster, sum(l_discount * l_quantity) AS num, sum(l_quantity) AS den FROM lineitem GROUP BY 1, 2)"
 
@@ -68,7 +69,7 @@ def strata_report(spark, sf):
 SELECT g AS system, round(any_value(e.estimate), 9) AS estimate, round(quantile_cont(d.estimate, 0.025), 8) AS low, round(quantile_cont(d.estimate, 0.975), 8) AS high FROM d JOIN e USING (g) GROUP BY 1""")
 def bootstrap(spark, sf):
     """Percentile intervals of ratios over resampled clusters, 200 replicates a system."""
-    s = sums(spark, sf, "system")
+    s = cut(sums(spark, sf, "system"))
     whole = s.groupBy("system").agg((F.sum("num") / F.sum("den")).alias("estimate"))
     out = I.percentile_interval(I.bootstrap(s, ["system"], "cluster", 200), ["system"]).join(whole, "system")
     return out.select("system", *(F.round(c, n).alias(c) for c, n in (("estimate", 9), ("low", 8), ("high", 8))))

@@ -1,5 +1,6 @@
 """Operators against plain versions: dedup by two keys, prepare and merge, manifests, comparisons, splits, cases, arrays, hooks, streams."""
 
+import hashlib
 import json
 import math
 import os
@@ -145,6 +146,29 @@ def test_interval_coverage_and_bootstrap(spark):
     assert [r[0] for r in spark.createDataFrame([(1.0, 2.0), (-1.0, 1.0), (-2.0, -1.0), (None, 1.0)], "a double, b double").select(I.verdict(F.col("a"), F.col("b"))).collect()] == ["win", "tie", "loss", "n/a"]
 
 
+def test_draws_of_one_group_are_dealt_over_tasks(spark, monkeypatch):
+    """A thousand clusters of one group in one partition: their draws are made by many tasks, each hashed once, and looked up right."""
+    monkeypatch.setattr(I, "DRAWS", 20_000)
+
+    def u(text):
+        return int(hashlib.sha256(text.encode()).hexdigest()[:16], 16) / 2**64
+
+    rows = spark.range(0, 1000, 1, 1).select(F.lit("s").alias("s"), F.col("id").alias("place"), F.lit(1000).alias("n"))
+    made = I.picks(rows, ["s"], 200).groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("place"), F.min("place")).collect()
+    assert len(made) == 10 and sum(r[1] for r in made) == 200_000 and max(r[1] for r in made) < 40_000
+    assert max(r[2] for r in made) == 999 and min(r[3] for r in made) == 0
+    cells = [("s", c, float(c % 7), 5.0 + c % 3) for c in range(1000)] + [("t", c, 1.0 + c, 4.0) for c in range(3)]
+    df = I.bootstrap(spark.createDataFrame(cells, "s string, c long, num double, den double"), ["s"], "c", 25)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    got = {(r["s"], r["replicate"]): r["estimate"] for r in df.collect()}
+    assert len(got) == 50
+    for s in "st":
+        group = sorted((u(f"0:{c}"), num, den) for g, c, num, den in cells if g == s)
+        for b in range(25):
+            drawn = [group[int(u(f"0:{s}:{b}:{p}") * len(group))] for p in range(len(group))]
+            assert abs(got[s, b] - sum(d[1] for d in drawn) / sum(d[2] for d in drawn)) < 1e-12
+
+
 def plain_components(edges):
     p = {}
 
