@@ -1,5 +1,6 @@
 """Operators against plain versions: dedup by two keys, prepare and merge, manifests, comparisons, splits, cases, arrays, hooks, streams."""
 
+import glob
 import hashlib
 import json
 import math
@@ -22,6 +23,7 @@ from lexloom.operators import splits as S
 from lexloom.operators import vectors as V
 from lexloom.operators.cases import greedy_cases
 from lexloom.plans import catalogue
+from lexloom.session import folder
 from lexloom.streaming import shards
 
 SF = "/root/testdata/sf0.001"
@@ -272,6 +274,23 @@ def test_average_linkage_of_large_components(spark, monkeypatch):
     assert got == dict(enumerate(owner.tolist())) and 6 <= len(set(owner)) < 60
 
 
+def test_average_linkage_in_many_rounds(spark, monkeypatch):
+    """Neighbours on an arc merge in turn, round after round, over several blocks: Spark's estimate of the result's size stays that of a table, and no table is left."""
+    monkeypatch.setattr(V, "SMALL", 3)
+    monkeypatch.setattr(V, "LINKS", 5)
+    monkeypatch.setattr(V, "WIDE", 7, raising=False)
+    monkeypatch.setattr(V, "HELD", 40, raising=False)
+    turn = np.cumsum(0.02 * 1.25 ** np.arange(14))
+    u = np.stack([np.cos(turn), np.sin(turn)], 1)
+    u[10] = u[4]
+    left = set(glob.glob(f"{folder(spark).removeprefix('file:')}/tables-*"))
+    df = V.average_clusters(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "uid long, v array<double>"), "uid", "v", 0.5)
+    size = df._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert size.endswith("iB") or float(size.removeprefix("sizeInBytes=").removesuffix(" B")) < 1e60
+    assert {c["node"]: c["cluster"] for c in df.collect()} == dict(enumerate(V.average_linkage(u @ u.T, 0.5).tolist()))
+    assert set(glob.glob(f"{folder(spark).removeprefix('file:')}/tables-*")) <= left
+
+
 def test_vectors_against_plain(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 6))
